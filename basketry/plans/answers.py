@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basketry.functions import count_where, quantile, safe_divide, sum_where
+from basketry.functions import count_where, local_time, quantile, safe_divide, sum_where
 from basketry.operators.ranking import measure_rollup, top_n_per_group
 from basketry.plans.reporting import BASE, REVENUE, UNITS
 
@@ -224,8 +224,6 @@ def pair_affinity(pairs: DataFrame) -> DataFrame:
 
 def consumption_by_time(items: DataFrame, zone: str = "Europe/Berlin") -> DataFrame:
     """Category by local weekday and hour; day and hour come from the item row's own order time."""
-    from basketry.functions import local_time
-
     rows = items.select(
         F.date_format("order_date", "EEEE").alias("order_day_name"),
         F.hour(local_time("order_ts_utc", zone)).cast("long").alias("order_hour_berlin"),

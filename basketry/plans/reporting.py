@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basketry.config import DAYPARTS_FOUR, Settings
@@ -25,7 +26,6 @@ from basketry.operators.pairs import (
     unordered_pairs,
 )
 from basketry.operators.ranking import kpi_long, measure_rollup, top_n, top_n_per_group
-from basketry.operators.timeline import split_neighbours
 
 REVENUE = "order_item_row_final_amount_gross_eur"
 BASE = "order_item_row_base_amount_gross_eur"
@@ -223,11 +223,9 @@ def category_kpi_long(monthly: DataFrame) -> DataFrame:
 
 def category_kpi_mom(long: DataFrame) -> DataFrame:
     """Change of every KPI against the previous month in which the category existed."""
-    months = long.withColumn("__at", F.col("order_month").cast("timestamp"))
-    lagged = split_neighbours(
-        months, ["item_category", "metric_name"], "__at", [],
-        lags={"previous_month_metric_value": "metric_value"}, unit="year",
-    ).drop("__at")
+    # one row per month: a group is as long as the calendar
+    w = W.partitionBy("item_category", "metric_name").orderBy("order_month")
+    lagged = long.withColumn("previous_month_metric_value", F.lag("metric_value").over(w))
     change = F.col("metric_value") - F.col("previous_month_metric_value")
     return lagged.withColumn("mom_absolute_change", change).withColumn(
         "mom_percentage_change", safe_divide(change, "previous_month_metric_value")
