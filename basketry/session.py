@@ -31,6 +31,7 @@ def local_session(cores: str = "*", app: str = "basketry") -> SparkSession:
         .appName(app)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
     )
     return tune(builder.getOrCreate())
