@@ -47,6 +47,8 @@ def txt(x: str, digits: int = 2) -> str:
 
 
 def sql(final: str) -> str:
+    if final.lstrip().lower().startswith("with "):
+        final = f"select * from ({final})"
     order: list[str] = []
 
     def need(text: str) -> None:

@@ -495,11 +495,11 @@ add(
 )
 add(
     "bi15_star_pack",
-    lambda w, s, d: ans.star_products_detail(w["fct_order_item"], "1998-01-01", "1998-12-31").select(
+    lambda w, s, d: ans.star_products_detail(w["fct_order_item"]).select(
         "item_category", "item_key", "revenue_eur", "revenue_rank_in_category"
     ),
     f"select item_category, item_key, {n('sum(final)', 'revenue_eur')}, row_number() over (partition by item_category order by sum(final) desc, item_key) as revenue_rank_in_category "
-    "from items where item_category is not null and order_date between date '1998-01-01' and date '1998-12-31' group by item_category, item_key "
+    "from items where item_category is not null group by item_category, item_key "
     "qualify row_number() over (partition by item_category order by sum(final) desc, item_key) <= 10",
 )
 
