@@ -296,10 +296,10 @@ from (select count(*) filter (where sev = 'critical') as k, count(*) filter (whe
         ("promo_discount_anomaly", "promo_discount", "promo_anom", "promo_sk"), ("item_price_anomaly", "item_price", "price_anom", "log_item_id"),
     )
 ) + f"""
-union all select 'pipeline_row_flow', case when rv > 0 then 'error_review_required_steps_present' when at > 0 then 'warning_attention_required_steps_present' else 'ok' end,
-  rv + at, case when rv > 0 then 'one_or_more_steps_have_unexpected_row_flow' when at > 0 then 'one_or_more_steps_have_known_risk_to_monitor'
+union all select 'pipeline_row_flow', case when rv > 0 then 'error_review_required_steps_present' when aq > 0 then 'warning_attention_required_steps_present' else 'ok' end,
+  rv + aq, case when rv > 0 then 'one_or_more_steps_have_unexpected_row_flow' when aq > 0 then 'one_or_more_steps_have_known_risk_to_monitor'
     else 'all_steps_match_or_are_baseline_reference' end, {_named('review_required')}, {_named('attention_required')}
-from (select count(*) filter (where status = 'review_required') as rv, count(*) filter (where status = 'attention_required') as at from flow)
+from (select count(*) filter (where status = 'review_required') as rv, count(*) filter (where status = 'attention_required') as aq from flow)
 union all select 'order_revenue_reconciliation', case when {count('recon')} = 0 then 'ok' else 'error_order_revenue_reconciliation_mismatch' end, {count('recon')},
   case when {count('recon')} = 0 then 'all_orders_reconcile_between_derived_and_raw_totals'
     else 'one_or_more_orders_do_not_reconcile_between_derived_and_raw_totals' end, {ids('recon', 'purchase_key')}, ''
@@ -360,8 +360,9 @@ _VALIDATION = " union all ".join([
              curated_brand_name_null_rows="count(*) - count(brand_name)"),
     *_checks("item_logs", "(select count(*) as c from stg_logs group by log_item_id having count(*) > 1)", stg_duplicate_log_item_groups="count(*)",
              stg_duplicate_extra_rows="cast(coalesce(sum(c - 1), 0) as bigint)"),
-    *_checks("purchases", "raw_buys", raw_purchase_rows="count(*)", stg_time_order_received_null="count(*) - count(ts)", stg_item_basket_json_null="0",
-             stg_total_basket_value_null="count(*) - count(total)", stg_service_fee_null="0", stg_courier_fee_null="0", stg_delivery_distance_null="0"),
+    *_checks("purchases", "raw_buys", raw_purchase_rows="count(*)", stg_time_order_received_null="count(*) - count(ts)", stg_item_basket_json_null="count(*) * 0",
+             stg_total_basket_value_null="count(*) - count(total)", stg_service_fee_null="count(*) - count(service)",
+             stg_courier_fee_null="count(*) - count(courier)", stg_delivery_distance_null="count(*) - count(distance)"),
     *_checks("purchases", "(select 1 from raw_buys where purchase_key not in (select purchase_key from lines))", stg_orders_without_exploded_items="count(*)"),
     *_checks("versions", "scd", scd_rows="count(*)", scd_current_rows="count(*) filter (where is_current)",
              scd_zero_length_rows="count(*) filter (where valid_from = valid_to)"),

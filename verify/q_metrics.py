@@ -102,13 +102,17 @@ add(
 
 # ---------------------------------------------------------------------------------------- aggregates
 
-REV = (F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(20,4)")
+def line_revenue():
+    price, discount = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(4,2)")
+    return (price * (1 - discount)).cast("decimal(20,4)")
+
+
 REV_SQL = "cast(cast(l_extendedprice as decimal(18,2)) * (1 - cast(l_discount as decimal(4,2))) as decimal(20,4))"
 
 add(
     "agg1_functions",
     lambda w, s, d: fx.table(s, d, "lineitem").groupBy("l_returnflag").agg(
-        F.sum(REV).alias("revenue"), F.count(F.lit(1)).alias("row_count"), F.count_distinct("l_suppkey").alias("suppliers"),
+        F.sum(line_revenue()).alias("revenue"), F.count(F.lit(1)).alias("row_count"), F.count_distinct("l_suppkey").alias("suppliers"),
         F.avg("l_quantity").alias("avg_quantity"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"),
         F.min("l_linestatus").alias("any_status"), count_where(F.col("l_discount") > 0).alias("discounted"),
         F.stddev_pop("l_quantity").alias("spread_quantity"),
@@ -189,7 +193,7 @@ add(
 add(
     "win2_global_rank",
     lambda w, s, d: top_n(
-        fx.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum(REV).alias("revenue")), [F.desc("revenue"), F.asc("l_suppkey")], 10, "rank"
+        fx.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum(line_revenue()).alias("revenue")), [F.desc("revenue"), F.asc("l_suppkey")], 10, "rank"
     ),
     f"select l_suppkey, {n('v', 'revenue')}, row_number() over (order by v desc, l_suppkey) as rank from (select l_suppkey, sum({REV_SQL}) as v from lineitem group by 1 order by v desc, l_suppkey limit 10)",
 )
@@ -212,7 +216,7 @@ add(
 )
 add(
     "win5_window_over_aggregate",
-    lambda w, s, d: fx.table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(REV).alias("revenue")).withColumn(
+    lambda w, s, d: fx.table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(line_revenue()).alias("revenue")).withColumn(
         "rank", F.row_number().over(W.partitionBy("l_returnflag").orderBy(F.desc("revenue"))).cast("long")
     ),
     f"select l_returnflag, l_linestatus, {n('v', 'revenue')}, row_number() over (partition by l_returnflag order by v desc) as rank from "
@@ -224,8 +228,8 @@ add(
         fx.table(s, d, "part").select("p_brand", "p_partkey", "p_retailprice"), ["p_brand"],
         [F.desc("p_retailprice"), F.asc("p_partkey")], 3,
     ),
-    "select p_brand, p_partkey, p_retailprice, row_number() over w as rank from part qualify row_number() over w <= 3 "
-    "window w as (partition by p_brand order by p_retailprice desc, p_partkey)",
+    "select p_brand, p_partkey, p_retailprice, row_number() over w as rank from part "
+    "window w as (partition by p_brand order by p_retailprice desc, p_partkey) qualify row_number() over w <= 3",
 )
 add(
     "ord1_sorted_mart",
@@ -240,16 +244,15 @@ add(
 add(
     "ord3_top_n_per_group",
     lambda w, s, d: top_n_per_group(
-        fx.table(s, d, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.sum(REV).alias("revenue")),
+        fx.table(s, d, "lineitem").groupBy("l_returnflag", "l_partkey").agg(F.sum(line_revenue()).alias("revenue")),
         ["l_returnflag"], [F.desc("revenue"), F.asc("l_partkey")], 10,
     ),
     f"select l_returnflag, l_partkey, {n('v', 'revenue')}, row_number() over w as rank from (select l_returnflag, l_partkey, sum({REV_SQL}) as v from lineitem group by 1, 2) "
-    "qualify row_number() over w <= 10 window w as (partition by l_returnflag order by v desc, l_partkey)",
+    "window w as (partition by l_returnflag order by v desc, l_partkey) qualify row_number() over w <= 10",
 )
-HOUR = F.hour(F.col("ts").cast("timestamp"))
 add(
     "ord4_custom_order",
-    lambda w, s, d: fx.table(s, d, "events").groupBy(daypart(HOUR, DAYPARTS_FIVE).alias("daypart")).agg(F.count(F.lit(1)).alias("row_count")).orderBy(
+    lambda w, s, d: fx.table(s, d, "events").groupBy(daypart(F.hour(F.col("ts").cast("timestamp")), DAYPARTS_FIVE).alias("daypart")).agg(F.count(F.lit(1)).alias("row_count")).orderBy(
         F.when(F.col("daypart").startswith("Morning"), 1).when(F.col("daypart").startswith("Lunch"), 2).otherwise(3), "daypart"
     ),
     "select case when h between 6 and 10 then 'Morning (06-10)' when h between 11 and 14 then 'Lunch (11-14)' when h between 15 and 17 then 'Afternoon (15-17)' "
