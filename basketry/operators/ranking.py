@@ -45,11 +45,7 @@ def measure_rollup(
     """
     flags = dict(order_flags or {})
     cols = {n: (F.col(c) if isinstance(c, str) else c) for n, c in sums.items()}
-    per_order = rows.groupBy(*dims, order, customer).agg(
-        *[F.sum(c).alias(n) for n, c in cols.items()],
-        *[F.max(c).alias(n) for n, c in flags.items()],
-        F.count(F.lit(1)).alias("__rows"),
-    )
+    per_order = order_grain(rows, dims, cols, flags, order, customer)
     per_customer = per_order.groupBy(*dims, customer).agg(
         *[F.sum(n).alias(n) for n in cols],
         *[F.count_if(F.col(n)).alias(n) for n in flags],
@@ -64,6 +60,20 @@ def measure_rollup(
     )
 
 
+def order_grain(
+    rows: DataFrame,
+    dims: Sequence[str],
+    sums: Mapping[str, Column],
+    flags: Mapping[str, Column],
+    order: str = "order_sk",
+    customer: str = "customer_sk",
+) -> DataFrame:
+    """First step of the roll-up: one row per group, order and customer."""
+    aggs = [F.sum(c).alias(n) for n, c in sums.items()] + [F.max(c).alias(n) for n, c in flags.items()]
+    keyed = rows.groupBy(*dims, order, customer)
+    return keyed.agg(*aggs) if aggs else keyed.agg(F.count(F.lit(1)).alias("rows")).drop("rows")
+
+
 def kpi_long(df: DataFrame, ids: Sequence[str], metrics: Mapping[str, str], name: str, value: str) -> DataFrame:
     """Wide metrics to (ids, name, value) rows in one scan; `metrics` maps label to column."""
     wide = df.select(*ids, *[F.col(c).cast("double").alias(label) for label, c in metrics.items()])

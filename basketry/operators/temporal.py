@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.config import Settings
-from basketry.operators.curation import dedupe_best
 from basketry.operators.timeline import as_of
-from basketry.session import broadcast_if_small
 
 VERSION_ATTRIBUTES = (
     "item_key_sk",
@@ -34,34 +32,55 @@ def small_history(history: DataFrame, key: str, cfg: Settings) -> bool:
     return total <= cfg.broadcast_rows and worst <= cfg.broadcast_rows_per_key
 
 
-def time_valid_join(
+def interval_lookup(
     facts: DataFrame,
-    history: DataFrame,
-    key: str = "item_key",
-    ts: str = "time_order_received_utc",
-    attributes: tuple[str, ...] = VERSION_ATTRIBUTES,
+    windows: DataFrame,
+    key: str,
+    at: str,
+    valid_from: str,
+    valid_to: str,
+    attributes: Sequence[str],
+    rank: Sequence[Column] = (),
     cfg: Settings = Settings(),
     strategy: str = "auto",
 ) -> DataFrame:
-    """Left join of each fact to the version valid at its time, [valid_from_utc, valid_to_utc).
+    """Left join of each fact to the window [valid_from, valid_to) of its key that contains its time.
 
-    Versions of a key must tile its timeline (what `item_scd2` builds and the overlap check verifies), so
-    a fact meets at most one version and is never multiplied.
+    Windows of one key must not overlap (gaps are fine), so a fact meets at most one and is never multiplied.
 
-    * "broadcast": the history is small; the facts are not shuffled at all.
+    * "broadcast": the windows are few; the facts are not shuffled at all.
     * "asof": any size and any skew; linear merge of both sides in time order.
-    * "auto": measures the history and picks.
+    * "auto": counts the windows and picks.
     """
     if strategy == "auto":
-        strategy = "broadcast" if small_history(history, key, cfg) else "asof"
-    wanted = [a for a in attributes if a != key]
+        strategy = "broadcast" if small_history(windows, key, cfg) else "asof"
     if strategy == "broadcast":
-        side = history.select(F.col(key).alias("__key"), *wanted, F.col("valid_from_utc").alias("__from"),
-                              F.col("valid_to_utc").alias("__to"))
-        inside = (F.col(ts) >= F.col("__from")) & (F.col(ts) < F.col("__to"))
-        return facts.join(F.broadcast(side), (F.col(key) == F.col("__key")) & inside, "left").drop(
-            "__key", "__from", "__to"
+        side = windows.select(
+            F.col(key).alias("__key"), F.col(valid_from).alias("__from"), F.col(valid_to).alias("__to"), *attributes
         )
+        hit = (F.col(key) == F.col("__key")) & (F.col(at) >= F.col("__from")) & (F.col(at) < F.col("__to"))
+        return facts.join(F.broadcast(side), hit, "left").drop("__key", "__from", "__to")
+    carried = list(dict.fromkeys([*attributes, valid_to]))
+    matched = as_of(facts, windows, key, at, valid_from, rank, carried, cfg.split_unit)
+    inside = F.when(F.col(at) < F.col("__version")[valid_to], F.col("__version"))
+    return matched.withColumn("__version", inside).select(
+        *facts.columns, *[F.col("__version")[a].alias(a) for a in attributes]
+    )
+
+
+def time_valid_join(
+    facts: DataFrame,
+    history: DataFrame,
+    key: str = "item_key",
+    ts: str = "time_order_received_utc",
+    attributes: tuple[str, ...] = VERSION_ATTRIBUTES,
+    cfg: Settings = Settings(),
+    strategy: str = "auto",
+) -> DataFrame:
+    """Left join of each fact to the item version valid at its time.
+
+    The versions tile each item's timeline: `item_scd2` builds them so and the overlap check verifies it.
+    """
     # several versions may start at one instant: the one that closes last is the one with any extent
     rank = [
         F.col("valid_to_utc"),
@@ -69,69 +88,61 @@ def time_valid_join(
         F.col("log_item_id"),
         F.col("item_scd_sk"),
     ]
-    matched = as_of(facts, history, key, ts, "valid_from_utc", rank, wanted, cfg.split_unit)
-    valid = F.when(F.col(ts) < F.col("__version.valid_to_utc"), F.col("__version"))
-    return matched.withColumn("__version", valid).select(
-        *facts.columns, *[F.col("__version")[a].alias(a) for a in wanted]
+    wanted = [a for a in attributes if a != key]
+    return interval_lookup(
+        facts, history, key, ts, "valid_from_utc", "valid_to_utc", wanted, rank, cfg, strategy
     )
 
 
 # ---------------------------------------------------------------------------------------- promotions
 
+SEGMENT_COLUMNS = ("promo_sk", "promo_type", "discount_pct")
 
-def _promo_choice(extra: list[str]) -> Column:
-    """Orderable description of a promotion: higher discount first, then the later start, then its key."""
-    return F.struct("discount_pct", "promo_start_date", "promo_sk", *extra)
 
+def promo_segments(promos: DataFrame, key: str = "item_key") -> DataFrame:
+    """Non-overlapping windows per item, each with the best promotion active in it.
 
-def promo_calendar(promos: DataFrame, key: str = "item_key") -> tuple[DataFrame, DataFrame]:
-    """Best promotion per (key, whole month) and per (key, single day).
-
-    A window is cut into its whole months and the remaining days (at most two months of days), so even an
-    open-ended window stays a bounded number of rows. Each side is unique on its key: orders look their
-    promotion up instead of being paired with every window of the item.
+    Every start and end date of an item's promotions cuts its calendar; a promotion covers the pieces inside
+    its window, and the best one (discount, then later start, then key) keeps the piece. The cut dates of an
+    item are a set of calendar days, so that set is bounded however many promotions the item has.
     """
-    valid = promos.where(F.col(key).isNotNull() & (F.col("promo_start_date") < F.col("promo_end_date")))
-    start, end = F.col("promo_start_date"), F.col("promo_end_date")
-    first_month = F.when(F.trunc(start, "month") == start, start).otherwise(
-        F.add_months(F.trunc(start, "month"), 1)
+    start, end = "promo_start_date", "promo_end_date"
+    valid = promos.where(F.col(key).isNotNull() & (F.col(start) < F.col(end)))
+    cuts = (
+        valid.select(key, F.explode(F.array(start, end)).alias("day"))
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_set("day")).alias("cuts"))
     )
-    last_month = F.trunc(end, "month")  # exclusive
-    cut = valid.select(
-        F.col(key).alias("promo_item"),
-        _promo_choice(["promo_type"]).alias("promo"),
-        start.alias("s"),
-        end.alias("e"),
-        first_month.alias("m0"),
-        last_month.alias("m1"),
-    ).withColumn("whole", F.col("m0") < F.col("m1"))
-    month_step, day_step = F.expr("interval 1 month"), F.expr("interval 1 day")
-    months = cut.where("whole").select(
-        "promo_item",
+    choice = F.struct("discount_pct", start, "promo_sk", "promo_type")
+    # the best of the promotions that share a window stands for all of them
+    windows = valid.groupBy(key, start, end).agg(F.max(choice).alias("promo"))
+    pieces = windows.join(cuts, key).select(
+        key,
         "promo",
-        F.explode(F.sequence("m0", F.add_months("m1", -1), month_step)).alias("promo_month"),
+        F.explode(F.filter("cuts", lambda day: (day >= F.col(start)) & (day < F.col(end)))).alias("segment_from"),
+        "cuts",
     )
-
-    def days(rows: DataFrame, first: str, stop: str) -> DataFrame:
-        last = F.date_sub(F.col(stop), 1)
-        return rows.where(F.col(first) < F.col(stop)).select(
-            "promo_item", "promo", F.explode(F.sequence(F.col(first), last, day_step)).alias("promo_day")
-        )
-
-    single = reduce(
-        DataFrame.unionByName,
-        [
-            days(cut.where("whole"), "s", "m0"),
-            days(cut.where("whole"), "m1", "e"),
-            days(cut.where("not whole"), "s", "e"),
-        ],
+    until = F.get(F.col("cuts"), F.array_position("cuts", F.col("segment_from")).cast("int"))
+    return (
+        pieces.select(key, "promo", "segment_from", until.alias("segment_to"))
+        .groupBy(key, "segment_from", "segment_to")
+        .agg(F.max("promo").alias("promo"))
+        .select(key, "segment_from", "segment_to", *[F.col("promo")[c].alias(c) for c in SEGMENT_COLUMNS])
     )
 
-    def best(df: DataFrame, at: str) -> DataFrame:
-        order = [F.desc_nulls_last(f"promo.{c}") for c in ("discount_pct", "promo_start_date", "promo_sk")]
-        return dedupe_best(df, ["promo_item", at], order)
 
-    return best(months, "promo_month"), best(single, "promo_day")
+def apply_promo_segments(
+    priced: DataFrame,
+    segments: DataFrame,
+    key: str = "item_key",
+    date: str = "order_date_berlin",
+    cfg: Settings = Settings(),
+    strategy: str = "auto",
+) -> DataFrame:
+    """Left join to the promotion active on the order's local date (start inclusive, end exclusive)."""
+    return interval_lookup(
+        priced, segments, key, date, "segment_from", "segment_to", SEGMENT_COLUMNS, (), cfg, strategy
+    )
 
 
 def apply_promos(
@@ -140,23 +151,10 @@ def apply_promos(
     key: str = "item_key",
     date: str = "order_date_berlin",
     cfg: Settings = Settings(),
+    strategy: str = "auto",
 ) -> DataFrame:
-    """Left join to the best promotion active on the order's local date (start inclusive, end exclusive)."""
-    months, days = promo_calendar(promos, key)
-    months = broadcast_if_small(months.withColumnRenamed("promo", "__m"), cfg.broadcast_rows)
-    days = broadcast_if_small(days.withColumnRenamed("promo", "__d"), cfg.broadcast_rows)
-    by_month = (F.col(key) == F.col("promo_item")) & (F.trunc(F.col(date), "month") == F.col("promo_month"))
-    by_day = (F.col(key) == F.col("promo_item")) & (F.col(date) == F.col("promo_day"))
-    looked_up = priced.join(months, by_month, "left").drop("promo_item", "promo_month")
-    looked_up = looked_up.join(days, by_day, "left").drop("promo_item", "promo_day")
-    promo = F.greatest("__m", "__d")
-    return looked_up.withColumn("__p", promo).select(
-        *priced.columns,
-        F.col("__p.promo_sk").alias("promo_sk"),
-        F.col("__p.promo_type").alias("promo_type"),
-        F.col("__p.discount_pct").alias("discount_pct"),
-        F.col("__p.promo_start_date").alias("promo_start_date"),
-    )
+    """Best promotion of each order item straight from the promotion rules (which carry `promo_sk`)."""
+    return apply_promo_segments(priced, promo_segments(promos, key), key, date, cfg, strategy)
 
 
 def overlapping_windows(df: DataFrame, key: str, start: str, end: str, ties: list[str]) -> DataFrame:

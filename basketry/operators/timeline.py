@@ -119,6 +119,7 @@ def as_of(
         .withColumn("__v", F.last("__v", ignorenulls=True).over(earlier))
         .where(F.col("__v").isNotNull())
     )
+    when = facts.schema[ts].dataType
     nothing = F.lit(None).cast(facts.select(payload.alias("p")).schema["p"].dataType)
     stream = (
         facts.select(
@@ -130,11 +131,11 @@ def as_of(
             F.lit(None).cast(vers.schema["__v"].dataType).alias("__v"),
         )
         .unionByName(
-            vers.select("__key", BUCKET, F.col("__v.rank")[valid_from].alias("__t"), F.lit(1).alias("__side"),
+            vers.select("__key", BUCKET, F.col("__v.rank")[valid_from].cast(when).alias("__t"), F.lit(1).alias("__side"),
                         nothing.alias("__fact"), "__v")
         )
         .unionByName(
-            seeds.select("__key", BUCKET, F.col(BUCKET).alias("__t"), F.lit(0).alias("__side"),
+            seeds.select("__key", BUCKET, F.col(BUCKET).cast(when).alias("__t"), F.lit(0).alias("__side"),
                          nothing.alias("__fact"), "__v")
         )
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import count_where, local_time, quantile, safe_divide, sum_where
 from basketry.operators.ranking import measure_rollup, top_n_per_group
-from basketry.plans.reporting import BASE, REVENUE, UNITS
+from basketry.plans.reporting import BASE, FIRST, REPEAT, REVENUE, UNITS
 
 
 def between(df: DataFrame, column: str, start: str | None, end: str | None) -> DataFrame:
@@ -257,10 +257,6 @@ def promo_acquisition(behavior: DataFrame) -> DataFrame:
     )
 
 
-FIRST = "distinct_customers_whose_first_order_included_category_in_month"
-REPEAT = "distinct_customers_with_repeat_orders_including_category_in_month"
-
-
 def _monthly_base(monthly: DataFrame, start: str | None, end: str | None) -> DataFrame:
     return between(monthly, "order_month", start, end).select(
         F.col("order_month").alias("period_month"),

@@ -62,7 +62,8 @@ def models(cfg: Settings, run_ts: dt.datetime) -> list[Model]:
         m("int_item_scd2", "int_item_logs", lambda c: history.item_scd2(c, cfg.split_unit), True),
         m("int_priced", "stg_order_items int_purchases int_item_scd2",
           lambda i, p, h: core.order_items_with_price(i, p, h, cfg)),
-        m("int_promoted", "int_priced stg_promos", lambda p, s: core.order_items_with_promo(p, s, cfg), True),
+        m("int_promo_segments", "stg_promos", core.keyed_promo_segments, True),
+        m("int_promoted", "int_priced int_promo_segments", lambda p, s: core.order_items_with_promo(p, s, cfg), True),
         m("int_order_rollups", "int_purchases int_promoted", lambda p, i: enrich.orders_with_rollups(p, i, cfg)),
         m("fct_order_item", "int_promoted", core.fct_order_item),
         m("fct_order", "int_order_rollups", lambda r: core.fct_order(r, cfg), True),

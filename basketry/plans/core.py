@@ -10,7 +10,7 @@ from basketry.functions import local_time, sunday_week, surrogate_key
 from basketry.operators.enrich import decompose_amounts
 from basketry.operators.history import HISTORY_COLUMNS
 from basketry.operators.joins import restrict_to_keys
-from basketry.operators.temporal import apply_promos, time_valid_join
+from basketry.operators.temporal import apply_promo_segments, promo_segments, time_valid_join
 from basketry.operators.upsert import upsert
 from basketry.sources.sinks import ORDER_EXPORT, ORDER_ITEM_EXPORT
 
@@ -21,6 +21,10 @@ def with_promo_key(promos: DataFrame) -> DataFrame:
     return promos.withColumn("promo_sk", surrogate_key(*PROMO_KEY))
 
 
+def keyed_promo_segments(promos: DataFrame) -> DataFrame:
+    return promo_segments(with_promo_key(promos))
+
+
 def order_items_with_price(
     basket_items: DataFrame,
     purchases: DataFrame,
@@ -48,10 +52,9 @@ def order_items_with_price(
     return priced.withColumnRenamed("product_base_price_gross_eur", "item_unit_base_price_gross_eur")
 
 
-def order_items_with_promo(priced: DataFrame, promos: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+def order_items_with_promo(priced: DataFrame, segments: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Priced order items with their best promotion and all amounts."""
-    matched = apply_promos(priced, with_promo_key(promos), cfg=cfg).drop("promo_start_date")
-    return decompose_amounts(matched)
+    return decompose_amounts(apply_promo_segments(priced, segments, cfg=cfg))
 
 
 def fct_order_item(promoted: DataFrame) -> DataFrame:

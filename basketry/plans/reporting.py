@@ -20,12 +20,12 @@ from basketry.functions import (
 from basketry.operators.joins import null_safe_join, with_totals
 from basketry.operators.pairs import (
     affinity_scores,
-    attach_pairs,
     basket_sets,
+    directed_pairs,
     member_counts,
     unordered_pairs,
 )
-from basketry.operators.ranking import kpi_long, measure_rollup, top_n, top_n_per_group
+from basketry.operators.ranking import kpi_long, measure_rollup, order_grain, top_n, top_n_per_group
 
 REVENUE = "order_item_row_final_amount_gross_eur"
 BASE = "order_item_row_base_amount_gross_eur"
@@ -73,6 +73,10 @@ def category_rows(items: DataFrame) -> DataFrame:
     )
 
 
+KEYS = ["order_month", "item_category"]
+SUMS = ["revenue_eur", "base_revenue_eur", "discount_eur", "units_sold", "promo_units_sold"]
+
+
 def monthly_totals(rows: DataFrame) -> DataFrame:
     """Revenue, orders and customers per month."""
     return measure_rollup(rows, ["order_month"], {"total_revenue_eur": "revenue_eur"}).select(
@@ -85,82 +89,105 @@ def monthly_totals(rows: DataFrame) -> DataFrame:
 
 def repeat_rate(rows: DataFrame) -> DataFrame:
     """Share of customers with more than one order in the category and month."""
-    rolled = measure_rollup(rows, ["order_month", "item_category"], {})
-    return rolled.select(
-        "order_month", "item_category", safe_divide("repeat_customers", "customers").alias("repeat_customer_rate")
-    )
+    rolled = measure_rollup(rows, KEYS, {})
+    return rolled.select(*KEYS, safe_divide("repeat_customers", "customers").alias("repeat_customer_rate"))
 
 
 def monthly_concentration(rows: DataFrame) -> DataFrame:
-    spread = concentration(rows, ["order_month", "item_category"], "product_name", "revenue_eur")
-    return spread.select(
-        "order_month",
-        "item_category",
+    return concentration(rows, KEYS, "product_name", "revenue_eur").select(
+        *KEYS,
         "sku_count",
         safe_divide("top_sku_revenue", "group_revenue").alias("top_sku_share"),
         safe_divide("top_3_revenue", "group_revenue").alias("top_3_share"),
     )
 
 
-def top_attached(rows: DataFrame, category_orders: DataFrame) -> DataFrame:
+def monthly_baskets(rows: DataFrame) -> DataFrame:
+    """Orders per month and distinct set of categories."""
+    return basket_sets(rows, "order_sk", "item_category", ["order_month"])
+
+
+def top_attached(baskets: DataFrame) -> DataFrame:
     """Per category and month the category most often bought in the same order, with its attach rate."""
-    pairs = attach_pairs(rows, "order_sk", "item_category", ["order_month"])
-    rated = pairs.withColumnsRenamed({"a": "item_category", "b": "top_attached_category"}).join(
-        category_orders.select("order_month", "item_category", "orders"), ["order_month", "item_category"]
-    )
-    rated = rated.withColumn("cross_sell_attach_rate", safe_divide("pair_orders", "orders"))
+    by = ["order_month"]
+    base = member_counts(baskets, by).withColumnRenamed("a", "item_category")
+    pairs = directed_pairs(baskets, by).withColumnsRenamed({"a": "item_category", "b": "top_attached_category"})
+    rated = pairs.join(base, KEYS).withColumn("cross_sell_attach_rate", safe_divide("pair_orders", "orders"))
     order = [F.desc("cross_sell_attach_rate"), F.desc("pair_orders"), F.asc("top_attached_category")]
-    return top_n_per_group(rated, ["order_month", "item_category"], order, 1, "place").select(
-        "order_month", "item_category", "top_attached_category", "cross_sell_attach_rate"
+    return top_n_per_group(rated, KEYS, order, 1, "place").select(
+        *KEYS, "top_attached_category", "cross_sell_attach_rate"
     )
 
 
-def order_context(rows: DataFrame, orders: DataFrame) -> DataFrame:
-    """Per category and month: first-time and repeat customers, mean distance and mean order size."""
-    facts = orders.select(
+FIRST = "distinct_customers_whose_first_order_included_category_in_month"
+REPEAT = "distinct_customers_with_repeat_orders_including_category_in_month"
+
+
+def category_core(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per category and month: sums, distinct orders and customers, and the context of those orders.
+
+    One pass over the items: they are folded to (category, order), meet the order fact there, and are then
+    folded to customers and to categories. The order gives its first-order flag, distance and size.
+    """
+    per_order = order_grain(rows, KEYS, {c: F.col(c) for c in SUMS}, {})
+    context = orders.select(
         "order_sk",
-        "customer_sk",
-        month_of("order_date").alias("order_month"),
         F.col("is_first_order_for_customer").alias("is_first"),
-        "delivery_distance_line_meters",
-        "total_units_in_order",
+        F.col("delivery_distance_line_meters").alias("distance"),
+        F.col("total_units_in_order").alias("order_units"),
     )
-    members = rows.select("order_sk", "item_category").distinct().join(facts, "order_sk")
     first = F.col("is_first")
-    per_customer = members.groupBy("order_month", "item_category", "customer_sk").agg(
-        F.max(first).alias("had_first"),
-        F.max(~first).alias("had_repeat"),
-        F.sum("delivery_distance_line_meters").alias("distance"),
-        F.count("delivery_distance_line_meters").alias("distance_n"),
-        F.sum("total_units_in_order").alias("units"),
-        F.count("total_units_in_order").alias("units_n"),
+    per_customer = (
+        per_order.join(context, "order_sk", "left")
+        .groupBy(*KEYS, "customer_sk")
+        .agg(
+            *[F.sum(c).alias(c) for c in SUMS],
+            F.count("order_sk").alias("orders"),
+            F.max(first).alias("had_first"),
+            F.max(~first).alias("had_repeat"),
+            *[F.sum(c).alias(c) for c in ("distance", "order_units")],
+            *[F.count(c).alias(f"{c}_n") for c in ("distance", "order_units")],
+        )
     )
-    return per_customer.groupBy("order_month", "item_category").agg(
-        count_where(F.col("had_first")).alias("distinct_customers_whose_first_order_included_category_in_month"),
-        count_where(F.col("had_repeat")).alias("distinct_customers_with_repeat_orders_including_category_in_month"),
+    return per_customer.groupBy(*KEYS).agg(
+        *[F.sum(c).alias(c) for c in (*SUMS, "orders")],
+        F.count("customer_sk").alias("customers"),
+        count_where(F.col("orders") > 1).alias("repeat_customers"),
+        count_where(F.col("had_first")).alias(FIRST),
+        count_where(F.col("had_repeat")).alias(REPEAT),
         safe_divide(F.sum("distance"), F.sum("distance_n")).alias("avg_delivery_distance_meters"),
-        safe_divide(F.sum("units"), F.sum("units_n")).alias("avg_order_units_for_orders_with_category"),
+        safe_divide(F.sum("order_units"), F.sum("order_units_n")).alias("avg_order_units_for_orders_with_category"),
+    )
+
+
+def order_context(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per category and month: first-time and repeat customers, mean distance and mean order size."""
+    return category_core(rows, orders).select(
+        *KEYS, FIRST, REPEAT, "avg_delivery_distance_meters", "avg_order_units_for_orders_with_category"
     )
 
 
 def category_monthly(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Category by month: revenue, shares, penetration, prices, repeat rate, concentration, attach rate."""
-    keys = ["order_month", "item_category"]
     rows = category_rows(items)
-    sums = ["revenue_eur", "base_revenue_eur", "discount_eur", "units_sold", "promo_units_sold"]
-    core = measure_rollup(rows, keys, {c: c for c in sums})
+    baskets = monthly_baskets(rows)
+    buyers = rows.select("order_month", "customer_sk").distinct().groupBy("order_month").agg(
+        F.count("customer_sk").alias("total_customers")
+    )
+    month_orders = baskets.groupBy("order_month").agg(F.sum("baskets").alias("total_orders"))
+    # the core has one row per category and month, so its window is as long as the list of categories
+    whole_month = W.partitionBy("order_month")
+    core = category_core(rows, orders).withColumn("total_revenue_eur", F.sum("revenue_eur").over(whole_month))
     joined = (
-        core.join(monthly_totals(rows), "order_month")
-        .join(monthly_concentration(rows), keys, "left")
-        .join(top_attached(rows, core), keys, "left")
-        .join(order_context(rows, orders), keys, "left")
+        core.join(month_orders, "order_month")
+        .join(buyers, "order_month")
+        .join(monthly_concentration(rows), KEYS, "left")
+        .join(top_attached(baskets), KEYS, "left")
     )
     zero = F.lit(0.0)
-    first = "distinct_customers_whose_first_order_included_category_in_month"
-    repeat = "distinct_customers_with_repeat_orders_including_category_in_month"
     asp = safe_divide("revenue_eur", "units_sold")
     return joined.select(
-        *keys,
+        *KEYS,
         "revenue_eur",
         "base_revenue_eur",
         "discount_eur",
@@ -185,8 +212,8 @@ def category_monthly(items: DataFrame, orders: DataFrame) -> DataFrame:
         F.col("discount_eur").alias("order_item_rows_discount_eur"),
         asp.alias("weighted_avg_selling_price_eur"),
         F.col("customers").alias("distinct_customers_in_month"),
-        F.coalesce(first, F.lit(0)).alias(first),
-        F.coalesce(repeat, F.lit(0)).alias(repeat),
+        FIRST,
+        REPEAT,
         "promo_units_sold",
         "avg_order_units_for_orders_with_category",
         "avg_delivery_distance_meters",

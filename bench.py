@@ -19,7 +19,7 @@ from verify.registry import warehouse  # noqa: E402
 BUILD = ["int_item_logs", "int_item_scd2", "int_promoted", "fct_order", "dim_customer", "rpt_category_monthly"]
 HEADLINE = [
     "cur4_curated_events", "scd3_event_windows", "stg3_explode_basket", "jn2_time_valid_broadcast", "jn2_time_valid_asof",
-    "jn3_promo_window", "enr4_customer_sequence", "rpt4_category_scorecard", "rpt5_star_products", "rpt6_daypart",
+    "jn3_promo_window_broadcast", "jn3_promo_window_asof", "enr4_customer_sequence", "rpt4_category_scorecard", "rpt5_star_products", "rpt6_daypart",
     "rpt7_category_pairs", "rpt8_product_pairs", "rpt9_customer_promo", "ans1_service_area", "ans2_items_prices",
     "ans12_consumption", "ans15_controls", "ans16_star_detail", "bi17_switchable_kpis", "bi22_attach_rates",
     "aud1_curation", "aud7_price_anomaly", "aud15_reconciliation", "dq15_overlapping_promos", "sem4_foreign_dimension",

@@ -265,13 +265,14 @@ for strategy in ("broadcast", "asof"):
         ).select(*PRICED),
         PRICED_SQL,
     )
-add(
-    "jn3_promo_window",
-    lambda w, s, d: temporal.apply_promos(w["int_priced"], core.with_promo_key(w["stg_promos"]), cfg=CFG).select(
-        "order_item_sk", "promo_sk", "promo_type", "discount_pct"
-    ),
-    f"select order_item_sk, promo_sk, promo_type, {b('pct', 'discount_pct')} from promoted",
-)
+for strategy in ("broadcast", "asof"):
+    add(
+        f"jn3_promo_window_{strategy}",
+        lambda w, s, d, strategy=strategy: temporal.apply_promos(
+            w["int_priced"], core.with_promo_key(w["stg_promos"]), cfg=CFG, strategy=strategy
+        ).select("order_item_sk", "promo_sk", "promo_type", "discount_pct"),
+        f"select order_item_sk, promo_sk, promo_type, {b('pct', 'discount_pct')} from promoted",
+    )
 add(
     "jn4_order_rollups",
     lambda w, s, d: w["int_order_rollups"].select(

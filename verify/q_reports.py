@@ -52,7 +52,7 @@ add(
 )
 add(
     "rpt1d_top_attached",
-    lambda w, s, d: rpt.top_attached(rows(w), w["rpt_category_monthly"]),
+    lambda w, s, d: rpt.top_attached(rpt.monthly_baskets(rows(w))),
     f"select {t('mon', 'order_month')}, cat as item_category, other as top_attached_category, {r('rate', 'cross_sell_attach_rate')} "
     "from cat_month where other is not null",
 )
