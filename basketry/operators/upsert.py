@@ -68,7 +68,7 @@ def upsert_table(
     # this list has one entry per such date at most
     emptied = [r[0] for r in touched.join(staged.select(partition).distinct(), partition, "left_anti").collect()]
     (
-        staged.repartition(partition, F.pmod(F.xxhash64(*keys), F.lit(8)))
+        staged.hint("rebalance", partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)

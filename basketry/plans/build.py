@@ -56,7 +56,7 @@ def models(cfg: Settings, run_ts: dt.datetime) -> list[Model]:
         m("stg_item_logs", "raw_item_logs", staging.stage_item_logs),
         m("stg_promos", "raw_promos", staging.stage_promos),
         m("stg_purchases", "raw_purchases", lambda r: staging.stage_purchase_logs(r, cfg)),
-        m("stg_order_items", "raw_baskets", staging.explode_basket),
+        m("stg_order_items", "raw_baskets", staging.explode_basket, True),
         m("int_item_logs", "stg_item_logs", lambda s: curation.curate_item_logs(s, cfg), True),
         m("int_purchases", "stg_purchases", lambda s: curation.curate_purchases(s, cfg)),
         m("int_item_scd2", "int_item_logs", lambda c: history.item_scd2(c, cfg.split_unit), True),

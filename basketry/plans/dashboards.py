@@ -57,11 +57,11 @@ def _latest(monthly: DataFrame) -> DataFrame:
 def latest_month_headlines(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Top category, order count and promotion share of the latest month, one row each."""
     latest = orders.select(F.max(month_of("order_date"))).scalar()
-    by_category = (
-        items.where(month_of("order_date") == latest).groupBy("item_category").agg(F.sum(UNITS).alias("units"))
-    )
+    # plain bounds on the date, so a date-partitioned fact is pruned to one month
+    this_month = F.col("order_date").between(latest, F.last_day(latest))
+    by_category = items.where(this_month).groupBy("item_category").agg(F.sum(UNITS).alias("units"))
     top = top_n(by_category, [F.desc("units"), F.asc_nulls_first("item_category")], 1)
-    month = orders.where(month_of("order_date") == latest).agg(
+    month = orders.where(this_month).agg(
         F.count(F.lit(1)).alias("n"), count_where(F.col("has_any_promo_units_in_order")).alias("promo")
     )
 

@@ -37,10 +37,13 @@ def promo_units() -> Column:
     return F.when(F.col("is_promo_item"), F.col(UNITS)).otherwise(F.lit(0))
 
 
-def concentration(rows: DataFrame, by: list[str], product: str, revenue: str) -> DataFrame:
+def concentration(
+    rows: DataFrame, by: list[str], product: str, revenue: str, nullable: bool = False
+) -> DataFrame:
     """Per group: number of products, group revenue, revenue of the best and of the best three products.
 
-    Only three candidates per group survive each task, however many products a group has.
+    Only three candidates per group survive each task, however many products a group has. Both halves read
+    the products from one shuffle, as long as the group columns are not `nullable`.
     """
     products = rows.groupBy(*by, product).agg(F.sum(revenue).alias("product_revenue"))
     size = products.groupBy(*by).agg(
@@ -52,7 +55,7 @@ def concentration(rows: DataFrame, by: list[str], product: str, revenue: str) ->
         F.max(F.when(F.col("place") == 1, F.col("product_revenue"))).alias("top_sku_revenue"),
         F.sum("product_revenue").alias("top_3_revenue"),
     )
-    return null_safe_join(size, top, by)
+    return null_safe_join(size, top, by) if nullable else size.join(top, by, "left")
 
 
 # ----------------------------------------------------------------------------------- category monthly
@@ -284,7 +287,7 @@ def category_scorecard(items: DataFrame) -> DataFrame:
     totals = measure_rollup(rows, [], {"total_revenue_eur": "revenue"}).select(
         "total_revenue_eur", F.col("orders").alias("total_orders"), F.col("customers").alias("total_customers")
     )
-    spread = concentration(rows, ["category"], "product_name", "revenue").select(
+    spread = concentration(rows, ["category"], "product_name", "revenue", nullable=True).select(
         "category", F.col("top_sku_revenue").alias("top_sku_revenue_eur"), F.col("top_3_revenue").alias("top_3_revenue_eur")
     )
     joined = null_safe_join(with_totals(core, totals), spread, ["category"])

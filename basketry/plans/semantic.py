@@ -8,12 +8,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions import safe_divide
 from basketry.operators.joins import with_totals
 
 AGGREGATES = {
     "count": F.count,
     "sum": F.sum,
-    "average": lambda c: F.avg(F.col(c).cast("double") if isinstance(c, str) else c),
+    # exact sum and one division: the result does not depend on how rows were distributed
+    "average": lambda c: safe_divide(F.sum(c), F.count(c)),
     "count_distinct": F.count_distinct,
 }
 GRAINS = ("hour", "day", "week", "month", "quarter", "year")

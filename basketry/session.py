@@ -1,4 +1,4 @@
-"""Session settings, shared storage and size-checked broadcasts."""
+"""Session settings and shared storage."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,12 +64,3 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True if the table has at most `max_rows` rows; reads no more than it needs to know."""
-    return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a side for broadcast only after its size was checked; otherwise leave it to a shuffle."""
-    return F.broadcast(df) if fits(df, max_rows) else df

@@ -95,25 +95,20 @@ def write_layout(
     date_column: str,
     sort_keys: Sequence[str],
     grain: str = "day",
-    files_per_date: int = 1,
     mode: str = "overwrite",
 ) -> DataFrame:
     """Date-partitioned Parquet with rows sorted by key inside each file.
 
-    `files_per_date` spreads one date over several tasks by a hash of the sort keys: the date is never one
-    task's work, and equal keys of a date still share a file so row-group statistics can skip.
+    The rebalance hint lets adaptive execution split a date that is too large for one task and merge dates
+    that are too small, so file sizes follow the advisory partition size instead of the calendar.
     """
-    day = F.trunc(F.col(date_column).cast("date"), "month") if grain == "month" else F.col(date_column).cast("date")
-    slot = F.pmod(F.xxhash64(*sort_keys), F.lit(files_per_date))
-    out = df.withColumn(PARTITION_COLUMN, day).withColumn("__slot", slot)
-    out = (
-        out.repartition(PARTITION_COLUMN, "__slot")
-        .sortWithinPartitions(PARTITION_COLUMN, "__slot", *sort_keys)
-        .drop("__slot")
-    )
-    # only the dates present in this write are replaced
+    day = F.col(date_column).cast("date")
+    out = df.withColumn(PARTITION_COLUMN, F.trunc(day, "month") if grain == "month" else day)
     (
-        out.write.mode(mode)
+        out.hint("rebalance", PARTITION_COLUMN)
+        .sortWithinPartitions(PARTITION_COLUMN, *sort_keys)
+        .write.mode(mode)
+        # only the dates present in this write are replaced
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(PARTITION_COLUMN)
         .parquet(path)

@@ -40,7 +40,7 @@ def test_ordered_csv_is_sorted_across_files(spark, scratch):
 
 def test_layout_replaces_only_written_dates(spark, scratch):
     df = spark.range(100).select("id", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("d"))
-    sinks.write_layout(df, f"{scratch}/t", "d", ["id"], files_per_date=2)
+    sinks.write_layout(df, f"{scratch}/t", "d", ["id"])
     day = df.where("d = date'2023-01-02'").select((F.col("id") + 1000).alias("id"), "d")
     back = sinks.write_layout(day, f"{scratch}/t", "d", ["id"])
     assert back.count() == 100 and back.where("id >= 1000").count() == day.count()

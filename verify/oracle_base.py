@@ -255,6 +255,7 @@ pairs as (
   from ords o join (select distinct order_sk, cat from oc) m using (order_sk) group by all
 )
 select c.*, t_rev, t_ord, t_cust, {div("rep_n", "all_n")} as rep_rate, coalesce(top1, 0) as top1, coalesce(top3, 0) as top3,
+       con.top1 as top1_or_null, con.top3 as top3_or_null,
        other, coalesce(rate, 0) as rate, coalesce(first_n, 0) as first_n, coalesce(rep_cust, 0) as rep_cust, ou, dist
 from c join tot using (mon) left join rep using (mon, cat) left join con using (mon, cat)
 left join att using (mon, cat) left join ctx using (mon, cat)

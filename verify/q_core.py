@@ -135,7 +135,7 @@ add(
 add(
     "snk7_layout",
     lambda w, s, d: sinks.write_layout(
-        w["fct_order_item"], scratch_path(s, "layout"), "order_date", ["order_sk", "item_key_sk"], "month", 2
+        w["fct_order_item"], scratch_path(s, "layout"), "order_date", ["order_sk", "item_key_sk"], "month"
     ).groupBy(F.col("part_date").alias("part_month")).agg(
         F.count(F.lit(1)).alias("row_count"), F.sum("units_in_order_item_row").alias("units")
     ),

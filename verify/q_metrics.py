@@ -54,7 +54,7 @@ add(
         w, ["line_revenue_eur", "units_sold", "discount_pct_applied", "avg_item_unit_final_price_gross_eur"], ["metric_time", "item_category"], "quarter"
     ),
     f"select cast(date_trunc('quarter', order_date)::date as varchar) as metric_time, item_category, {n('sum(final)', 'line_revenue_eur')}, {b('sum(units)', 'units_sold')}, "
-    f"{r('avg(disc)', 'discount_pct_applied')}, {r('avg(cast(unit_final as double))', 'avg_item_unit_final_price_gross_eur')} from items group by 1, 2",
+    f"{r('avg(disc)', 'discount_pct_applied')}, {r(div('sum(unit_final)', 'count(unit_final)'), 'avg_item_unit_final_price_gross_eur')} from items group by 1, 2",
 )
 add(
     "sem3_filtered",
@@ -80,7 +80,7 @@ add(
     "sem5_item_columns",
     lambda w, s, d: semantic.column_metrics(w["fct_order_item"], "fct_order_item", ["item_category"]),
     f"select item_category, count(distinct order_item_sk) as order_item_rows, count(distinct order_sk) as orders, {b('sum(units)', 'units_sold')}, "
-    f"{r('avg(cast(unit_final as double))', 'avg_item_unit_final_price_gross_eur')}, {n('sum(row_disc)', 'total_discount_gross_eur')}, {n('sum(final)', 'total_revenue_gross_eur')} "
+    f"{r(div('sum(unit_final)', 'count(unit_final)'), 'avg_item_unit_final_price_gross_eur')}, {n('sum(row_disc)', 'total_discount_gross_eur')}, {n('sum(final)', 'total_revenue_gross_eur')} "
     "from items group by item_category",
 )
 add(

@@ -47,8 +47,8 @@ add(
 add(
     "rpt1c_concentration",
     lambda w, s, d: rpt.monthly_concentration(rows(w)),
-    f"select {t('mon', 'order_month')}, cat as item_category, skus as sku_count, {r('top1', 'top_sku_share')}, "
-    f"{r('top3', 'top_3_share')} from cat_month",
+    f"select {t('mon', 'order_month')}, cat as item_category, skus as sku_count, {r('top1_or_null', 'top_sku_share')}, "
+    f"{r('top3_or_null', 'top_3_share')} from cat_month",
 )
 add(
     "rpt1d_top_attached",
@@ -425,8 +425,8 @@ add(
 add(
     "bi9_insight",
     lambda w, s, d: bi.category_growth_insight(w["rpt_category_monthly"]),
-    tip("Top categories (latest month)", "string_agg(cat, ', ' order by rev desc, cat)", "'Updates automatically after each refresh'",
-        f"from (select cat, rev from cat_month where {_last('cat_month')} order by rev desc, cat limit 3)"),
+    tip("Top categories (latest month)", "concat_ws(', ', coalesce(min(cat) filter (where k = 1), 'n/a'), coalesce(min(cat) filter (where k = 2), 'n/a'), coalesce(min(cat) filter (where k = 3), 'n/a'))", "'Updates automatically after each refresh'",
+        f"from (select cat, row_number() over (order by rev desc, cat) as k from cat_month where {_last('cat_month')})"),
 )
 add(
     "bi10_stars",
