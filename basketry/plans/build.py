@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from basketry.config import Settings
 from basketry.operators import curation, enrich, history, staging
 from basketry.plans import audit, core, reporting
-from basketry.session import materialize
+from basketry.session import materialize, scratch_path
+from basketry.sources.sinks import LAYOUTS, write_table_layout
 
 RAW = ("raw_item_logs", "raw_promos", "raw_purchases", "raw_baskets")
 
@@ -105,7 +106,9 @@ class Warehouse(Mapping):
     """Tables by name, made when first asked for from the raw feeds."""
 
     def __init__(self, raw: Mapping[str, DataFrame], cfg: Settings = Settings(),
-                 run_ts: dt.datetime = dt.datetime(2024, 1, 1)):
+                 run_ts: dt.datetime = dt.datetime(2024, 1, 1), layout: bool = False):
+        """With `layout` stored tables are partitioned by date as declared in `LAYOUTS`."""
+        self._layout = layout
         self._models = {m.name: m for m in models(cfg, run_ts)}
         self._made: dict[str, DataFrame] = dict(raw)
         self._raw = tuple(raw)
@@ -114,7 +117,12 @@ class Warehouse(Mapping):
         if name not in self._made:
             model = self._models[name]
             df = model.make(*[self[i] for i in model.inputs])
-            self._made[name] = materialize(df, name) if model.stored else df
+            if not model.stored:
+                self._made[name] = df
+            elif self._layout and name in LAYOUTS:
+                self._made[name] = write_table_layout(df, scratch_path(df.sparkSession, name), name)
+            else:
+                self._made[name] = materialize(df, name)
         return self._made[name]
 
     def __iter__(self):

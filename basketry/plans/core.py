@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.config import Settings
 from basketry.functions import local_time, sunday_week, surrogate_key
-from basketry.operators.enrich import decompose_amounts
+from basketry.operators.enrich import decompose_amounts, orders_with_rollups
 from basketry.operators.history import HISTORY_COLUMNS
 from basketry.operators.joins import restrict_to_keys
 from basketry.operators.temporal import apply_promo_segments, promo_segments, time_valid_join
@@ -156,13 +156,19 @@ def dim_customer(orders: DataFrame, cutoff=None) -> DataFrame:
 # ------------------------------------------------------------------------------- incremental refreshes
 
 
-def refresh_fct_order(target: DataFrame, rollups: DataFrame, cutoff, cfg: Settings = Settings()) -> DataFrame:
+def refresh_fct_order(
+    target: DataFrame, purchases: DataFrame, promoted: DataFrame, cutoff, cfg: Settings = Settings()
+) -> DataFrame:
     """Upsert every order of the customers who ordered since the cutoff.
 
-    A late order renumbers the later orders of its customer, so those are restated with it.
+    A late order renumbers the later orders of its customer, so those are restated with it. Both inputs are
+    cut down to these customers before anything is sorted or rolled up.
     """
-    recent = rollups.where(F.col("time_order_received_utc") >= F.lit(cutoff)).select("customer_sk")
-    return upsert(target, fct_order(restrict_to_keys(rollups, recent, "customer_sk"), cfg), ["order_sk"])
+    keyed = purchases.withColumn("customer_sk", surrogate_key("customer_key"))
+    recent = keyed.where(F.col("time_order_received_utc") >= F.lit(cutoff)).select("customer_sk").distinct()
+    theirs = restrict_to_keys(keyed, recent, "customer_sk").drop("customer_sk")
+    items = restrict_to_keys(promoted, recent, "customer_sk")
+    return upsert(target, fct_order(orders_with_rollups(theirs, items, cfg), cfg), ["order_sk"])
 
 
 def refresh_fct_order_item(target: DataFrame, promoted: DataFrame, cutoff) -> DataFrame:

@@ -14,6 +14,7 @@ from basketry.sources.sinks import (
     export_pair_affinity,
     ordered_csv,
     write_layout,
+    write_table_layout,
 )
 
 __all__ = [
@@ -30,4 +31,5 @@ __all__ = [
     "read_purchase_logs",
     "write_layout",
     "write_replace",
+    "write_table_layout",
 ]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDER_EXPORT = (
     "order_sk customer_sk purchase_key customer_key order_ts_utc order_ts_berlin order_date_utc order_date "
@@ -74,17 +75,18 @@ def export_pair_affinity(pairs: DataFrame, path: str) -> DataFrame:
     return ordered_csv(pairs.select(*PAIR_EXPORT), path, order)
 
 
-# Layout of each table: (date column, grain of the partition, sort keys inside files).
+# Layout of each stored table: (date column, grain of the partition, sort keys inside files).
 LAYOUTS: dict[str, tuple[str, str, tuple[str, ...]]] = {
     "fct_order": ("order_date", "day", ("order_sk", "customer_sk")),
     "fct_order_item": ("order_date", "day", ("order_sk", "item_key_sk", "customer_sk")),
+    "int_promoted": ("order_date_berlin", "day", ("order_sk", "item_key_sk", "customer_sk")),
     "int_purchases": ("order_date_utc", "day", ("purchase_key", "customer_key")),
     "int_item_logs": ("time_log_created_utc", "day", ("item_key",)),
     "dim_item_history": ("valid_from_utc", "day", ("item_key_sk", "is_current")),
     "dim_promo": ("promo_start_date", "day", ("item_key_sk", "promo_type")),
-    "rpt_category_monthly": ("order_month", "month", ("order_month", "item_category")),
-    "rpt_kpi_long": ("order_month", "month", ("metric_name", "item_category")),
-    "rpt_kpi_mom": ("order_month", "month", ("metric_name", "item_category")),
+    "rpt_category_monthly": ("order_month", "day", ("item_category",)),
+    "rpt_kpi_long": ("order_month", "day", ("metric_name", "item_category")),
+    "rpt_kpi_mom": ("order_month", "day", ("metric_name", "item_category")),
 }
 PARTITION_COLUMN = "part_date"
 
@@ -99,18 +101,28 @@ def write_layout(
 ) -> DataFrame:
     """Date-partitioned Parquet with rows sorted by key inside each file.
 
+    A date column partitions by itself, so filters on it prune; months and timestamps get a `part_date`.
     The rebalance hint lets adaptive execution split a date that is too large for one task and merge dates
     that are too small, so file sizes follow the advisory partition size instead of the calendar.
     """
-    day = F.col(date_column).cast("date")
-    out = df.withColumn(PARTITION_COLUMN, F.trunc(day, "month") if grain == "month" else day)
+    if grain == "day" and isinstance(df.schema[date_column].dataType, T.DateType):
+        out, partition = df, date_column
+    else:
+        day = F.col(date_column).cast("date")
+        out, partition = df.withColumn(PARTITION_COLUMN, F.trunc(day, "month") if grain == "month" else day), PARTITION_COLUMN
     (
-        out.hint("rebalance", PARTITION_COLUMN)
-        .sortWithinPartitions(PARTITION_COLUMN, *sort_keys)
+        out.hint("rebalance", partition)
+        .sortWithinPartitions(partition, *sort_keys)
         .write.mode(mode)
         # only the dates present in this write are replaced
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITION_COLUMN)
+        .partitionBy(partition)
         .parquet(path)
     )
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path).select(*out.columns)
+
+
+def write_table_layout(df: DataFrame, path: str, table: str) -> DataFrame:
+    """Store a table in its declared layout; the result has the columns of the input."""
+    column, grain, keys = LAYOUTS[table]
+    return write_layout(df, path, column, keys, grain).select(*df.columns)

@@ -77,7 +77,7 @@ def test_refresh_equals_full_build(spark, cut):
     early = F.col("time_order_received_utc") < F.lit(cut).cast("timestamp")
     # rows known before the cut; later ones arrive with the refresh
     target = core.fct_order(rollups.where(early))
-    fresh = core.refresh_fct_order(target, rollups, at(cut))
+    fresh = core.refresh_fct_order(target, w["int_purchases"], w["int_promoted"], at(cut))
     assert fresh.exceptAll(full.select(*fresh.columns)).count() == 0 and fresh.count() == full.count()
     items = core.refresh_fct_order_item(core.fct_order_item(w["int_promoted"].where(early)), w["int_promoted"], at(cut))
     assert items.exceptAll(w["fct_order_item"]).count() == 0 and items.count() == w["fct_order_item"].count()

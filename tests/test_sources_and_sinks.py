@@ -44,3 +44,17 @@ def test_layout_replaces_only_written_dates(spark, scratch):
     day = df.where("d = date'2023-01-02'").select((F.col("id") + 1000).alias("id"), "d")
     back = sinks.write_layout(day, f"{scratch}/t", "d", ["id"])
     assert back.count() == 100 and back.where("id >= 1000").count() == day.count()
+
+
+def test_build_with_layout_prunes_by_date(spark):
+    from verify import fixtures
+    from basketry.plans.build import RAW, Warehouse
+
+    sf = "/root/testdata/sf0.001"
+    w = Warehouse({n: getattr(fixtures, n)(spark, sf) for n in RAW}, layout=True)
+    plain = Warehouse({n: getattr(fixtures, n)(spark, sf) for n in RAW})
+    assert w["fct_order"].columns == plain["fct_order"].columns
+    assert w["fct_order"].exceptAll(plain["fct_order"]).count() == 0
+    month = w["fct_order"].where("order_date >= date'1998-01-01' and order_date < date'1998-02-01'")
+    text = month._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_date" in text and month.count() > 0

@@ -484,8 +484,8 @@ def _split_orders(w):
 
 def _upserted_orders(w, s, d):
     """First load up to a date, then a refresh that starts a week before it."""
-    rollups, target = _split_orders(w)
-    return core.refresh_fct_order(target, rollups, SPLIT - dt.timedelta(days=7), CFG)
+    _, target = _split_orders(w)
+    return core.refresh_fct_order(target, w["int_purchases"], w["int_promoted"], SPLIT - dt.timedelta(days=7), CFG)
 
 
 add("ups1_refresh_orders", _upserted_orders, ORDER_SQL)
