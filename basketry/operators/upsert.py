@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    fs, jpath = _hadoop_path(spark, path)
+    fs.delete(jpath, True)
+
+
 def upsert_table(
     spark: SparkSession,
     path: str,
@@ -107,12 +113,17 @@ class WatermarkStore:
 
     def put(self, model: str, df: DataFrame, column: str, now: dt.datetime) -> None:
         """Set the watermark to max(column); a table without any value leaves it alone."""
-        row = (
+        self.put_all({model: (df, column)}, now)
+
+    def put_all(self, models: Mapping[str, tuple[DataFrame, str]], now: dt.datetime) -> None:
+        """The watermarks of several models in one write."""
+        rows = [
             df.agg(F.max(column).cast("timestamp").alias("watermark_ts"))
             .where(F.col("watermark_ts").isNotNull())
             .select(F.lit(model).alias("model_name"), "watermark_ts", F.lit(now).cast("timestamp").alias("updated_at"))
-        )
-        upsert_table(self.spark, self.path, row, ["model_name"])
+            for model, (df, column) in models.items()
+        ]
+        upsert_table(self.spark, self.path, reduce(DataFrame.unionByName, rows), ["model_name"])
 
     def cutoff(
         self, model: str, target: DataFrame | None = None, column: str | None = None, lookback_days: int | None = None
@@ -147,19 +158,18 @@ class RunLog:
         return self.spark.read.schema(RUN_SCHEMA).parquet(self.path)
 
     def put(self, run_id: str, model: str, as_of: dt.datetime, now: dt.datetime) -> None:
+        self.put_all(run_id, [model], as_of, now)
+
+    def put_all(self, run_id: str, models: Sequence[str], as_of: dt.datetime, now: dt.datetime) -> None:
+        """Record several models of a run in one write; a repeated entry keeps its creation time."""
         cfg = self.cfg
-        old = (
-            self.table()
-            .where((F.col("run_id") == run_id) & (F.col("model_name") == model))
-            .select("created_at")
-            .first()
-        )
-        row = self.spark.createDataFrame(
-            [(run_id, model, as_of, as_of.date(), cfg.target_name, cfg.publish_tag, cfg.lookback_days,
-              cfg.watermarks_enabled, cfg.dev_sampling, old[0] if old else now, now)],
-            RUN_SCHEMA,
-        )
-        upsert_table(self.spark, self.path, row, ["run_id", "model_name"])
+        created = {r[0]: r[1] for r in self.table().where(F.col("run_id") == run_id).select("model_name", "created_at").collect()}
+        rows = [
+            (run_id, model, as_of, as_of.date(), cfg.target_name, cfg.publish_tag, cfg.lookback_days,
+             cfg.watermarks_enabled, cfg.dev_sampling, created.get(model, now), now)
+            for model in models
+        ]
+        upsert_table(self.spark, self.path, self.spark.createDataFrame(rows, RUN_SCHEMA), ["run_id", "model_name"])
 
 
 def freshness(watermarks: DataFrame, runs: DataFrame, models: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -23,14 +23,18 @@ from basketry.operators.upsert import table_exists, upsert_table
 EVENT_DAY = "event_day"
 
 
-def merge_batch(spark: SparkSession, batch: DataFrame, state_path: str) -> None:
-    """Fold one batch of staged item logs into the state; repeating a batch changes nothing."""
+def merge_batch(spark: SparkSession, batch: DataFrame, state_path: str, grain: str = "day") -> None:
+    """Fold one batch of staged item logs into the state; repeating a batch changes nothing.
+
+    The state is partitioned by event day, or by the first day of the event month with grain "month".
+    """
     fresh = best_per_log(drop_null_event_time(batch, "time_log_created_utc"))
     if table_exists(spark, state_path):
         known = spark.read.parquet(state_path).drop(EVENT_DAY)
         same_logs = known.join(fresh.select("log_item_id"), "log_item_id", "left_semi")
         fresh = best_per_log(fresh.unionByName(same_logs))
-    fresh = fresh.withColumn(EVENT_DAY, F.col("time_log_created_utc").cast("date"))
+    day = F.col("time_log_created_utc").cast("date")
+    fresh = fresh.withColumn(EVENT_DAY, F.trunc(day, "month") if grain == "month" else day)
     upsert_table(spark, state_path, fresh, ["log_item_id"], partition=EVENT_DAY)
 
 

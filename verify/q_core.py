@@ -570,6 +570,15 @@ add(
 )
 
 
+add(
+    "wm2_lookup",
+    lambda w, s, d: w["fct_order"].agg(
+        F.count_if(F.col("order_ts_utc") >= F.lit(_watermarks(w, s, d).get("fct_order"))).alias("at_watermark")
+    ),
+    "select count(*) filter (where ts >= (select max(ts) from ords)) as at_watermark from ords",
+)
+
+
 def _run_log(w, s, d):
     log = upsert.RunLog(s, scratch_path(s, "runs"), CFG)
     log.ensure()
