@@ -32,8 +32,9 @@ def word_minima(k: int, m: int):
     def minima(text: bytes):
         words = text.split()
         if len(words) < k:
-            return np.zeros(0, np.uint64), None
-        return window_min(gram_hash(hashes.of(words), m), k - m + 1), lambda s, e: b" ".join(words[s:e])
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+        least = window_min(gram_hash(hashes.of(words), m), k - m + 1)
+        return least, W.run_edges(least), lambda s, e: b" ".join(words[s:e])
 
     return minima
 
@@ -123,7 +124,7 @@ def repeated_passages(docs: DataFrame, k: int = 50, m: int = 10) -> DataFrame:
     runs = W.super_windows(base, word_minima(k, m), k)
     solve = smallest_doc(k, arrow_schema(docs.sparkSession, W.SOLVED))
     lone = lambda: F.when(F.col("last_doc") > F.col("first_doc"), F.array(F.struct(F.lit(0).alias("at"), F.col("at.n").alias("n"), F.col("first_doc").alias("mark"))))
-    spans = W.repeated_windows(base, runs.df, solve, cut_words(k), SHARD_BYTES, lone, F.col("doc_id") > F.col("s.mark"), 1)
+    spans = W.repeated_windows(base, runs.df, solve, cut_words(k), SHARD_BYTES, lone, lambda: F.col("doc_id") > F.col("s.mark"))
     return base.join(spans, ["doc_id", "th"], "left").select("doc_id", "text", F.transform("spans", lambda s: F.struct(s["from"].alias("from"), (s["to"] + k - 1).alias("to"))).alias("removed"))
 
 

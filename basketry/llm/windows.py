@@ -21,26 +21,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from basketry.llm.common import Stored, arrow_map, ragged, signed
 
 RUNS = "doc_id long, th long, mh array<long>, sh array<long>, start array<int>, n array<int>"
 
 
-def runs_of(minima: np.ndarray, cut: Callable[[int, int], bytes], k: int) -> tuple[np.ndarray, ...]:
-    """Runs of equal minima of one document: minimiser, hash of the packed string, first window, number of windows."""
-    if not len(minima):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    edge = np.flatnonzero(np.concatenate(([True], minima[1:] != minima[:-1])))
+def runs_of(minima: np.ndarray, edge: np.ndarray, cut: Callable[[int, int], bytes], k: int) -> tuple[np.ndarray, ...]:
+    """Runs of one document: minimiser, hash of the packed string, first window, number of windows."""
     n = np.diff(np.append(edge, len(minima)))
     strings = np.fromiter((xxhash.xxh3_64_intdigest(cut(s, s + c + k - 1)) for s, c in zip(edge.tolist(), n.tolist(), strict=True)), np.uint64, len(edge))
     return signed(minima[edge]), signed(strings), edge, n
 
 
+def run_edges(minima: np.ndarray) -> np.ndarray:
+    """First windows of the runs of equal minima."""
+    return np.flatnonzero(np.concatenate(([True], minima[1:] != minima[:-1]))) if len(minima) else np.zeros(0, np.int64)
+
+
 def super_windows(docs: DataFrame, minima: Callable, k: int) -> Stored:
-    """Runs of every document of `texts` as written arrays. `minima(text bytes)` gives (window minima, cutter)."""
+    """Runs of every document of `texts` as written arrays. `minima(text bytes)` gives (window minima, first windows of runs, cutter)."""
 
     def per_batch(batch: pa.RecordBatch) -> dict:
         found = []
@@ -52,12 +52,12 @@ def super_windows(docs: DataFrame, minima: Callable, k: int) -> Stored:
     return Stored(arrow_map(docs, per_batch, RUNS).where(F.size("mh") > 0), "runs")
 
 
-def repeated_windows(docs: DataFrame, runs: DataFrame, solve: Callable, cut_strings: Callable, shard_bytes: int, lone: Callable, needed: F.Column, unit_bytes: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, runs: DataFrame, solve: Callable, cut_strings: Callable, shard_bytes: int, lone: Callable, needed: Callable) -> DataFrame:
     """(doc_id, th, spans): intervals of first windows [from, to) in document order that are repeated.
 
     `solve(batches) -> batches` gets all strings of a shard (mh, sh, copies, first_doc, last_doc, string) and returns
-    (mh, sh, spans) with spans of (at, n, mark). `lone` gives the spans of a class that is alone at its minimiser.
-    `needed(doc_id, mark)` tells which spans count for a document.
+    (mh, sh, spans) with spans of (at, n, mark). `lone()` gives the spans of a class that is alone at its minimiser,
+    `needed()` whether a span s counts for the document of a row.
     """
     spark = docs.sparkSession
     long = runs.select("doc_id", "th", F.explode(F.arrays_zip("mh", "sh", "start", "n")).alias("r")).select("doc_id", "th", "r.mh", "r.sh", "r.start", "r.n")
@@ -75,10 +75,9 @@ def repeated_windows(docs: DataFrame, runs: DataFrame, solve: Callable, cut_stri
     solved = strings.df.repartition(int(shards), "mh").mapInArrow(solve, SOLVED)
     spans = alone.unionByName(solved.select("mh", "sh", "spans"))
     spans = Stored(spans, "class_spans")
-    hits = kept.df.join(spans.df, ["mh", "sh"]).select("doc_id", "th", "start", F.explode("spans").alias("s")).where(needed)
+    hits = kept.df.join(spans.df, ["mh", "sh"]).select("doc_id", "th", "start", F.explode("spans").alias("s")).where(needed())
     return hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("s.at")).alias("from"), (F.col("start") + F.col("s.at") + F.col("s.n")).alias("to"))).alias("spans"))
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("mark", T.LongType())]))
 SOLVED = "mh long, sh long, spans array<struct<at: int, n: int, mark: long>>"
 STRINGS = "mh long, sh long, copies long, first_doc long, last_doc long, string binary"
