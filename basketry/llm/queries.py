@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import substring, suffix
+from basketry.llm import minhash, substring, suffix
 from basketry.llm.common import table
 
 
@@ -14,12 +14,17 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.kept_bytes(suffix.repeated_bytes(table(spark, sf_dir, "documents")))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_words(substring.repeated_passages(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
 }
 ORACLE: dict[str, str] = {}
