@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import minhash, sharding, substring, suffix, topk
+from basketry.llm import minhash, packing, sharding, substring, suffix, topk
 from basketry.llm.common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -26,6 +32,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op9_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_words(substring.repeated_passages(table(spark, sf_dir, "documents")))
 
@@ -35,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_balanced_sharding": op5_balanced_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_bm25_packing": op8_bm25_packing,
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
 }
 ORACLE: dict[str, str] = {
