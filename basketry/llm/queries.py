@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import minhash, packing, sharding, substring, suffix, topk
+from basketry.llm import minhash, packing, quality, sharding, substring, suffix, topk
 from basketry.llm.common import table
+from basketry.llm.labelled import remainder
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -40,6 +41,11 @@ def op9_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_words(substring.repeated_passages(table(spark, sf_dir, "documents")))
 
 
+def op10_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: remainder(doc_id, 3) != 1)
+    return quality.predictions(scores, 3, 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_segment_topk": op2_segment_topk,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_bm25_packing": op8_bm25_packing,
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
+    "op10_neighbour_quality": op10_neighbour_quality,
 }
 ORACLE: dict[str, str] = {
     "op2_segment_topk": """
