@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import minhash, packing, quality, sharding, substring, suffix, topk
+from basketry.llm import minhash, packing, quality, sharding, substring, suffix, topk, toxicity
 from basketry.llm.common import table
 from basketry.llm.labelled import remainder
 
@@ -29,6 +29,11 @@ def op5_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_trie_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: remainder(doc_id, 5) != 0)
+    return quality.predictions(scores, 5, 0)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_segment_topk": op2_segment_topk,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_balanced_sharding": op5_balanced_sharding,
+    "op6_trie_toxicity": op6_trie_toxicity,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_bm25_packing": op8_bm25_packing,
     "op9_super_kmer_dedup": op9_super_kmer_dedup,
