@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import minhash, packing, quality, sharding, substring, suffix, topk, toxicity
+from basketry.llm import lines, minhash, packing, quality, sharding, substring, suffix, topk, toxicity
 from basketry.llm.common import table
 from basketry.llm.labelled import remainder
 
@@ -25,6 +25,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.kept_bytes(suffix.repeated_bytes(table(spark, sf_dir, "documents")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
+
+
 def op5_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def op10_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_segment_topk": op2_segment_topk,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_balanced_sharding": op5_balanced_sharding,
     "op6_trie_toxicity": op6_trie_toxicity,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
@@ -74,4 +79,27 @@ ORACLE: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op4_line_dedup": """
+        WITH split AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL
+        ), every AS (
+            SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split
+        ), full_lines AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM every WHERE regexp_matches(line, '[^ \\t\\n\\v\\f\\r]')
+        ), pairs AS (
+            SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY seq) AS next FROM full_lines
+        ), copies AS (
+            SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, seq) AS nth,
+                CASE WHEN next IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY line, next ORDER BY doc_id, seq) END AS nth_pair
+            FROM pairs
+        ), marked AS (
+            SELECT *, (nth > 1 AND length(line) >= 40) OR nth_pair > 1
+                OR coalesce(lag(nth_pair) OVER (PARTITION BY doc_id ORDER BY seq), 1) > 1 AS gone
+            FROM copies
+        ), runs AS (
+            SELECT doc_id, pos, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY seq), false) AS begins FROM marked
+        )
+        SELECT e.doc_id, count(r.pos) AS n_lines, count(*) FILTER (r.gone) AS n_removed, count(*) FILTER (r.begins) AS n_runs,
+            sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.pos) FILTER (coalesce(NOT r.gone, true)), '')) AS kept_sha256
+        FROM every e LEFT JOIN runs r ON e.doc_id = r.doc_id AND e.pos = r.pos GROUP BY e.doc_id""",
 }
