@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import lines, minhash, packing, quality, sharding, substring, suffix, topk, toxicity
+from basketry.llm import decontam, lines, minhash, packing, quality, sharding, substring, suffix, topk, toxicity
 from basketry.llm.common import table
 from basketry.llm.labelled import remainder
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -56,6 +60,7 @@ def op10_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cgk_decontamination": op1_cgk_decontamination,
     "op2_segment_topk": op2_segment_topk,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_line_dedup": op4_line_dedup,
