@@ -26,6 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def rows_where(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows a task-side test keeps, with all their columns; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 class Stored:
     """A table written to the shared folder: cuts lineage, survives lost executors, can be removed early."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import arrow_map, mix, texts
+from basketry.llm.common import arrow_map, mix, rows_where, texts
 from basketry.llm.positions import numbered
 
 RATE = 0.06
@@ -246,31 +246,54 @@ class Items:
         return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, edits): documents that hold a passage within `rate` of an item."""
-    base = texts(docs)
+def blocks(benchmark: DataFrame, rate: float, size: int):
+    """Per block of items a function that gives the block's `Items` inside a task."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     items = numbered(items, ["item_id", "text"], "items")
-    count = items.count()
-    found = None
-    for at in range(0, max(count, 1), block):
-        rows = items.where((F.col("_pos") >= at) & (F.col("_pos") < at + block)).collect()  # a block
-        held = docs.sparkSession.sparkContext.broadcast(sorted((r["item_id"], normal(r["text"])) for r in rows))
+    for at in range(0, items.count(), size):
+        rows = items.where((F.col("_pos") >= at) & (F.col("_pos") < at + size)).collect()  # a block
+        held = benchmark.sparkSession.sparkContext.broadcast(sorted((r["item_id"], normal(r["text"])) for r in rows))
         made: list[Items] = []
 
-        def per_batch(batch: pa.RecordBatch, held=held, made=made) -> dict:
+        def block(held=held, made=made) -> Items:
             if not made:
                 made.append(Items(held.value, rate))
-            out: dict = {"doc_id": [], "item_id": [], "edits": []}
+            return made[0]
+
+        yield block
+
+
+def found_in(batch: pa.RecordBatch, items: Items):
+    """(row, item number, edits) of a batch."""
+    text = batch.column("text")
+    for s in range(0, batch.num_rows, 500):
+        for (d, k), edits in items.leaks([normal(t) for t in text.slice(s, 500).to_pylist()]).items():
+            yield s + d, k, edits
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, item_id, edits): documents that hold a passage within `rate` of an item."""
+    base = texts(docs).select("doc_id", "text")
+    schema = "doc_id long, item_id long, edits long"
+    found = docs.sparkSession.createDataFrame([], schema)
+    for items in blocks(benchmark, rate, block):
+
+        def per_batch(batch: pa.RecordBatch, items=items) -> dict:
+            hits = list(found_in(batch, items()))
             ids = batch.column("doc_id").to_pylist()
-            for s in range(0, len(ids), 500):
-                docs = [normal(t) for t in batch.column("text").slice(s, 500).to_pylist()]
-                for (d, k), edits in made[0].leaks(docs).items():
-                    out["doc_id"].append(ids[s + d])
-                    out["item_id"].append(made[0].items[k][0])
-                    out["edits"].append(edits)
-            return out
-
-        part = arrow_map(base.select("doc_id", "text"), per_batch, "doc_id long, item_id long, edits long")
-        found = part if found is None else found.unionByName(part)
+            return {"doc_id": [ids[d] for d, _, _ in hits], "item_id": [items().items[k][0] for _, k, _ in hits], "edits": [e for _, _, e in hits]}
+
+        found = found.unionByName(arrow_map(base, per_batch, schema))
     return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows that hold no item, with all their columns; rows without an id are judged like others."""
+    for items in blocks(benchmark, rate, block):
+
+        def keep(batch: pa.RecordBatch, items=items) -> list[bool]:
+            leaking = {d for d, _, _ in found_in(batch, items())}
+            return [d not in leaking for d in range(batch.num_rows)]
+
+        docs = rows_where(docs, keep)
+    return docs

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import Stored, texts
+from basketry.llm.common import Stored, free_name, texts
 
 MIN_LINES = 2
 LONG_LINE = 40
@@ -77,5 +77,27 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LIN
     )
 
 
+def clean(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
+    """All rows and columns with the later copies cut out of the text; `n_chars` follows it. Rows that lose all their lines go.
+
+    A null text and a row without an id stay as they are.
+    """
+    th, gone = free_name(docs, "_th"), free_name(docs, "_gone")
+    found = later_copies(texts(docs), min_lines, long_line).groupBy("doc_id", F.col("th").alias(th)).agg(F.collect_list("pos").alias(gone))
+    found = found.withColumnRenamed("doc_id", free_name(docs, "_doc_id"))
+    key = free_name(docs, "_doc_id")
+    hashed = docs.withColumn(th, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    both = hashed.join(found.withColumnRenamed(th, th + "2"), (F.col("doc_id") == F.col(key)) & (F.col(th) == F.col(th + "2")), "left")
+    lines = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda p: F.element_at(lines, p + 1)), "\n"))
+    new = free_name(docs, "_new")
+    both = both.withColumn(new, kept)  # in a step of its own: an alias `text` beside it would be read inside the lambda
+    touched = F.col(gone).isNotNull()
+    changed = {"text": F.col(new), "n_chars": F.when(touched, F.length(new)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    columns = [changed.get(c, F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
+    return both.where(~touched | F.col(new).rlike("\\S")).select(*columns)
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_lines", F.when(F.col("n_removed") > 0, F.col("n_removed")).otherwise(0).alias("n_removed"), F.when(F.col("n_runs") > 0, F.col("n_runs")).otherwise(0).alias("n_runs"), F.sha2("kept_text", 256).alias("kept_sha256"))

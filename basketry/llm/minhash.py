@@ -195,3 +195,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = signs.df.select("doc_id", "n_shingles").join(groups.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    """One document per group with all its columns: the one of the smallest id. Rows of one id stay or go together; rows without an id stay."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,17 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from basketry.llm import decontam, lines, minhash, packing, quality, sharding, substring, suffix, topk, toxicity
-from basketry.llm.common import table
+from basketry.llm.common import table, tokenizer_path
 from basketry.llm.labelled import remainder
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,6 +55,7 @@ def op10_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_cgk_decontamination": op1_cgk_decontamination,
     "op2_segment_topk": op2_segment_topk,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,

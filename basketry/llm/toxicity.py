@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.automaton import Lexicon
-from basketry.llm.common import CACHE_ENTRIES, Stored, arrow_map, arrow_schema, record_batch, texts
+from basketry.llm.common import CACHE_ENTRIES, Stored, arrow_map, arrow_schema, record_batch, rows_where, texts
 from basketry.llm.labelled import sample
 
 SAMPLE = 40_000
@@ -211,20 +211,34 @@ def hit_weight(table: dict, term: int, edits: int, in_quotes: bool, dense: int)
     return 0.5 * table.get((term, 0, False), 0.0)
 
 
+def rating(found: list[tuple[str, bool]], table: dict, none: float):
+    """Text to (score, number of hits)."""
+    finder = Finder(found)
+
+    def rate(text: str | None) -> tuple[float, int]:
+        hits = finder.hits(text or "") if found else ()
+        # the strongest hit decides, further evidence adds to it
+        each = sorted((hit_weight(table, *h) for h in hits), reverse=True)
+        z = max(none, each[0] + 0.5 * sum(w for w in each[1:] if w > 0)) if each else none
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0))), len(hits)
+
+    return rate
+
+
 def score(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", rows: int = SAMPLE, terms: int = TERMS) -> DataFrame:
     """(doc_id, th, score, hits) per row; hits counts the terms found."""
-    base, found, table, none = scorer(docs, labels, train, label, rows, terms)
-    finder = Finder(found)
+    base, *model = scorer(docs, labels, train, label, rows, terms)
+    rate = rating(*model)
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        out, n = [], []
-        for text in batch.column("text").to_pylist():
-            hits = finder.hits(text) if found else ()
-            # the strongest hit decides, further evidence adds to it
-            each = sorted((hit_weight(table, *h) for h in hits), reverse=True)
-            z = max(none, each[0] + 0.5 * sum(w for w in each[1:] if w > 0)) if each else none
-            out.append(1 / (1 + math.exp(-min(max(z, -30.0), 30.0))))
-            n.append(len(hits))
-        return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "score": out, "hits": n}
+        rated = [rate(text) for text in batch.column("text").to_pylist()]
+        return {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "score": [s for s, _ in rated], "hits": [n for _, n in rated]}
 
     return arrow_map(base, per_batch, "doc_id long, th long, score double, hits int")
+
+
+def clean(docs: DataFrame, labels: DataFrame, train, most: float = 0.5, label: str = "toxic") -> DataFrame:
+    """The rows scored under `most`, with all their columns; rows without an id are scored like others."""
+    _, *model = scorer(docs, labels, train, label)
+    rate = rating(*model)
+    return rows_where(docs, lambda batch: [rate(text)[0] < most for text in batch.column("text").to_pylist()])
