@@ -34,9 +34,10 @@ class Settings:
     calendar_end: str = "2026-12-31"
     business_zone: str = "Europe/Berlin"
 
-    # physical limits: a side is broadcast only after it was counted below this many rows,
+    # physical limits: a side is broadcast only after it was counted below this many rows and bytes,
     # otherwise the shuffle strategy of the same operator runs
     broadcast_rows: int = 200_000
+    broadcast_bytes: int = 64_000_000
     broadcast_rows_per_key: int = 64
     # time unit that splits one key's timeline into independently sorted pieces
     split_unit: str = "hour"

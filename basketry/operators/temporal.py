@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.config import Settings
-from basketry.operators.timeline import as_of
+from basketry.operators.timeline import as_of, split_neighbours, split_row_number
 
 VERSION_ATTRIBUTES = (
     "item_key_sk",
@@ -26,10 +26,53 @@ VERSION_ATTRIBUTES = (
 
 
 def small_history(history: DataFrame, key: str, cfg: Settings) -> bool:
-    """True if the history is safe to broadcast: few rows in all and few versions of any one key."""
-    per_key = history.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total, worst = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    return total <= cfg.broadcast_rows and worst <= cfg.broadcast_rows_per_key
+    """True if the history is safe to broadcast: few rows, few bytes and few versions of any one key."""
+    row = F.to_json(F.struct(*[F.col(c) for c in history.columns]))
+    per_key = history.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(row)).alias("bytes"))
+    total, worst, size = per_key.agg(*[F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "n"), (F.max, "n"), (F.sum, "bytes"))]).first()
+    return total <= cfg.broadcast_rows and worst <= cfg.broadcast_rows_per_key and size <= cfg.broadcast_bytes
+
+
+def disjoint_windows(windows: DataFrame, key: str, start: str, end: str, choice: Column, unit: str) -> DataFrame:
+    """(key, segment_from, segment_to, choice): windows that do not overlap, each with the largest choice among those open in it.
+
+    Starts and ends cut a key's timeline into pieces, numbered in time order. A window covers a range of numbers, which is
+    cut into at most two aligned blocks per power of two; the best choice per block is kept, and a piece takes the best of
+    the blocks above it. Work is (windows + cuts) * log(cuts): no window meets all cuts it covers, no key is gathered.
+    """
+    valid = windows.where(F.col(key).isNotNull() & (F.col(start) < F.col(end)))
+    folded = valid.groupBy(F.col(key).alias("__key"), F.col(start).alias("__from"), F.col(end).alias("__to")).agg(F.max(choice).alias("choice"))
+    cuts = folded.select("__key", F.explode(F.array("__from", "__to")).alias("__t")).distinct()
+    cuts = split_row_number(cuts, ["__key"], "__t", [], "__n", unit)
+    cuts = split_neighbours(cuts, ["__key"], "__t", [], leads={"__until": "__t"}, unit=unit)
+    ranged = (
+        folded.join(cuts.select("__key", F.col("__t").alias("__from"), F.col("__n").alias("__a")), ["__key", "__from"])
+        .join(cuts.select("__key", F.col("__t").alias("__to"), F.col("__n").alias("__b")), ["__key", "__to"])
+    )
+    # more levels than any number of cuts needs; empty ones are filtered before anything is shuffled
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("__b") + 1)).cast("int"))
+
+    def blocks(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level).cast("long")
+        low, high = F.ceil(F.col("__a") / size).cast("long"), F.floor(F.col("__b") / size).cast("long")
+        odd = lambda n: n % 2 == 1
+        both = F.array(F.when((low < high) & odd(low), low), F.when((low < high) & odd(high), high - 1))
+        return F.transform(F.array_distinct(F.array_compact(both)), lambda n: F.struct(level.alias("level"), n.alias("block")))
+
+    kept = ranged.select("__key", "choice", F.explode(F.flatten(F.transform(levels, blocks))).alias("p"))
+    best = kept.groupBy("__key", "p.level", "p.block").agg(F.max("choice").alias("choice"))
+    deepest = F.ceil(F.log2(F.col("__n") + 1)).cast("int")
+    above = F.transform(
+        F.sequence(F.lit(0), deepest),
+        lambda level: F.struct(level.alias("level"), F.floor(F.col("__n") / F.pow(F.lit(2.0), level)).cast("long").alias("block")),
+    )
+    pieces = cuts.where("__until is not null").select("__key", "__t", "__until", F.explode(above).alias("p")).select("__key", "__t", "__until", "p.level", "p.block")
+    return (
+        pieces.join(best, ["__key", "level", "block"])
+        .groupBy("__key", "__t", "__until")
+        .agg(F.max("choice").alias("choice"))
+        .select(F.col("__key").alias(key), F.col("__t").alias("segment_from"), F.col("__until").alias("segment_to"), "choice")
+    )
 
 
 def interval_lookup(
@@ -48,11 +91,12 @@ def interval_lookup(
 
     Windows of one key must not overlap (gaps are fine), so a fact meets at most one and is never multiplied.
 
-    * "broadcast": the windows are few; the facts are not shuffled at all.
-    * "asof": any size and any skew; linear merge of both sides in time order.
-    * "auto": counts the windows and picks.
+    * "broadcast", "auto": the facts are not shuffled at all, if the windows are few enough when counted.
+    * "asof", or too many windows: any size and any skew; linear merge of both sides in time order.
+
+    Both give the same rows, as a fact meets at most one window.
     """
-    if strategy == "auto":
+    if strategy != "asof":
         strategy = "broadcast" if small_history(windows, key, cfg) else "asof"
     if strategy == "broadcast":
         side = windows.select(
@@ -79,9 +123,10 @@ def time_valid_join(
 ) -> DataFrame:
     """Left join of each fact to the item version valid at its time.
 
-    The versions tile each item's timeline: `item_scd2` builds them so and the overlap check verifies it.
+    Where versions overlap, the one that starts last counts, then the one that closes last, has a price, and comes last by
+    log id and key. A history that tiles each item's timeline, as `item_scd2` builds it, is used as it is; another one
+    is resolved to windows that do not overlap first, so a fact never meets two.
     """
-    # several versions may start at one instant: the one that closes last is the one with any extent
     rank = [
         F.col("valid_to_utc"),
         F.coalesce(F.col("product_base_price_gross_eur") > 0, F.lit(False)).alias("has_price"),
@@ -89,9 +134,16 @@ def time_valid_join(
         F.col("item_scd_sk"),
     ]
     wanted = [a for a in attributes if a != key]
-    return interval_lookup(
-        facts, history, key, ts, "valid_from_utc", "valid_to_utc", wanted, rank, cfg, strategy
+    nexted = split_neighbours(
+        history.where(F.col(key).isNotNull() & (F.col("valid_from_utc") < F.col("valid_to_utc"))).select(key, "valid_from_utc", "valid_to_utc"),
+        [key], "valid_from_utc", ["valid_to_utc"], leads={"__next": "valid_from_utc"}, unit=cfg.split_unit,
     )
+    if nexted.where(F.col("valid_to_utc") > F.col("__next")).limit(1).count() == 0:
+        return interval_lookup(facts, history, key, ts, "valid_from_utc", "valid_to_utc", wanted, rank, cfg, strategy)
+    kept = F.struct(F.col("valid_from_utc").alias("__from"), *[c.alias(f"__r{k}") for k, c in enumerate(rank)], F.struct(*wanted).alias("version"))
+    segments = disjoint_windows(history, key, "valid_from_utc", "valid_to_utc", kept, cfg.split_unit)
+    segments = segments.select(key, "segment_from", "segment_to", *[F.col("choice.version")[a].alias(a) for a in wanted])
+    return interval_lookup(facts, segments, key, ts, "segment_from", "segment_to", wanted, (), cfg, strategy)
 
 
 # ---------------------------------------------------------------------------------------- promotions
@@ -100,35 +152,11 @@ SEGMENT_COLUMNS = ("promo_sk", "promo_type", "discount_pct")
 
 
 def promo_segments(promos: DataFrame, key: str = "item_key") -> DataFrame:
-    """Non-overlapping windows per item, each with the best promotion active in it.
-
-    Every start and end date of an item's promotions cuts its calendar; a promotion covers the pieces inside
-    its window, and the best one (discount, then later start, then key) keeps the piece. The cut dates of an
-    item are a set of calendar days, so that set is bounded however many promotions the item has.
-    """
+    """Non-overlapping windows per item, each with the best promotion active in it: discount, then later start, then key."""
     start, end = "promo_start_date", "promo_end_date"
-    valid = promos.where(F.col(key).isNotNull() & (F.col(start) < F.col(end)))
-    cuts = (
-        valid.select(key, F.explode(F.array(start, end)).alias("day"))
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_set("day")).alias("cuts"))
-    )
     choice = F.struct("discount_pct", start, "promo_sk", "promo_type")
-    # the best of the promotions that share a window stands for all of them
-    windows = valid.groupBy(key, start, end).agg(F.max(choice).alias("promo"))
-    pieces = windows.join(cuts, key).select(
-        key,
-        "promo",
-        F.explode(F.filter("cuts", lambda day: (day >= F.col(start)) & (day < F.col(end)))).alias("segment_from"),
-        "cuts",
-    )
-    until = F.get(F.col("cuts"), F.array_position("cuts", F.col("segment_from")).cast("int"))
-    return (
-        pieces.select(key, "promo", "segment_from", until.alias("segment_to"))
-        .groupBy(key, "segment_from", "segment_to")
-        .agg(F.max("promo").alias("promo"))
-        .select(key, "segment_from", "segment_to", *[F.col("promo")[c].alias(c) for c in SEGMENT_COLUMNS])
-    )
+    segments = disjoint_windows(promos, key, start, end, choice, "month")
+    return segments.select(key, "segment_from", "segment_to", *[F.col("choice")[c].alias(c) for c in SEGMENT_COLUMNS])
 
 
 def apply_promo_segments(

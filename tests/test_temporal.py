@@ -39,6 +39,33 @@ def test_version_boundaries(spark, strategy):
     ]
 
 
+@pytest.mark.parametrize("strategy", ["broadcast", "asof", "auto"])
+def test_overlapping_nested_and_empty_versions(spark, strategy):
+    rnd = random.Random(9)
+    base = at("2023-01-01")
+    data = []
+    for k in range(60):
+        s = base + dt.timedelta(hours=rnd.randrange(0, 400, 8))
+        data.append((rnd.choice(["hot", "hot", "b"]), "k", f"v{k:02d}", str(rnd.randrange(5)), s, s + dt.timedelta(hours=rnd.choice([0, 1, 8, 50, 300])), None))
+    data += [("c", "k", "outer", "1", at("2023-01-01"), at("2023-12-31"), None), ("c", "k", "inner", "2", at("2023-02-01"), at("2023-03-01"), None)]
+    facts = [(f"{k:03d}", rnd.choice(["hot", "b"]), base + dt.timedelta(hours=rnd.randrange(-5, 800))) for k in range(200)]
+    facts += [("x1", "c", at("2023-02-10")), ("x2", "c", at("2023-05-01")), ("x3", None, at("2023-05-01"))]
+    got = temporal.time_valid_join(
+        spark.createDataFrame(facts, "id string, item_key string, time_order_received_utc timestamp"),
+        spark.createDataFrame(data, HISTORY), attributes=ATTRS, strategy=strategy,
+    )
+    expected = []
+    for i, item, t in facts:
+        hits = [(v[4], v[5], v[3], v[2]) for v in data if v[0] == item and v[4] <= t < v[5]]
+        expected.append((i, max(hits)[3] if hits else None))
+    assert [(r[0], r[1]) for r in rows(got.select("id", "item_scd_sk"), "id")] == sorted(expected)
+
+
+def test_a_broadcast_is_checked_by_bytes(spark):
+    h = spark.createDataFrame([("i", "k", "v1", "1", at("2023-01-01"), at("2024-01-01"), None)], HISTORY)
+    assert not temporal.small_history(h, "item_key", Settings(broadcast_bytes=10))
+
+
 def test_auto_uses_merge_when_history_is_large(spark):
     h = spark.createDataFrame([("i", "k", "v1", "1", at("2023-01-01"), at("2024-01-01"), None)], HISTORY)
     assert temporal.small_history(h, "item_key", Settings())
