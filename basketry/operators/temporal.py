@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.config import Settings
@@ -186,45 +186,29 @@ def apply_promos(
 
 
 def overlapping_windows(df: DataFrame, key: str, start: str, end: str, ties: list[str]) -> DataFrame:
-    """Pairs of date windows of one key that overlap, each pair once, earlier window on the left.
+    """Date windows that overlap others of their key: each distinct window once, with `copies` (equal rows) and `overlaps`.
 
-    Windows meet only inside a calendar month both of them touch, and a pair is reported only in the first
-    such month, so windows that lie apart are never compared. Equal rows are folded into a count first and
-    unfolded in the result.
+    `overlaps` counts the other rows a row of the window meets, so `copies * overlaps` summed over a key is twice its number of
+    overlapping pairs. A window meets what began before its end, less what ended by its start, less itself: two running counts over a
+    key's calendar. No two windows are ever compared, so a key with many windows costs no more than its rows.
     """
     cols = [start, end, *ties]
-    folded = (
-        df.where(F.col(start) < F.col(end)).groupBy(key, *cols).agg(F.count(F.lit(1)).alias("copies"))
+    folded = df.where(F.col(start) < F.col(end)).groupBy(key, *cols).agg(F.count(F.lit(1)).alias("copies"))
+    edges = folded.select(
+        key, F.explode(F.array(F.struct(F.col(start).alias("day"), F.col("copies").alias("b"), F.lit(0).cast("long").alias("e")), F.struct(F.col(end).alias("day"), F.lit(0).cast("long").alias("b"), F.col("copies").alias("e")))).alias("x")
     )
-    months = F.sequence(
-        F.trunc(F.col(start), "month"), F.trunc(F.date_sub(F.col(end), 1), "month"), F.expr("interval 1 month")
-    )
-    placed = folded.select(key, F.struct(*cols).alias("w"), "copies", F.explode(months).alias("month"))
-    a, b = placed.alias("a"), placed.alias("b")
-    meet = (
-        (F.col(f"a.{key}") == F.col(f"b.{key}"))
-        & (F.col("a.month") == F.col("b.month"))
-        & (F.col("a.w") < F.col("b.w"))
-        & (F.col(f"a.w.{start}") < F.col(f"b.w.{end}"))
-        & (F.col(f"b.w.{start}") < F.col(f"a.w.{end}"))
-        & (F.col("a.month") == F.trunc(F.greatest(f"a.w.{start}", f"b.w.{start}"), "month"))
-    )
-    different = a.join(b, meet).select(
-        F.col(f"a.{key}").alias(key), F.col("a.w").alias("l"), F.col("b.w").alias("r"),
-        (F.col("a.copies") * F.col("b.copies")).alias("times"),
-    )
-    n = F.col("copies")
-    same = folded.where(n > 1).select(
-        key, F.struct(*cols).alias("l"), F.struct(*cols).alias("r"), F.expr("copies * (copies - 1) div 2").alias("times")
+    days = edges.groupBy(key, "x.day").agg(F.sum("x.b").alias("b"), F.sum("x.e").alias("e"))
+    # one row per key and day: bounded by the calendar
+    so_far = Window.partitionBy(key).orderBy("day")
+    counted = days.select(
+        key, "day",
+        F.coalesce(F.sum("b").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__begun"),
+        F.sum("e").over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("__ended"),
     )
     return (
-        different.unionByName(same)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-        .select(
-            key,
-            F.col(f"l.{start}").alias("left_start_date"),
-            F.col(f"l.{end}").alias("left_end_date"),
-            F.col(f"r.{start}").alias("right_start_date"),
-            F.col(f"r.{end}").alias("right_end_date"),
-        )
+        folded.join(counted.select(key, F.col("day").alias(end), "__begun"), [key, end])
+        .join(counted.select(key, F.col("day").alias(start), "__ended"), [key, start])
+        .withColumn("overlaps", F.col("__begun") - F.col("__ended") - 1)
+        .where("overlaps > 0")
+        .select(key, *cols, "copies", "overlaps")
     )

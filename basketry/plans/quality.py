@@ -146,6 +146,7 @@ def overlapping_versions(history: DataFrame, unit: str = "hour") -> DataFrame:
 
 
 def overlapping_promos(promos: DataFrame) -> DataFrame:
+    """Promotion windows that overlap others of their item, with the number of rows each of them meets."""
     return overlapping_windows(
         promos, "item_key", "promo_start_date", "promo_end_date", ["promo_type", "discount_pct"]
     )

@@ -433,9 +433,9 @@ def _uncollapsed(w, s, d):
 add(
     "dq8_repeated_states",
     _uncollapsed,
-    f"select {sk('item_key', 'cast(ts as varchar) || chr(43) || chr(48) || chr(48)', 'log_item_id')} as item_scd_sk, h as attribute_state_hash from "
+    f"select {sk('item_key', "cast(ts as varchar) || '+00'", 'log_item_id')} as item_scd_sk, h as attribute_state_hash from "
     f"(select *, {_HASH} as h from logs_cur) qualify lag(h) over (partition by item_key order by ts, "
-    f"{sk('item_key', 'cast(ts as varchar) || chr(43) || chr(48) || chr(48)', 'log_item_id')}) = h",
+    f"{sk('item_key', "cast(ts as varchar) || '+00'", 'log_item_id')}) = h",
 )
 add("dq9_price_anomalies", lambda w, s, d: quality.critical_price_anomalies(w["aud_price_anomaly"]),
     f"select log_item_id, item_key, {t('ts', 'time_log_created_utc')}, {n('price', 'item_price_gross_eur')}, {n('prev', 'prev_item_price_gross_eur')}, "
@@ -464,7 +464,7 @@ def _stretched(w):
 add("dq14_overlapping_versions", lambda w, s, d: quality.overlapping_versions(_stretched(w)),
     f"select item_key_sk, item_scd_sk, {t('valid_from', 'valid_from_utc')}, {t('valid_to + interval 1 day', 'valid_to_utc')}, "
     f"{t('valid_to', 'next_valid_from_utc')} from scd where not is_current")
-add("dq15_overlapping_promos", lambda w, s, d: quality.overlapping_promos(w["stg_promos"]).groupBy("item_key").agg(F.count(F.lit(1)).alias("pairs")),
+add("dq15_overlapping_promos", lambda w, s, d: quality.overlapping_promos(w["stg_promos"]).groupBy("item_key").agg((F.sum(F.col("copies") * F.col("overlaps")) / 2).cast("long").alias("pairs")),
     "with q as (select *, row_number() over (partition by item_key order by s, e, kind, pct) as rn from stg_promo where s is not null) "
     "select a.item_key, count(*) as pairs from q a join q b on a.item_key = b.item_key and a.rn < b.rn and a.s < b.e and b.s < a.e group by a.item_key")
 add("dq16_backward_versions",

@@ -329,14 +329,33 @@ add(
     ),
     "select item_category, count(*) as row_count, nullif(count(*) filter (where is_promo), 0) as promo_rows from items group by all",
 )
-OVERLAPS = (
-    f"select a.item_key, {t('a.s', 'left_start_date')}, {t('a.e', 'left_end_date')}, {t('b.s', 'right_start_date')}, "
-    f"{t('b.e', 'right_end_date')} from q a join q b on a.item_key = b.item_key and a.rn < b.rn and a.s < b.e and b.s < a.e"
-)
-OVERLAPS = (
-    "with q as (select *, row_number() over (partition by item_key order by s nulls first, e, kind, pct) as rn from stg_promo) " + OVERLAPS
+add(
+    "jn11_overlaps",
+    lambda w, s, d: quality.overlapping_promos(w["stg_promos"]),
+    "with q as (select *, row_number() over (order by item_key, s, e, kind, pct) as rn from stg_promo where s < e), "
+    "met as (select a.rn, count(b.rn) as overlaps from q a join q b on a.item_key = b.item_key and a.rn <> b.rn and a.s < b.e and b.s < a.e group by a.rn) "
+    f"select item_key, {t('s', 'promo_start_date')}, {t('e', 'promo_end_date')}, kind as promo_type, {b('pct', 'discount_pct')}, "
+    f"{b('count(rn)', 'copies')}, {b('max(overlaps)', 'overlaps')} from q join met using (rn) group by item_key, s, e, kind, pct",
 )
-add("jn11_overlaps", lambda w, s, d: quality.overlapping_promos(w["stg_promos"]), f"select * from ({OVERLAPS})")
+
+
+def _late_history(w):
+    """History whose windows close a day late, so neighbours overlap."""
+    late = F.col("valid_to_utc") + F.expr("interval 1 day")
+    return w["int_item_scd2"].withColumn("valid_to_utc", F.when(F.col("is_current"), F.col("valid_to_utc")).otherwise(late))
+
+
+LATE = "(select *, case when is_current then valid_to else valid_to + interval 1 day end as late from scd)"
+for strategy in ("broadcast", "asof"):
+    add(
+        f"jn2_overlapping_history_{strategy}",
+        lambda w, s, d, strategy=strategy: core.order_items_with_price(
+            w["stg_order_items"], w["int_purchases"], _late_history(w), CFG, strategy
+        ).select("order_item_sk", "item_key", "item_scd_sk"),
+        "select order_item_sk, p.item_key, h.item_scd_sk from priced p left join "
+        f"{LATE} h on p.item_key = h.item_key and p.ts >= h.valid_from and p.ts < h.late "
+        "qualify row_number() over (partition by order_item_sk order by h.valid_from desc nulls last, h.late desc, h.log_item_id desc, h.item_scd_sk desc) = 1",
+    )
 add(
     "jn12_scalar_counts",
     lambda w, s, d: joins.with_totals(
