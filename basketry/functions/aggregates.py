@@ -17,9 +17,13 @@ def sum_where(cond: Column, value: Column | str) -> Column:
     return F.sum(F.when(cond, v).otherwise(F.lit(0)))
 
 
-def quantile(c: Column | str, percent: int) -> Column:
-    """Discrete quantile; the sketch is mergeable and exact up to `QUANTILE_ACCURACY` rows a group."""
-    return F.percentile_approx(c, percent / 100, QUANTILE_ACCURACY)
+def quantile(c: Column | str, percent: int, among: tuple[int, ...] = ()) -> Column:
+    """Discrete quantile; the sketch is mergeable and exact up to `QUANTILE_ACCURACY` rows a group.
+
+    Quantiles that name the same `among` share one sketch per group.
+    """
+    wanted = among or (percent,)
+    return F.percentile_approx(c, [p / 100 for p in wanted], QUANTILE_ACCURACY)[wanted.index(percent)]
 
 
 def distinct_list(c: Column | str, separator: str = ", ") -> Column:

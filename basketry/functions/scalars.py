@@ -91,4 +91,5 @@ def preferred_name(fallback: str | None = None) -> Column:
 def plain_number(c: Column | str, digits: int = 2) -> Column:
     """Rounded number as text without trailing zeros, e.g. 45.50 -> '45.5', 3.00 -> '3'."""
     rounded = F.round(_col(c).cast("double"), digits).cast(f"decimal(38,{digits})")
-    return F.regexp_replace(rounded.cast("string"), r"\.?0+$", "")
+    text = rounded.cast("string")
+    return F.regexp_replace(text, r"\.?0+$", "") if digits else text

@@ -29,14 +29,45 @@ def _hadoop_path(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a replacement that stopped between its two renames: the complete new version counts, else the old one."""
+    fs, here = _hadoop_path(spark, path)
+    if fs.exists(here):
+        return
+    _, new = _hadoop_path(spark, path + NEXT)
+    _, old = _hadoop_path(spark, path + OLD)
+    if fs.exists(old):
+        _, done = _hadoop_path(spark, f"{path}{NEXT}/_SUCCESS")
+        fs.rename(new if fs.exists(done) else old, here)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
+    recover(spark, path)
     fs, jpath = _hadoop_path(spark, path)
     return fs.exists(jpath)
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
-    fs, jpath = _hadoop_path(spark, path)
-    fs.delete(jpath, True)
+    for name in (path + OLD, path + NEXT, path):
+        fs, jpath = _hadoop_path(spark, name)
+        fs.delete(jpath, True)
+
+
+# a new version is complete beside the table before it takes its place
+NEXT, OLD = "__next", "__old"
+DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def replace_table(spark: SparkSession, path: str, df: DataFrame) -> None:
+    """Write a new version next to the table, then switch by renaming; a stop at any point leaves one complete version."""
+    df.write.mode("overwrite").parquet(path + NEXT)
+    fs, here = _hadoop_path(spark, path)
+    _, new = _hadoop_path(spark, path + NEXT)
+    _, old = _hadoop_path(spark, path + OLD)
+    fs.delete(old, True)
+    fs.rename(here, old)
+    fs.rename(new, here)
+    fs.delete(old, True)
 
 
 def upsert_table(
@@ -49,30 +80,31 @@ def upsert_table(
 ) -> DataFrame:
     """Upsert into a Parquet table in place and return it.
 
-    The new content is first written to a staging table, because a path cannot be overwritten while it is
-    read. With a `partition` column only partitions that receive or lose rows are read and rewritten.
+    Without a `partition` column the new version is written beside the table and takes its place by renaming. With one, only
+    partitions that receive or lose rows (null counts as a partition) are read and rewritten, through a staging table
+    that is removed afterwards. A run that stopped can be repeated: equal keys replace what it left.
     """
     if not table_exists(spark, path):
         writer = source.write.mode("error")
         (writer.partitionBy(partition) if partition else writer).parquet(path)
         return spark.read.parquet(path)
     target = spark.read.parquet(path)
-    staging = scratch_path(spark, "upsert-staging")
     if partition is None:
-        upsert(target, source, keys, sync_columns).write.parquet(staging)
-        spark.read.parquet(staging).write.mode("overwrite").parquet(path)
+        replace_table(spark, path, upsert(target, source, keys, sync_columns))
         return spark.read.parquet(path)
-    incoming = scratch_path(spark, "upsert-source")
+    staging, incoming = scratch_path(spark, "upsert-staging"), scratch_path(spark, "upsert-source")
     source.write.parquet(incoming)
-    source = spark.read.parquet(incoming)
+    source = spark.read.schema(source.schema).parquet(incoming)
     left_behind = target.join(source.select(*keys), list(keys), "left_semi").select(partition)
-    touched = left_behind.unionByName(source.select(partition)).distinct()
-    affected = target.join(touched, partition, "left_semi")
-    upsert(affected, source, keys, sync_columns).write.parquet(staging)
-    staged = spark.read.parquet(staging)
+    touched = left_behind.unionByName(source.select(partition)).distinct().withColumnRenamed(partition, "__touched")
+    affected = target.join(touched, F.col(partition).eqNullSafe(F.col("__touched")), "left_semi")
+    merged = upsert(affected, source, keys, sync_columns)
+    merged.write.parquet(staging)
+    staged = spark.read.schema(merged.schema).parquet(staging)
     # a partition that only lost rows and is empty now is not part of the write, so it is dropped by name;
     # this list has one entry per such date at most
-    emptied = [r[0] for r in touched.join(staged.select(partition).distinct(), partition, "left_anti").collect()]
+    kept = staged.select(F.col(partition).alias("__kept")).distinct()
+    emptied = [r[0] for r in touched.join(kept, F.col("__touched").eqNullSafe(F.col("__kept")), "left_anti").collect()]
     (
         staged.hint("rebalance", partition)
         .write.mode("overwrite")
@@ -81,8 +113,10 @@ def upsert_table(
         .parquet(path)
     )
     for value in emptied:
-        fs, jpath = _hadoop_path(spark, f"{path}/{partition}={value}")
+        fs, jpath = _hadoop_path(spark, f"{path}/{partition}={DEFAULT_PARTITION if value is None else value}")
         fs.delete(jpath, True)
+    drop_table(spark, staging)
+    drop_table(spark, incoming)
     return spark.read.parquet(path)
 
 
@@ -111,6 +145,10 @@ class WatermarkStore:
         row = self.table().where(F.col("model_name") == model).select("watermark_ts").first()
         return row[0] if row and row[0] is not None else self.cfg.watermark_floor
 
+    def known(self, model: str) -> bool:
+        """Whether the model has a watermark; without one an incremental run has to read everything."""
+        return bool(self.table().where((F.col("model_name") == model) & F.col("watermark_ts").isNotNull()).limit(1).count())
+
     def put(self, model: str, df: DataFrame, column: str, now: dt.datetime) -> None:
         """Set the watermark to max(column); a table without any value leaves it alone."""
         self.put_all({model: (df, column)}, now)

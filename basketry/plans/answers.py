@@ -30,8 +30,8 @@ def service_area(orders: DataFrame) -> DataFrame:
             F.avg(d).alias("avg_delivery_distance_m"),
             F.min(d).alias("min_delivery_distance_m"),
             F.max(d).alias("max_delivery_distance_m"),
-            quantile(d, 50).alias("p50_delivery_distance_m"),
-            quantile(d, 90).alias("p90_delivery_distance_m"),
+            quantile(d, 50, (50, 90)).alias("p50_delivery_distance_m"),
+            quantile(d, 90, (50, 90)).alias("p90_delivery_distance_m"),
         )
         .orderBy("order_date")
     )

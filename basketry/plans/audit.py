@@ -268,7 +268,7 @@ def item_price_anomalies(curated: DataFrame, run_ts: dt.datetime, unit: str = "h
     price = F.col("item_price_gross_eur")
     stats = base.groupBy("item_key").agg(
         F.count(F.lit(1)).alias("item_obs_count"),
-        *[quantile(price, k).alias(f"item_p{k}_price") for k in (25, 50, 75, 95)],
+        *[quantile(price, k, (25, 50, 75, 95)).alias(f"item_p{k}_price") for k in (25, 50, 75, 95)],
     )
     keyed = base.withColumn("__key", surrogate_key("item_key"))
     with_prev = split_neighbours(
@@ -322,7 +322,7 @@ def promo_discount_anomalies(promos: DataFrame, run_ts: dt.datetime) -> DataFram
     def stats(name: str) -> list[Column]:
         return [
             F.count(F.lit(1)).alias(f"{name}_obs_count"),
-            *[quantile(pct, k).alias(f"{name}_p{k}_discount_pct") for k in (25, 50, 75, 95)],
+            *[quantile(pct, k, (25, 50, 75, 95)).alias(f"{name}_p{k}_discount_pct") for k in (25, 50, 75, 95)],
         ]
 
     per_item = base.groupBy("item_key").agg(*stats("item"))

@@ -59,7 +59,7 @@ def models(cfg: Settings, run_ts: dt.datetime) -> list[Model]:
         m("stg_purchases", "raw_purchases", lambda r: staging.stage_purchase_logs(r, cfg)),
         m("stg_order_items", "raw_baskets", staging.explode_basket, True),
         m("int_item_logs", "stg_item_logs", lambda s: curation.curate_item_logs(s, cfg), True),
-        m("int_purchases", "stg_purchases", lambda s: curation.curate_purchases(s, cfg)),
+        m("int_purchases", "stg_purchases", lambda s: curation.curate_purchases(s, cfg), True),
         m("int_item_scd2", "int_item_logs", lambda c: history.item_scd2(c, cfg.split_unit), True),
         m("int_priced", "stg_order_items int_purchases int_item_scd2",
           lambda i, p, h: core.order_items_with_price(i, p, h, cfg)),

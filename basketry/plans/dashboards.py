@@ -90,8 +90,8 @@ def service_area_monthly(orders: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("orders_count"),
             F.round(F.avg(d), 2).alias("avg_delivery_distance_m"),
-            quantile(d, 50).alias("p50_delivery_distance_m"),
-            quantile(d, 90).alias("p90_delivery_distance_m"),
+            quantile(d, 50, (50, 90)).alias("p50_delivery_distance_m"),
+            quantile(d, 90, (50, 90)).alias("p90_delivery_distance_m"),
         )
         .orderBy(MONTH)
     )

@@ -44,9 +44,11 @@ class CoreTables:
         return df.drop(PARTITION)
 
     def _cutoff(self, name: str, column: str, lookback_days: int | None) -> dt.datetime | None:
-        """None on the first load: everything is read."""
+        """None on the first load, and where a first load stopped before its watermark was set: everything is read."""
         if not table_exists(self.spark, self.path(name)):
             return None
+        if self.cfg.watermarks_enabled and not self.watermarks.known(name):
+            return None
         return self.watermarks.cutoff(name, self.table(name), column, lookback_days)
 
     def _merge(self, name: str, rows: DataFrame, keys: list[str], date: str | None = None) -> None:

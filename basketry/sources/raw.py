@@ -32,13 +32,13 @@ def string_schema(columns: tuple[str, ...]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def _read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    # Quoted newlines make one CSV file one task, so land the feed as many files of moderate size.
+def _read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], multi_line: bool) -> DataFrame:
+    # Quoted newlines make one CSV file one task, so land such a feed as many files of moderate size.
     return (
         spark.read.schema(string_schema(columns))
         .option("header", True)
         .option("enforceSchema", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
@@ -46,15 +46,16 @@ def _read_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataF
 
 
 def read_item_logs(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, ITEM_LOG_COLUMNS)
+    return _read_csv(spark, path, ITEM_LOG_COLUMNS, True)
 
 
-def read_promos(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, PROMO_COLUMNS)
+def read_promos(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Promotions have no quoted newlines, so their files are split; `multi_line` reads a feed that has."""
+    return _read_csv(spark, path, PROMO_COLUMNS, multi_line)
 
 
 def read_purchase_logs(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, PURCHASE_COLUMNS)
+    return _read_csv(spark, path, PURCHASE_COLUMNS, True)
 
 
 def write_replace(df: DataFrame, path: str) -> DataFrame:

@@ -43,12 +43,42 @@ def test_partitioned_upsert_moves_rows_and_drops_emptied_partitions(spark, scrat
     assert os.path.getmtime(f"{path}/day=2023-01-02") == untouched
 
 
+def test_partitioned_upsert_keeps_rows_without_a_partition(spark, scratch):
+    path, schema = f"{scratch}/n", "k long, v string, day date"
+    d = dt.date(2023, 1, 1)
+    upsert_table(spark, path, spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", d)], schema), ["k"], "day")
+    got = upsert_table(spark, path, spark.createDataFrame([(4, "d", None)], schema), ["k"], "day")
+    assert rows(got.select("k", "v", "day"), "k") == [(1, "a", None), (2, "b", None), (3, "c", d), (4, "d", None)]
+    moved = [(1, "A", d), (2, "B", d), (4, "D", d), (3, "C", None)]
+    got = upsert_table(spark, path, spark.createDataFrame(moved, schema), ["k"], "day")
+    assert rows(got.select("k", "v", "day"), "k") == sorted(moved)
+    back = [(3, "c", d)]
+    got = upsert_table(spark, path, spark.createDataFrame(back, schema), ["k"], "day")
+    assert rows(got.select("k", "v", "day"), "k") == [(1, "A", d), (2, "B", d), (3, "c", d), (4, "D", d)]
+    assert not os.path.exists(f"{path}/day=__HIVE_DEFAULT_PARTITION__")
+
+
+def test_a_replacement_that_stops_half_way_loses_nothing(spark, scratch):
+    path = f"{scratch}/r"
+    upsert_table(spark, path, spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), ["k"])
+    # stopped while the new version was written, then between the two renames
+    os.makedirs(f"{path}__next")
+    fresh = spark.createDataFrame([(2, "B"), (3, "C")], "k long, v string")
+    assert rows(upsert_table(spark, path, fresh, ["k"]), "k") == [(1, "a"), (2, "B"), (3, "C")]
+    os.rename(path, f"{path}__old")
+    assert rows(upsert_table(spark, path, fresh, ["k"]), "k") == [(1, "a"), (2, "B"), (3, "C")]
+    spark.createDataFrame([(9, "new")], "k long, v string").write.parquet(f"{path}__next")
+    os.rename(path, f"{path}__old")
+    assert rows(upsert_table(spark, path, fresh, ["k"]), "k") == [(2, "B"), (3, "C"), (9, "new")]
+    assert not os.path.exists(f"{path}__old") and not os.path.exists(f"{path}__next")
+
+
 def test_watermarks(spark, scratch):
     cfg = Settings()
     store = WatermarkStore(spark, f"{scratch}/w", cfg)
     store.ensure()
     store.ensure()
-    assert store.get("m") == cfg.watermark_floor
+    assert store.get("m") == cfg.watermark_floor and not store.known("m")
     df = spark.createDataFrame([(at("2023-05-01"),), (at("2023-06-01"),)], "ts timestamp")
     store.put("m", df, "ts", NOW)
     store.put("m", df.where("false"), "ts", NOW)

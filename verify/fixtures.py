@@ -1,6 +1,6 @@
 """Adapters that derive the raw feeds of the library from the given TPC-H-like tables.
 
-All of them are row-wise or keyed by existing keys, so they grow with the tables. `verify/oracle.py` states
+All of them are row-wise or keyed by existing keys, so they grow with the tables. `verify/oracle_base.py` states
 the same rules in SQL.
 """
 
@@ -194,3 +194,9 @@ def event_item_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ts.alias("time_item_created_in_source_utc"),
         F.lpad(e.cast("string"), 12, "0").alias("payload_raw"),
     )
+
+
+def date_bounds(df: DataFrame, column: str) -> tuple[str, str]:
+    """First and last day of a column, as text."""
+    low, high = df.agg(F.min(column).cast("date").cast("string"), F.max(column).cast("date").cast("string")).first()
+    return low, high

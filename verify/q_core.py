@@ -333,9 +333,9 @@ add(
     "jn11_overlaps",
     lambda w, s, d: quality.overlapping_promos(w["stg_promos"]),
     "with q as (select *, row_number() over (order by item_key, s, e, kind, pct) as rn from stg_promo where s < e), "
-    "met as (select a.rn, count(b.rn) as overlaps from q a join q b on a.item_key = b.item_key and a.rn <> b.rn and a.s < b.e and b.s < a.e group by a.rn) "
+    "met as (select a.rn, count(b.rn) as k from q a join q b on a.item_key = b.item_key and a.rn <> b.rn and a.s < b.e and b.s < a.e group by a.rn) "
     f"select item_key, {t('s', 'promo_start_date')}, {t('e', 'promo_end_date')}, kind as promo_type, {b('pct', 'discount_pct')}, "
-    f"{b('count(rn)', 'copies')}, {b('max(overlaps)', 'overlaps')} from q join met using (rn) group by item_key, s, e, kind, pct",
+    f"{b('count(rn)', 'copies')}, {b('max(k)', '"overlaps"')} from q join met using (rn) group by item_key, s, e, kind, pct",
 )
 
 
@@ -428,13 +428,13 @@ add(
 
 add(
     "dim1_calendar_orders",
-    lambda w, s, d: core.dim_date(s, "1995-01-01", "2001-12-31").join(
+    lambda w, s, d: core.dim_date(s, *fx.date_bounds(w["fct_order"], "order_date")).join(
         w["fct_order"].groupBy("order_date").agg(F.count(F.lit(1)).alias("orders")),
         F.col("date_day") == F.col("order_date"), "left",
     ).drop("order_date").withColumn("orders", F.coalesce("orders", F.lit(0))),
     "select cast(c as varchar) as date_day, year(c) as year, quarter(c) as quarter, month(c) as month, "
     "cast(strftime(c, '%U') as bigint) as week, dayname(c) as day_of_week, dayofweek(c) in (0, 6) as is_weekend, "
-    "coalesce(k, 0) as orders from (select unnest(generate_series(date '1995-01-01', date '2001-12-31', interval 1 day))::date as c) "
+    "coalesce(k, 0) as orders from (select unnest(generate_series((select min(order_date) from ords), (select max(order_date) from ords), interval 1 day))::date as c) "
     "left join (select order_date, count(*) as k from ords group by all) on order_date = c",
 )
 add(
@@ -513,11 +513,12 @@ add("ups1_refresh_orders", _upserted_orders, ORDER_SQL)
 def _upserted_table(w, s, d):
     path = scratch_path(s, "fct-order")
     rollups, target = _split_orders(w)
-    month = F.trunc("order_date", "month")
+    # rows move between the partition of no month and their own, in both directions
+    month = lambda n: F.when(F.col("customer_order_number") % n != 0, F.trunc("order_date", "month"))
     keep = ["order_sk", "order_date", "customer_order_number"]
-    upsert.upsert_table(s, path, target.select(*keep, month.alias("mon")), ["order_sk"], "mon")
+    upsert.upsert_table(s, path, target.select(*keep, month(7).alias("mon")), ["order_sk"], "mon")
     fresh = core.fct_order(rollups.where(F.col("time_order_received_utc") >= F.lit(SPLIT - dt.timedelta(days=7))), CFG)
-    return upsert.upsert_table(s, path, fresh.select(*keep, month.alias("mon")), ["order_sk"], "mon").select(*keep)
+    return upsert.upsert_table(s, path, fresh.select(*keep, month(5).alias("mon")), ["order_sk"], "mon").select(*keep)
 
 
 add(

@@ -143,14 +143,14 @@ add(
 add(
     "agg3_quantiles",
     lambda w, s, d: fx.table(s, d, "events").groupBy("user_id").agg(
-        *[quantile("value", k).alias(f"p{k}") for k in (25, 50, 75, 90, 95)]
+        *[quantile("value", k, (25, 50, 75, 90, 95)).alias(f"p{k}") for k in (25, 50, 75, 90, 95)]
     ),
     "select user_id, " + ", ".join(r(f"quantile_disc(value, {k / 100})", f"p{k}") for k in (25, 50, 75, 90, 95)) + " from events group by user_id",
 )
 add(
     "agg4_sample_ids",
-    lambda w, s, d: sample_values(fx.table(s, d, "orders").where(F.col("o_totalprice") > 250000), "o_orderkey", 200),
-    "select array_to_string(list(k order by k), '|') as o_orderkey from (select distinct o_orderkey as k from orders where o_totalprice > 250000 order by 1 limit 200)",
+    lambda w, s, d: sample_values(fx.table(s, d, "orders"), "o_orderkey", 200),
+    "select array_to_string(list(k order by k), '|') as o_orderkey from (select distinct o_orderkey as k from orders order by 1 limit 200)",
 )
 add(
     "agg5_distinct_list",
@@ -344,7 +344,7 @@ add(
 )
 add(
     "fn12_calendar",
-    lambda w, s, d: core.dim_date(s, "1995-01-01", "2001-12-31").join(
+    lambda w, s, d: core.dim_date(s, *fx.date_bounds(fx.table(s, d, "orders"), "o_orderdate")).join(
         fx.table(s, d, "orders").select(F.col("o_orderdate").cast("date").alias("date_day")), "date_day"
     ).groupBy("year", "week").agg(F.count(F.lit(1)).alias("orders")),
     "select year(o_orderdate) as year, cast(strftime(o_orderdate, '%U') as bigint) as week, count(*) as orders from orders group by 1, 2",
