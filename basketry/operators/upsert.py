@@ -13,13 +13,16 @@ from basketry.config import Settings
 from basketry.session import scratch_path
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], sync_columns: bool = True) -> DataFrame:
-    """`target` with the rows of `source` inserted or replacing rows of equal key.
+def upsert(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], sync_columns: bool = True, gone: DataFrame | None = None
+) -> DataFrame:
+    """`target` with the rows of `source` inserted or replacing rows of equal key, and without the keys in `gone`.
 
     With `sync_columns` the result has the columns of the source: new ones are added (null in rows that are
     kept), vanished ones are removed. Source keys must be unique and not null.
     """
-    kept = target.join(source.select(*keys), list(keys), "left_anti")
+    named = source.select(*keys) if gone is None else source.select(*keys).unionByName(gone.select(*keys))
+    kept = target.join(named, list(keys), "left_anti")
     columns = source.columns if sync_columns else target.columns
     return kept.unionByName(source, allowMissingColumns=True).select(*columns)
 
@@ -77,8 +80,9 @@ def upsert_table(
     keys: Sequence[str],
     partition: str | None = None,
     sync_columns: bool = True,
+    gone: DataFrame | None = None,
 ) -> DataFrame:
-    """Upsert into a Parquet table in place and return it.
+    """Upsert into a Parquet table in place and return it; rows whose keys are in `gone` are deleted as well.
 
     Without a `partition` column the new version is written beside the table and takes its place by renaming. With one, only
     partitions that receive or lose rows (null counts as a partition) are read and rewritten, through a staging table
@@ -90,15 +94,16 @@ def upsert_table(
         return spark.read.parquet(path)
     target = spark.read.parquet(path)
     if partition is None:
-        replace_table(spark, path, upsert(target, source, keys, sync_columns))
+        replace_table(spark, path, upsert(target, source, keys, sync_columns, gone))
         return spark.read.parquet(path)
     staging, incoming = scratch_path(spark, "upsert-staging"), scratch_path(spark, "upsert-source")
     source.write.parquet(incoming)
     source = spark.read.schema(source.schema).parquet(incoming)
-    left_behind = target.join(source.select(*keys), list(keys), "left_semi").select(partition)
+    named = source.select(*keys) if gone is None else source.select(*keys).unionByName(gone.select(*keys))
+    left_behind = target.join(named, list(keys), "left_semi").select(partition)
     touched = left_behind.unionByName(source.select(partition)).distinct().withColumnRenamed(partition, "__touched")
     affected = target.join(touched, F.col(partition).eqNullSafe(F.col("__touched")), "left_semi")
-    merged = upsert(affected, source, keys, sync_columns)
+    merged = upsert(affected, source, keys, sync_columns, gone)
     merged.write.parquet(staging)
     staged = spark.read.schema(merged.schema).parquet(staging)
     # a partition that only lost rows and is empty now is not part of the write, so it is dropped by name;

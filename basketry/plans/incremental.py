@@ -15,7 +15,7 @@ from basketry.operators.enrich import orders_with_rollups
 from basketry.operators.history import item_scd2
 from basketry.operators.joins import restrict_to_keys
 from basketry.operators.staging import explode_basket, stage_item_logs, stage_promos, stage_purchase_logs
-from basketry.operators.upsert import RunLog, WatermarkStore, drop_table, table_exists, upsert_table
+from basketry.operators.upsert import RunLog, WatermarkStore, drop_table, replace_table, table_exists, upsert_table
 from basketry.plans import core
 from basketry.session import materialize
 from basketry.streaming.curate import curated_view, merge_batch
@@ -26,8 +26,9 @@ PARTITION = "part_date"
 class CoreTables:
     """Curated purchases, item-log state, facts and dimensions under one root folder.
 
-    Every run reads the feeds from the cutoff on (watermark minus lookback), folds the rows into the stored
-    tables and moves the watermarks. A deeper backfill is a larger `lookback_days`; `full_refresh` drops the
+    Every run takes purchases from the cutoff on (watermark minus lookback) and those older ones whose lines stand in a
+    time for which the item history or the promotions have changed, folds the rows into the stored tables and moves
+    the watermarks. A deeper backfill is a larger `lookback_days`; `full_refresh` drops the
     tables first. `grain` is the partition grain of the dated tables, "day" or "month".
     """
 
@@ -51,13 +52,30 @@ class CoreTables:
             return None
         return self.watermarks.cutoff(name, self.table(name), column, lookback_days)
 
-    def _merge(self, name: str, rows: DataFrame, keys: list[str], date: str | None = None) -> None:
+    def _merge(self, name: str, rows: DataFrame, keys: list[str], date: str | None = None, gone: DataFrame | None = None) -> None:
         if date is None:
-            upsert_table(self.spark, self.path(name), rows, keys)
+            upsert_table(self.spark, self.path(name), rows, keys, gone=gone)
             return
         day = F.col(date).cast("date")
         dated = rows.withColumn(PARTITION, F.trunc(day, "month") if self.grain == "month" else day)
-        upsert_table(self.spark, self.path(name), dated, keys, PARTITION)
+        upsert_table(self.spark, self.path(name), dated, keys, PARTITION, gone=gone)
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        if table_exists(self.spark, self.path(name)):
+            replace_table(self.spark, self.path(name), rows)
+        else:
+            rows.write.parquet(self.path(name))
+
+    def _changed(self, name: str, rows: DataFrame, start: str, end: str, at: str) -> DataFrame | None:
+        """Purchases with a line of an item whose windows differ from the stored ones, inside the time that differs."""
+        if not (table_exists(self.spark, self.path(name)) and table_exists(self.spark, self.path("int_promoted"))):
+            return None
+        before = self.table(name).select(*rows.columns)
+        differs = before.exceptAll(rows).unionByName(rows.exceptAll(before))
+        spans = differs.groupBy("item_key").agg(F.min(start).alias("__from"), F.max(end).alias("__to"))
+        lines = self.table("int_promoted").select("purchase_key", "item_key", at)
+        met = lines.join(spans, "item_key").where((F.col(at) >= F.col("__from")) & (F.col(at) < F.col("__to")))
+        return met.select("purchase_key").distinct()
 
     def run(
         self,
@@ -71,16 +89,13 @@ class CoreTables:
         cfg = self.cfg
         names = ("int_purchases", "int_item_logs", "int_promoted", "fct_order", "dim_customer", "dim_item_current", "dim_promo")
         if full_refresh:
-            for name in names:
+            for name in (*names, "int_item_scd2", "int_promo_segments"):
                 drop_table(self.spark, self.path(name))
         self.watermarks.ensure()
         self.runs.ensure()
 
-        since = self._cutoff("int_item_logs", "time_log_created_utc", lookback_days)
-        logs = stage_item_logs(raw["raw_item_logs"])
-        if since is not None:
-            logs = logs.where(F.col("time_log_created_utc") >= F.lit(since))
-        merge_batch(self.spark, logs, self.path("int_item_logs"), self.grain)
+        # all logs are read: one may come late, and its item's history decides the price of stored orders
+        merge_batch(self.spark, stage_item_logs(raw["raw_item_logs"]), self.path("int_item_logs"), self.grain)
         curated = curated_view(self.spark, self.path("int_item_logs"))
         history = materialize(item_scd2(curated, cfg.split_unit), "item-history")
 
@@ -88,13 +103,23 @@ class CoreTables:
         fresh = curate_purchases(stage_purchase_logs(raw["raw_purchases"], cfg), cfg, since)
         self._merge("int_purchases", fresh, ["purchase_key"], "order_date_utc")
         purchases = self.table("int_purchases")
-        recent = purchases if since is None else purchases.where(F.col("time_order_received_utc") >= F.lit(since))
+        segments = materialize(core.keyed_promo_segments(stage_promos(raw["raw_promos"])), "promo-segments")
+        recent = purchases
+        if since is not None:
+            recent = purchases.where(F.col("time_order_received_utc") >= F.lit(since))
+            for changed in (
+                self._changed("int_item_scd2", history, "valid_from_utc", "valid_to_utc", "time_order_received_utc"),
+                self._changed("int_promo_segments", segments, "segment_from", "segment_to", "order_date_berlin"),
+            ):
+                if changed is not None:
+                    recent = recent.unionByName(restrict_to_keys(purchases, changed, "purchase_key"))
+            recent = materialize(recent.dropDuplicates(["purchase_key"]), "recent-purchases")
 
         # only baskets of the purchases read in this run are opened
         lines = explode_basket(restrict_to_keys(raw["raw_baskets"], recent.select("purchase_key"), "purchase_key"))
-        segments = materialize(core.keyed_promo_segments(stage_promos(raw["raw_promos"])), "promo-segments")
         promoted = core.order_items_with_promo(core.order_items_with_price(lines, recent, history, cfg), segments, cfg)
-        self._merge("int_promoted", promoted, ["order_item_sk"], "order_date_berlin")
+        # the lines of a purchase are replaced as a set: a corrected basket may have lost some
+        self._merge("int_promoted", promoted, ["order_sk"], "order_date_berlin", recent.select(surrogate_key("purchase_key").alias("order_sk")))
 
         # a late order renumbers later orders of its customer, so all orders of these customers are restated
         buyers = recent.select(surrogate_key("customer_key").alias("customer_sk")).distinct()
@@ -116,6 +141,8 @@ class CoreTables:
             "dim_customer": (self.table("dim_customer"), "last_order_ts_utc"),
             "dim_item_current": (self.table("dim_item_current"), "current_valid_from_utc"),
         }
+        self._replace("int_item_scd2", history)
+        self._replace("int_promo_segments", segments)
         self.watermarks.put_all(marks, now)
         self.runs.put_all(run_id, names, now, now)
 
