@@ -12,6 +12,7 @@ from basketry.functions import surrogate_key
 from basketry.functions.scalars import utc_text
 from basketry.operators.timeline import split_neighbours
 
+# Attributes whose change starts a version, and the columns of the history.
 TRACKED = (
     "item_name_en",
     "item_name_de",

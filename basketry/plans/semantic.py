@@ -276,50 +276,101 @@ def _outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _column_metrics(prefix: str, suffix: bool, sums: str = "", averages: str = "") -> dict[str, tuple[str, str]]:
-    end = (lambda how: f"_{how}") if suffix else (lambda how: "")
-    return {
-        **{f"{prefix}{c}{end('sum')}": ("sum", c) for c in sums.split()},
-        **{f"{prefix}{c}{end('avg')}": ("average", c) for c in averages.split()},
-    }
-
-
-PAIR_AVERAGES = (
-    "support expected_support_independent expected_pair_orders_independent pair_orders_vs_expected_pct "
-    "confidence_a_to_b confidence_b_to_a lift actionability_rank"
-)
 # Column metrics of the marts as name -> (aggregate, column).
 COLUMN_METRICS: dict[str, dict[str, tuple[str, str]]] = {
     "rpt_category_scorecard": {
-        **_column_metrics("cos_", True, "revenue_eur units orders customers",
-                          "share_pct order_pen_pct customer_pen_pct asp_eur disc_pct promo_pct rev_per_order_eur "
-                          "orders_per_customer repeat_pct top_sku_pct top_3_pct"),
+        "cos_revenue_eur_sum": ("sum", "revenue_eur"),
+        "cos_units_sum": ("sum", "units"),
+        "cos_orders_sum": ("sum", "orders"),
+        "cos_customers_sum": ("sum", "customers"),
+        "cos_share_pct_avg": ("average", "share_pct"),
+        "cos_order_pen_pct_avg": ("average", "order_pen_pct"),
+        "cos_customer_pen_pct_avg": ("average", "customer_pen_pct"),
+        "cos_asp_eur_avg": ("average", "asp_eur"),
+        "cos_disc_pct_avg": ("average", "disc_pct"),
+        "cos_promo_pct_avg": ("average", "promo_pct"),
+        "cos_rev_per_order_eur_avg": ("average", "rev_per_order_eur"),
+        "cos_orders_per_customer_avg": ("average", "orders_per_customer"),
+        "cos_repeat_pct_avg": ("average", "repeat_pct"),
+        "cos_top_sku_pct_avg": ("average", "top_sku_pct"),
+        "cos_top_3_pct_avg": ("average", "top_3_pct"),
     },
     "rpt_category_monthly": {
-        **_column_metrics("cm_", False, "revenue_eur discount_eur orders customers units_sold"),
+        "cm_revenue_eur": ("sum", "revenue_eur"),
+        "cm_discount_eur": ("sum", "discount_eur"),
+        "cm_orders": ("sum", "orders"),
+        "cm_customers": ("sum", "customers"),
+        "cm_units_sold": ("sum", "units_sold"),
         "base_cm_revenue_eur": ("sum", "base_revenue_eur"),
         "promo_cm_units_sold": ("sum", "promo_units_sold"),
-        **_column_metrics("cm_avg_", False, "",
-                          "discount_rate revenue_share order_penetration customer_penetration asp_eur "
-                          "revenue_per_order_eur units_per_order orders_per_customer repeat_customer_rate sku_count "
-                          "top_sku_share top_3_share cross_sell_attach_rate"),
+        "cm_avg_discount_rate": ("average", "discount_rate"),
+        "cm_avg_revenue_share": ("average", "revenue_share"),
+        "cm_avg_order_penetration": ("average", "order_penetration"),
+        "cm_avg_customer_penetration": ("average", "customer_penetration"),
+        "cm_avg_asp_eur": ("average", "asp_eur"),
+        "cm_avg_revenue_per_order_eur": ("average", "revenue_per_order_eur"),
+        "cm_avg_units_per_order": ("average", "units_per_order"),
+        "cm_avg_orders_per_customer": ("average", "orders_per_customer"),
+        "cm_avg_repeat_customer_rate": ("average", "repeat_customer_rate"),
+        "cm_avg_sku_count": ("average", "sku_count"),
+        "cm_avg_top_sku_share": ("average", "top_sku_share"),
+        "cm_avg_top_3_share": ("average", "top_3_share"),
+        "cm_avg_cross_sell_attach_rate": ("average", "cross_sell_attach_rate"),
+    },
+    "rpt_kpi_long": {
+        "kpi_metric_value_sum": ("sum", "metric_value"),
     },
-    "rpt_kpi_long": {"kpi_metric_value_sum": ("sum", "metric_value")},
     "rpt_kpi_mom": {
         "kpi_mom_metric_value_sum": ("sum", "metric_value"),
         "kpi_mom_previous_metric_value_sum": ("sum", "previous_month_metric_value"),
         "kpi_mom_absolute_change_sum": ("sum", "mom_absolute_change"),
         "kpi_mom_percentage_change_avg": ("average", "mom_percentage_change"),
     },
-    "rpt_star_products": _column_metrics("star10_", True, "revenue_eur units orders customers", "share_pct asp_eur disc_pct"),
-    "rpt_customer_promo": _column_metrics(
-        "rcp_", False,
-        "orders_with_any_promo_units orders_with_no_promo_units promo_units_purchased non_promo_units_purchased "
-        "promo_value_eur non_promo_value_eur",
-    ),
-    "rpt_daypart": _column_metrics("cdm_", True, "revenue_eur units_sold"),
-    "rpt_category_pairs": _column_metrics("cscp_", True, "pair_orders pair_orders_vs_expected_delta", PAIR_AVERAGES),
-    "rpt_product_pairs": _column_metrics("cspp_", True, "pair_orders pair_orders_vs_expected_delta", PAIR_AVERAGES),
+    "rpt_star_products": {
+        "star10_revenue_eur_sum": ("sum", "revenue_eur"),
+        "star10_units_sum": ("sum", "units"),
+        "star10_orders_sum": ("sum", "orders"),
+        "star10_customers_sum": ("sum", "customers"),
+        "star10_share_pct_avg": ("average", "share_pct"),
+        "star10_asp_eur_avg": ("average", "asp_eur"),
+        "star10_disc_pct_avg": ("average", "disc_pct"),
+    },
+    "rpt_customer_promo": {
+        "rcp_orders_with_any_promo_units": ("sum", "orders_with_any_promo_units"),
+        "rcp_orders_with_no_promo_units": ("sum", "orders_with_no_promo_units"),
+        "rcp_promo_units_purchased": ("sum", "promo_units_purchased"),
+        "rcp_non_promo_units_purchased": ("sum", "non_promo_units_purchased"),
+        "rcp_promo_value_eur": ("sum", "promo_value_eur"),
+        "rcp_non_promo_value_eur": ("sum", "non_promo_value_eur"),
+    },
+    "rpt_daypart": {
+        "cdm_revenue_eur_sum": ("sum", "revenue_eur"),
+        "cdm_units_sold_sum": ("sum", "units_sold"),
+    },
+    "rpt_category_pairs": {
+        "cscp_pair_orders_sum": ("sum", "pair_orders"),
+        "cscp_pair_orders_vs_expected_delta_sum": ("sum", "pair_orders_vs_expected_delta"),
+        "cscp_support_avg": ("average", "support"),
+        "cscp_expected_support_independent_avg": ("average", "expected_support_independent"),
+        "cscp_expected_pair_orders_independent_avg": ("average", "expected_pair_orders_independent"),
+        "cscp_pair_orders_vs_expected_pct_avg": ("average", "pair_orders_vs_expected_pct"),
+        "cscp_confidence_a_to_b_avg": ("average", "confidence_a_to_b"),
+        "cscp_confidence_b_to_a_avg": ("average", "confidence_b_to_a"),
+        "cscp_lift_avg": ("average", "lift"),
+        "cscp_actionability_rank_avg": ("average", "actionability_rank"),
+    },
+    "rpt_product_pairs": {
+        "cspp_pair_orders_sum": ("sum", "pair_orders"),
+        "cspp_pair_orders_vs_expected_delta_sum": ("sum", "pair_orders_vs_expected_delta"),
+        "cspp_support_avg": ("average", "support"),
+        "cspp_expected_support_independent_avg": ("average", "expected_support_independent"),
+        "cspp_expected_pair_orders_independent_avg": ("average", "expected_pair_orders_independent"),
+        "cspp_pair_orders_vs_expected_pct_avg": ("average", "pair_orders_vs_expected_pct"),
+        "cspp_confidence_a_to_b_avg": ("average", "confidence_a_to_b"),
+        "cspp_confidence_b_to_a_avg": ("average", "confidence_b_to_a"),
+        "cspp_lift_avg": ("average", "lift"),
+        "cspp_actionability_rank_avg": ("average", "actionability_rank"),
+    },
     "fct_order_item": {
         "order_item_rows": ("count_distinct", "order_item_sk"),
         "orders": ("count_distinct", "order_sk"),

@@ -8,35 +8,102 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ORDER_EXPORT = (
-    "order_sk customer_sk purchase_key customer_key order_ts_utc order_ts_berlin order_date_utc order_date "
-    "order_hour_utc order_hour_berlin order_day_name delivery_distance_line_meters total_basket_value_eur "
-    "service_fee_eur courier_base_fee_eur basket_plus_service_fee_eur total_customer_paid_eur "
-    "total_units_in_order distinct_order_item_rows_in_order promo_order_item_rows_in_order "
-    "promo_units_in_order has_any_promo_units_in_order derived_order_items_base_amount_gross_eur "
-    "derived_order_items_discount_amount_gross_eur derived_order_items_final_amount_gross_eur "
-    "customer_order_number is_first_order_for_customer"
-).split()
-ORDER_ITEM_EXPORT = (
-    "order_item_sk order_sk customer_sk purchase_key customer_key item_key item_key_sk item_scd_sk promo_sk "
-    "order_ts_utc order_date_utc order_date units_in_order_item_row item_unit_base_price_gross_eur "
-    "discount_pct_applied item_unit_discount_amount_gross_eur item_unit_final_price_gross_eur "
-    "order_item_row_base_amount_gross_eur order_item_row_discount_amount_gross_eur "
-    "order_item_row_final_amount_gross_eur is_promo_item item_name_en item_name_de item_name_preferred "
-    "item_category brand_name vat_rate_pct"
-).split()
-CUSTOMER_PROMO_EXPORT = (
-    "customer_sk customer_key first_order_ts_utc first_order_ts_berlin first_order_had_any_promo_units "
-    "first_order_had_only_promo_units orders_with_any_promo_units orders_with_no_promo_units "
-    "promo_units_purchased non_promo_units_purchased promo_value_eur non_promo_value_eur "
-    "promo_only_customer_flag lifetime_orders"
-).split()
-PAIR_EXPORT = (
-    "product_a product_b pair_orders product_a_orders product_b_orders total_orders support "
-    "expected_support_independent expected_pair_orders_independent pair_orders_vs_expected_delta "
-    "pair_orders_vs_expected_pct confidence_a_to_b confidence_b_to_a lift category_a category_b pattern "
-    "actionability_bucket actionability_rank"
-).split()
+# Columns of the exports in order.
+ORDER_EXPORT = [
+    "order_sk",
+    "customer_sk",
+    "purchase_key",
+    "customer_key",
+    "order_ts_utc",
+    "order_ts_berlin",
+    "order_date_utc",
+    "order_date",
+    "order_hour_utc",
+    "order_hour_berlin",
+    "order_day_name",
+    "delivery_distance_line_meters",
+    "total_basket_value_eur",
+    "service_fee_eur",
+    "courier_base_fee_eur",
+    "basket_plus_service_fee_eur",
+    "total_customer_paid_eur",
+    "total_units_in_order",
+    "distinct_order_item_rows_in_order",
+    "promo_order_item_rows_in_order",
+    "promo_units_in_order",
+    "has_any_promo_units_in_order",
+    "derived_order_items_base_amount_gross_eur",
+    "derived_order_items_discount_amount_gross_eur",
+    "derived_order_items_final_amount_gross_eur",
+    "customer_order_number",
+    "is_first_order_for_customer",
+]
+ORDER_ITEM_EXPORT = [
+    "order_item_sk",
+    "order_sk",
+    "customer_sk",
+    "purchase_key",
+    "customer_key",
+    "item_key",
+    "item_key_sk",
+    "item_scd_sk",
+    "promo_sk",
+    "order_ts_utc",
+    "order_date_utc",
+    "order_date",
+    "units_in_order_item_row",
+    "item_unit_base_price_gross_eur",
+    "discount_pct_applied",
+    "item_unit_discount_amount_gross_eur",
+    "item_unit_final_price_gross_eur",
+    "order_item_row_base_amount_gross_eur",
+    "order_item_row_discount_amount_gross_eur",
+    "order_item_row_final_amount_gross_eur",
+    "is_promo_item",
+    "item_name_en",
+    "item_name_de",
+    "item_name_preferred",
+    "item_category",
+    "brand_name",
+    "vat_rate_pct",
+]
+CUSTOMER_PROMO_EXPORT = [
+    "customer_sk",
+    "customer_key",
+    "first_order_ts_utc",
+    "first_order_ts_berlin",
+    "first_order_had_any_promo_units",
+    "first_order_had_only_promo_units",
+    "orders_with_any_promo_units",
+    "orders_with_no_promo_units",
+    "promo_units_purchased",
+    "non_promo_units_purchased",
+    "promo_value_eur",
+    "non_promo_value_eur",
+    "promo_only_customer_flag",
+    "lifetime_orders",
+]
+PAIR_EXPORT = [
+    "product_a",
+    "product_b",
+    "pair_orders",
+    "product_a_orders",
+    "product_b_orders",
+    "total_orders",
+    "support",
+    "expected_support_independent",
+    "expected_pair_orders_independent",
+    "pair_orders_vs_expected_delta",
+    "pair_orders_vs_expected_pct",
+    "confidence_a_to_b",
+    "confidence_b_to_a",
+    "lift",
+    "category_a",
+    "category_b",
+    "pattern",
+    "actionability_bucket",
+    "actionability_rank",
+]
 
 
 def ordered_csv(df: DataFrame, path: str, order: Sequence[Column | str]) -> DataFrame:
