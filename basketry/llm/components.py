@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from basketry.llm.common import Stored
 
 
+def digest(edges: DataFrame) -> tuple:
+    """Number of edges and the sum of their hashes: equal for equal sets."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> Stored:
     """(node, component): the smallest node reachable over edges (u, v), for every node that has an edge.
 
@@ -16,6 +21,7 @@ def components(edges: DataFrame) -> Stored:
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = Stored(pairs, "star")
+    before = digest(now.df)
     while True:
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -25,11 +31,12 @@ def components(edges: DataFrame) -> Stored:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         then = Stored(moved, "star")
-        moved_rows = then.df.join(now.df, ["u", "v"], "left_anti").limit(1).count() + now.df.join(then.df, ["u", "v"], "left_anti").limit(1).count()
+        after = digest(then.df)
         now.drop()
         now = then
-        if not moved_rows:
+        if after == before:
             break
+        before = after
     roots = now.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     out = Stored(now.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
     now.drop()

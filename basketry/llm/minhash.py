@@ -6,12 +6,15 @@ one shingle. Documents whose sets overlap by 75 % or more (intersection over uni
 * Rows with equal sets are folded first; only one id per set goes on, so a hot group of copies is a single node.
 * One hash per shingle; its high bits pick one of 126 bins, each bin keeps its minimum. An empty bin borrows from bins drawn
   by a hash of its own number until one is full, the same draw in every document.
-* 42 bands of 3 bins: a pair at 0.75 shares no band with probability under 1e-9. Sets of fewer shingles than bins have dependent
-  bands; sets of up to 168 shingles therefore also get prefix keys (the smallest quarter of their hashes, plus one), which
-  cannot miss a pair.
-* In a bucket every member is compared with the smallest id only: as many pairs as members. Pairs are confirmed on full sets.
-  Buckets whose members are not in one component afterwards go on with other centres (drawn by hash) until a round over
-  all such buckets links nothing new.
+* 42 bands of 3 bins: a pair at 0.75 shares no band with probability under 1e-6. Sets with fewer shingles than bins fill few of them, and
+  their bands depend on each other: sets of up to 126 shingles, and those up to 168 that they can match, use three
+  permutations of their own with 31 bands of 4 bins each. (A prefix filter cannot miss a pair, but here it puts all documents
+  with one common passage into the same buckets.)
+* Star-shaped candidates: every member of a bucket meets the bucket's smallest id; of its centres a document tries the smallest first,
+  so a group of any size costs a pair per member. Pairs that cannot link by size, or by one bit of each minimum (which misses less
+  than one pair at the limit in a million), are left out; the others are confirmed on full sets.
+* Buckets that still hold several components go on in rounds: what is outside the largest component of a bucket meets a member of that
+  component and one of the rest, other ones each round, until a round links nothing new. Pairs stay linear in the members.
 
 Defined results: null or empty text or no words: empty set, linked with nothing, kept; rows of one id are one document to the
 links (each row keeps its own n_shingles); rows without an id are left out; an empty table gives an empty result.
@@ -32,7 +35,8 @@ from basketry.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 42, 3
 BINS = BANDS * ROWS
-PREFIX_UP_TO = BINS * 4 // 3
+SMALL, SMALL_ROWS = BINS * 4 // 3, 4
+BITS_APART = 36
 PERCENT = 75
 
 
@@ -78,22 +82,40 @@ def signature(values: np.ndarray) -> np.ndarray:
     return out
 
 
-BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+def band_keys(bins: np.ndarray, bands: int, rows: int, salt: int) -> np.ndarray:
+    """One key per band of neighbouring bins."""
+    key = mix(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(salt << 32))
+    for r in range(rows):
+        key = mix(key ^ bins[r : bands * rows : rows]) + np.uint64(r)
+    return key
 
 
 def keys(values: np.ndarray) -> np.ndarray:
-    """Bucket keys of a set: one per band, and the prefix of a small set."""
-    bands = signature(values).reshape(BANDS, ROWS)
-    key = BAND_SALT.copy()
-    for r in range(ROWS):
-        key = mix(key ^ bands[:, r]) + np.uint64(r)
-    if len(values) <= PREFIX_UP_TO:
-        need = -(-len(values) * PERCENT // 100)
-        key = np.concatenate((key, mix(values[: len(values) - need + 1] ^ np.uint64(0xA5A5A5A5))))
-    return np.unique(key)
+    """Bucket keys of a set."""
+    out = []
+    if len(values) > BINS:
+        out.append(band_keys(signature(values), BANDS, ROWS, 0))
+    if len(values) <= SMALL:
+        for turn in (1, 2, 3):
+            again = np.sort(mix(values ^ np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)))
+            out.append(band_keys(signature(again), BINS // SMALL_ROWS, SMALL_ROWS, turn))
+    return np.unique(np.concatenate(out))
 
 
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"
+BIT_SALTS = mix(np.arange(1, BINS + 1, dtype=np.uint64) + np.uint64(7 << 40))
+
+
+def bits(values: np.ndarray) -> tuple[int, int]:
+    """One bit of the minimum per bin, in two words; small sets take the minimum under as many hash functions instead."""
+    if len(values) > SMALL:
+        low = signature(values) & np.uint64(1)
+    else:
+        low = mix(values[None, :] ^ BIT_SALTS[:, None]).min(axis=1) >> np.uint64(7) & np.uint64(1)
+    packed = np.packbits(np.append(low, [0, 0]).astype(np.uint8)).view(np.int64)
+    return int(packed[0]), int(packed[1])
+
+
+SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, b1 long, b2 long, keys array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -101,7 +123,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     hashes = WordHash()
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        size, h1, h2, key = [], [], [], []
+        size, h1, h2, key, low = [], [], [], [], []
         for text in batch.column("text").cast(pa.large_binary()).to_pylist():
             values = shingles(text, hashes)
             size.append(len(values))
@@ -109,7 +131,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             h1.append(whole >> 64)
             h2.append(whole & (2**64 - 1))
             key.append(signed(keys(values)) if len(values) else np.zeros(0, np.int64))
-        return {"doc_id": batch.column("doc_id"), "n_shingles": size, "h1": signed(np.array(h1, np.uint64)), "h2": signed(np.array(h2, np.uint64)), "keys": ragged(key, pa.int64())}
+            low.append(bits(values) if len(values) else (0, 0))
+        return {"doc_id": batch.column("doc_id"), "n_shingles": size, "b1": [a for a, _ in low], "b2": [b for _, b in low], "h1": signed(np.array(h1, np.uint64)), "h2": signed(np.array(h2, np.uint64)), "keys": ragged(key, pa.int64())}
 
     return arrow_map(docs.select("doc_id", "text"), per_batch, SIGNED)
 
@@ -149,49 +172,62 @@ def pack(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), per_batch, "node long, z binary")
 
 
+def may_link(a: str, b: str):
+    """Whether two sets can be linked, by their sizes and bits.
+
+    Of 126 bits a pair at 0.75 differs in 16 on average, in more than `BITS_APART` with probability under 1e-6; a pair at 0.3 in 44.
+    """
+    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    apart = F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
+    told_apart = ((large <= SMALL) | (small > SMALL)) & (apart > BITS_APART)
+    return (small * 100 >= large * PERCENT) & ~told_apart
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row: component_id is the smallest id reachable over links."""
     base = texts(docs)
     signs = Stored(signatures(base), "signatures")
     some = signs.df.where("n_shingles > 0")
-    classes = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    same = some.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
-    one = some.join(classes.select("h1", "h2", F.col("node").alias("doc_id")), ["h1", "h2", "doc_id"]).dropDuplicates(["h1", "h2", "doc_id"])
-    buckets = Stored(one.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key")), "buckets")
-    shared = buckets.df.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = Stored(buckets.df.join(shared, "key").distinct(), "members")
+    classes = Stored(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
+    placed_rows = some.join(classes.df, ["h1", "h2"])
+    same = placed_rows.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
+    one = placed_rows.where("doc_id = node").select("node", F.struct(F.col("n_shingles").alias("n"), "b1", "b2").alias("s"), F.explode("keys").alias("key")).distinct()
+    buckets = Stored(one, "buckets")
+    shared = buckets.df.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "s")).alias("low")).where("c > 1").select("key", "low")
+    members = Stored(buckets.df.join(shared, "key"), "members")
     buckets.drop()
-    nodes = members.df.select(F.col("node").alias("doc_id")).distinct()
-    packed = Stored(pack(base.join(nodes, "doc_id")).distinct(), "packed_texts")
-    edges = Stored(same, "same_sets")
-    edge_tables, tested_tables = [edges], []
-    centre = F.min("node")
-    found = members.df
-    turn = 0
+    packed = Stored(pack(base.join(members.df.select(F.col("node").alias("doc_id")).distinct(), "doc_id")).distinct(), "packed_texts")
+
+    near = members.df.where(F.col("node") > F.col("low.node")).where(may_link("s", "low.s"))
+    tested = Stored(near.groupBy(F.col("node").alias("a")).agg(F.min("low.node").alias("c")), "pairs")
+    every_test = tested.df
+    links = confirmed(tested.df, packed.df).select(F.col("a").alias("u"), F.col("c").alias("v"))
+    groups = components(links.unionByName(same))
+    known = groups.df.unionByName(members.df.select("node").distinct().join(groups.df, "node", "left_anti").select("node", F.col("node").alias("component")))
+    groups = Stored(known, "groups")
+    inside = members.df.select("key", "node", "s")
+    turn = 1
     while True:
-        centres = found.groupBy("key").agg(centre.alias("c"))
-        pairs = found.join(centres, "key")
-        if turn:
-            pairs = pairs.join(groups.df.withColumnRenamed("node", "c").withColumnRenamed("component", "of_c"), "c").where("component <> of_c")
-        pairs = pairs.where("node <> c").select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("c")).distinct()
-        for tested in tested_tables:
-            pairs = pairs.join(tested.df, ["a", "c"], "left_anti")
-        tested_tables.append(Stored(pairs, "pairs"))
-        links = Stored(confirmed(tested_tables[-1].df, packed.df).select(F.col("a").alias("u"), F.col("c").alias("v")), "links")
-        edge_tables.append(links)
-        if turn and not links.df.limit(1).count():
+        placed = inside.join(groups.df, "node")
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("many"), F.min_by(F.struct("node", "s"), F.xxhash64("node", "key", F.lit(turn))).alias("pick"))
+        top = parts.groupBy("key").agg(F.max_by(F.struct("component", "pick"), F.struct("many", -F.col("component"))).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+        rest = Stored(placed.join(top, "key"), "open_buckets")
+        inside = rest.df.select("key", "node", "s")
+        outside = rest.df.where(F.col("component") != F.col("top.component"))
+        second = outside.groupBy("key").agg(F.min_by(F.struct("component", "node", "s"), F.xxhash64("node", "key", F.lit(-turn))).alias("other"))
+        to_top = outside.where(may_link("s", "top.pick.s")).select("node", F.col("top.pick.node").alias("c"))
+        to_rest = outside.join(second, "key").where(F.col("component") != F.col("other.component")).where(may_link("s", "other.s")).select("node", F.col("other.node").alias("c"))
+        pairs = to_top.unionByName(to_rest).select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("c")).distinct()
+        tested = Stored(pairs.join(every_test, ["a", "c"], "left_anti"), "pairs")
+        every_test = every_test.unionByName(tested.df)
+        found = Stored(confirmed(tested.df, packed.df), "links")
+        if not found.df.limit(1).count():
             break
-        # a member stands for itself while it has no link
-        every = edge_tables[0].df
-        for more in edge_tables[1:]:
-            every = every.unionByName(more.df)
-        groups = components(every.unionByName(members.df.select(F.col("node").alias("u"), F.col("node").alias("v")).distinct()))
-        placed = members.df.join(groups.df, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        groups = Stored(placed.select("node", "component").distinct().unionByName(groups.df).distinct(), "groups")
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        found = Stored(placed.join(open_keys, "key"), "open_buckets").df
+        # only components that a new link joins change
+        merged = found.df.join(groups.df.select(F.col("node").alias("a"), F.col("component").alias("u")), "a").join(groups.df.select(F.col("node").alias("c"), F.col("component").alias("v")), "c")
+        joined = components(merged.select("u", "v")).df.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        groups = Stored(groups.df.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "groups")
         turn += 1
-        centre = F.min_by("node", F.xxhash64("node", "key", F.lit(turn)))
     out = signs.df.select("doc_id", "n_shingles").join(groups.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))

@@ -14,6 +14,7 @@ out; the special token's string in a text is that special token; an empty table
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,40 +25,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from basketry.llm.common import CACHE_ENTRIES, Stored, arrow_schema, mix, parts, record_batch, texts
+from basketry.llm.common import Stored, arrow_schema, mix, parts, record_batch, texts
 
 WINDOW = 2048
 SHARD_TOKENS = 2_500_000
 QUERY_TERMS = 32
+NEAREST = 48
+CHUNKS_KEPT, PIECES_KEPT = 400_000, 200_000
 END = 1
 K1, B = 1.2, 0.75
 # The split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary; printable bytes stand for themselves."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(rest)}
+
+
 class Encoder(dict):
-    """Ids of a text, as bytes of unsigned 16- or 32-bit numbers; pieces of the split pattern are remembered up to a bound."""
+    """Ids of a text, as bytes of unsigned 16- or 32-bit numbers.
+
+    A blank before a letter or sign always begins a piece of the split pattern, so a text without double blanks is the sum of its
+    blank-separated chunks, each with its blank. Chunks are remembered up to a bound, and so are the pieces they split into.
+    """
+
+    LETTERS = byte_letters()
+    held: dict[str, Encoder] = {}  # per process: later tasks of a worker go on with what it has learnt
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
         self.split = regex.compile(PATTERN).findall
-        self.special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= PIECES_KEPT:
+                self.pieces.clear()
+            letters = piece.encode().decode("latin-1").translate(self.LETTERS)
+            ids = self.pieces[piece] = array("H" if self.kind.itemsize == 2 else "I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CHUNKS_KEPT:
             self.clear()
-        ids = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        ids = self[chunk] = b"".join(map(self.piece, self.split(" " + chunk)))
         return ids
 
     def encode(self, text: str) -> bytes:
-        if any(name in text for name, _ in self.special):
+        if any(name in text for name in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if "  " in text:
+            return b"".join(map(self.piece, self.split(text)))
+        first, *chunks = text.split(" ")
+        return b"".join([*map(self.piece, self.split(first)), *map(self.__getitem__, chunks)])
 
 
 def kind_of(path: str) -> str:
-    return Encoder(path).kind.str
+    return Encoder.of(path).kind.str
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -66,7 +103,7 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
     schema = arrow_schema(docs.sparkSession, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder.of(path)
         end = np.array([END], encoder.kind).tobytes()
         for batch in batches:
             ids = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
@@ -115,7 +152,9 @@ class Index:
         self.size = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
-        places = np.concatenate([np.arange(self.at[t], self.at[t + 1]) for t in self.query[seed]])
+        begin = self.at[self.query[seed]]
+        n = self.at[self.query[seed] + 1] - begin
+        places = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
         return np.bincount(self.owner[places], self.weight[places], self.size)
 
 
@@ -136,7 +175,7 @@ def fill(docs: list[np.ndarray], index: Index, window: int) -> Iterator[list[tup
             seed = k if free[k] else None
         if seed is None:
             return
-        sequence, room, ranked = [], window, None
+        sequence, room, ranked, whole = [], window, None, False
         current, seed = seed, None
         first = current
         while True:
@@ -152,9 +191,15 @@ def fill(docs: list[np.ndarray], index: Index, window: int) -> Iterator[list[tup
             if ranked is None:
                 scores = index.scores(first)
                 scores[~free] = -1
-                ranked = np.argsort(-scores, kind="stable").tolist()[::-1]
+                # the best come first; the rest is ordered only if they are used up
+                best = np.argpartition(-scores, NEAREST)[:NEAREST] if len(scores) > NEAREST else np.arange(len(scores))
+                ranked = best[np.lexsort((best, -scores[best]))].tolist()[::-1]
+                whole = len(scores) <= NEAREST
             while ranked and not free[ranked[-1]]:
                 ranked.pop()
+            if not ranked and not whole:
+                scores[~free] = -1
+                ranked, whole = [k for k in np.argsort(-scores, kind="stable").tolist()[::-1] if free[k]], True
             if not ranked:
                 break
             current = ranked.pop()

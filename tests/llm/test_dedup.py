@@ -156,12 +156,11 @@ def test_window_minimum_and_unions():
     assert unions(np.array([5, 0, 2, 9]), np.array([7, 2, 4, 9])) == [(0, 4), (5, 7)]
 
 
-def test_small_sets_never_miss_a_pair():
+def test_pairs_at_the_limit_share_a_bucket():
     rnd = np.random.default_rng(3)
-    for n in range(2, 160, 7):
-        for _ in range(20):
-            a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
-            drop = len(a) // 4
-            b = np.sort(rnd.permutation(a)[: len(a) - drop])
-            if 100 * len(b) >= 75 * len(a):
-                assert np.intersect1d(minhash.keys(a), minhash.keys(b)).size
+    for n in (5, 9, 20, 60, 120, 127, 168, 169, 300):
+        for _ in range(60):
+            pool = rnd.permutation(np.unique(rnd.integers(0, 2**63, 3 * n).astype(np.uint64)))
+            same = -(-150 * n // 175)  # of n and n shingles: 100 * same >= 75 * (2 * n - same)
+            a, b = np.sort(pool[:n]), np.sort(pool[n - same : 2 * n - same])
+            assert np.intersect1d(minhash.keys(a), minhash.keys(b)).size
