@@ -15,6 +15,9 @@ one shingle. Documents whose sets overlap by 75 % or more (intersection over uni
   than one pair at the limit in a million), are left out; the others are confirmed on full sets.
 * Buckets that still hold several components go on in rounds: what is outside the largest component of a bucket meets a member of that
   component and one of the rest, other ones each round, until a round links nothing new. Pairs stay linear in the members.
+* Then every pair of two components that still shares a bucket is tested or ruled out by size and bits. A bucket is dealt in tiles of two
+  chunks of at most about `CHUNK` members; a pair is tested in the first bucket it shares. Members of the largest component are not
+  set against each other. The tests are the product of outside members and members, but only bounded tiles with their texts are moved.
 
 Defined results: null or empty text or no words: empty set, linked with nothing, kept; rows of one id are one document to the
 links (each row keeps its own n_shingles); rows without an id are left out; an empty table gives an empty result.
@@ -22,6 +25,9 @@ links (each row keeps its own n_shingles); rows without an id are left out; an e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import Stored, WordHash, arrow_map, gram_hash, mix, ragged, signed, texts
+from basketry.llm.common import Stored, WordHash, arrow_map, arrow_schema, gram_hash, mix, ragged, record_batch, signed, texts
 from basketry.llm.components import components
 
 SHINGLE = 5
@@ -38,6 +44,7 @@ BINS = BANDS * ROWS
 SMALL, SMALL_ROWS = BINS * 4 // 3, 4
 BITS_APART = 36
 PERCENT = 75
+CHUNK = 256
 
 
 def shingles(text: bytes, hashes: WordHash) -> np.ndarray:
@@ -90,16 +97,26 @@ def band_keys(bins: np.ndarray, bands: int, rows: int, salt: int) -> np.ndarray:
     return key
 
 
-def keys(values: np.ndarray) -> np.ndarray:
-    """Bucket keys of a set."""
-    out = []
+def placed_keys(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys of a set, one place per band of any kind, and which places are used."""
+    few = BINS // SMALL_ROWS
+    out = np.zeros(BANDS + 3 * few, np.uint64)
+    used = np.zeros(len(out), bool)
     if len(values) > BINS:
-        out.append(band_keys(signature(values), BANDS, ROWS, 0))
+        out[:BANDS] = band_keys(signature(values), BANDS, ROWS, 0)
+        used[:BANDS] = True
     if len(values) <= SMALL:
         for turn in (1, 2, 3):
             again = np.sort(mix(values ^ np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)))
-            out.append(band_keys(signature(again), BINS // SMALL_ROWS, SMALL_ROWS, turn))
-    return np.unique(np.concatenate(out))
+            out[BANDS + (turn - 1) * few : BANDS + turn * few] = band_keys(signature(again), few, SMALL_ROWS, turn)
+        used[BANDS:] = True
+    return out, used
+
+
+def keys(values: np.ndarray) -> np.ndarray:
+    """Bucket keys of a set."""
+    out, used = placed_keys(values)
+    return np.unique(out[used])
 
 
 BIT_SALTS = mix(np.arange(1, BINS + 1, dtype=np.uint64) + np.uint64(7 << 40))
@@ -183,6 +200,101 @@ def may_link(a: str, b: str):
     return (small * 100 >= large * PERCENT) & ~told_apart
 
 
+def tiles(open_buckets: DataFrame) -> DataFrame:
+    """(key, low, high, chunk, node, component, s): members of open buckets in every tile (low, high) of two chunks they belong to.
+
+    Chunks of the members outside the largest component come first; a tile has at least one of them.
+    """
+    inner = F.col("component") == F.col("top.component")
+    outer_chunks, inner_chunks = F.ceil((F.col("every") - F.col("many")) / CHUNK), F.ceil(F.col("many") / CHUNK)
+    spread = F.xxhash64("node", F.lit(0))
+    chunk = F.when(inner, outer_chunks + F.pmod(spread, inner_chunks)).otherwise(F.pmod(spread, outer_chunks))
+    others = F.sequence(F.lit(0).cast("long"), F.when(inner, outer_chunks).otherwise(outer_chunks + inner_chunks) - 1)
+    each = open_buckets.select("key", "node", "component", "s", chunk.alias("chunk"), F.explode(others).alias("other"))
+    return each.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component", "s")
+
+
+class Tile:
+    """Members of one tile: which pairs of two components are links."""
+
+    def __init__(self, rows: list[dict], hashes: WordHash):
+        unpack = zstandard.ZstdDecompressor()
+        key = np.array([rows[0]["key"]], np.int64).view(np.uint64)[0]
+        self.rows, self.sets, places, used = [], [], [], []
+        for r in rows:
+            values = shingles(unpack.decompress(r["z"]), hashes)
+            mine, have = placed_keys(values)
+            # a text of the same id that is not in this bucket
+            if key in mine[have]:
+                self.rows.append(r)
+                self.sets.append(values)
+                places.append(mine)
+                used.append(have)
+        self.key, self.places, self.used = key, np.array(places), np.array(used)
+        self.whole = rows[0]["low"] == rows[0]["high"]
+        self.size = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+        self.low = np.array([[r["b1"], r["b2"]] for r in self.rows], np.int64).view(np.uint64).reshape(-1, 2)
+        self.chunk = np.array([r["chunk"] for r in self.rows])
+        self.label = np.array([r["component"] for r in self.rows])
+
+    def partners(self, x: int) -> np.ndarray:
+        """Later members that x may link to and meets in this bucket first."""
+        y = np.arange(x + 1, len(self.sets))
+        y = y[(self.label[y] != self.label[x]) & (self.whole | (self.chunk[y] != self.chunk[x]))]
+        small, large = np.minimum(self.size[x], self.size[y]), np.maximum(self.size[x], self.size[y])
+        apart = np.bitwise_count(self.low[x] ^ self.low[y]).sum(axis=1)
+        y = y[(small * 100 >= large * PERCENT) & ~(((large <= SMALL) | (small > SMALL)) & (apart > BITS_APART))]
+        shared = (self.places[y] == self.places[x]) & self.used[y] & self.used[x]
+        return y[self.places[x][shared.argmax(axis=1)] == self.key]
+
+    def links(self):
+        """Links that join components; those inside what is already joined are left out."""
+        for x, mine in enumerate(self.sets):
+            y = self.partners(x)
+            if not len(y):
+                continue
+            flat = np.concatenate([self.sets[k] for k in y])
+            place = np.searchsorted(mine, flat)
+            place[place == len(mine)] = 0
+            ends = np.cumsum(self.size[y])
+            same = np.add.reduceat((mine[place] == flat).astype(np.int64), ends - self.size[y])
+            for k in y[100 * same >= PERCENT * (len(mine) + self.size[y] - same)]:
+                if self.label[k] != self.label[x]:
+                    self.label[self.label == self.label[k]] = self.label[x]
+                    yield self.rows[x]["node"], self.rows[k]["node"]
+
+
+def remaining_links(open_buckets: DataFrame, packed: DataFrame) -> DataFrame:
+    """(a, c): links between the components of open buckets, every pair of members tested or ruled out."""
+    every = Stored(tiles(open_buckets), "tiles").df
+    mine, theirs = every.alias("x"), every.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    crosses = (F.col("x.component") != F.col("y.component")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.chunk") != F.col("y.chunk")))
+    # only members with a pair to test go on to the texts
+    some = mine.join(theirs, same & crosses & may_link("x.s", "y.s"), "left_semi")
+    rows = some.select("key", "low", "high", "chunk", "node", "component", "s.b1", "s.b2").join(packed, "node")
+    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    schema = arrow_schema(packed.sparkSession, "a long, c long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        each = (r for batch in batches for at in range(0, batch.num_rows, CHUNK) for r in batch.slice(at, CHUNK).to_pylist())
+        for _, members in groupby(each, key=lambda r: (r["key"], r["low"], r["high"])):
+            found = list(Tile(list(members), hashes).links())
+            if found:
+                yield record_batch({"a": [a for a, _ in found], "c": [c for _, c in found]}, schema)
+
+    return dealt.mapInArrow(run, "a long, c long")
+
+
+def merged(groups: DataFrame, links: DataFrame) -> Stored:
+    """Groups with the components joined that a link (a, c) connects."""
+    # only components that a new link joins change
+    both = links.join(groups.select(F.col("node").alias("a"), F.col("component").alias("u")), "a").join(groups.select(F.col("node").alias("c"), F.col("component").alias("v")), "c")
+    joined = components(both.select("u", "v")).df.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return Stored(groups.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "groups")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row: component_id is the smallest id reachable over links."""
     base = texts(docs)
@@ -210,7 +322,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     while True:
         placed = inside.join(groups.df, "node")
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("many"), F.min_by(F.struct("node", "s"), F.xxhash64("node", "key", F.lit(turn))).alias("pick"))
-        top = parts.groupBy("key").agg(F.max_by(F.struct("component", "pick"), F.struct("many", -F.col("component"))).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+        top = parts.groupBy("key").agg(F.max_by(F.struct("component", "pick"), F.struct("many", -F.col("component"))).alias("top"), F.count("*").alias("kinds"), F.max("many").alias("many"), F.sum("many").alias("every")).where("kinds > 1")
         rest = Stored(placed.join(top, "key"), "open_buckets")
         inside = rest.df.select("key", "node", "s")
         outside = rest.df.where(F.col("component") != F.col("top.component"))
@@ -223,11 +335,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = Stored(confirmed(tested.df, packed.df), "links")
         if not found.df.limit(1).count():
             break
-        # only components that a new link joins change
-        merged = found.df.join(groups.df.select(F.col("node").alias("a"), F.col("component").alias("u")), "a").join(groups.df.select(F.col("node").alias("c"), F.col("component").alias("v")), "c")
-        joined = components(merged.select("u", "v")).df.select(F.col("node").alias("component"), F.col("component").alias("to"))
-        groups = Stored(groups.df.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "groups")
+        groups = merged(groups.df, found.df)
         turn += 1
+    found = Stored(remaining_links(rest.df, packed.df), "links")
+    if found.df.limit(1).count():
+        groups = merged(groups.df, found.df)
     out = signs.df.select("doc_id", "n_shingles").join(groups.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))

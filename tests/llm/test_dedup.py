@@ -83,6 +83,30 @@ def test_near_duplicates(messy, nothing, named):
     assert cleaned.where("doc_id is null").count() == 2
 
 
+def test_near_duplicates_in_a_template_family(spark, monkeypatch):
+    """Documents with a common part just under the limit fill the buckets; few pairs of them are links."""
+    monkeypatch.setattr(minhash, "CHUNK", 64, raising=False)  # the buckets are dealt in several tiles
+    rnd = np.random.default_rng(12)
+    common, own = 200, 34
+    docs = []
+    for k in range(300):
+        docs.append([f"t{w}" for w in range(common)] + [f"d{k}w{w}" for w in range(own)])
+    for k in range(0, 12, 2):
+        docs[k + 1] = docs[k][: common + 2] + docs[k + 1][common + 2 :]
+    ids = [int(x) for x in rnd.permutation(300)]
+    sets = [{tuple(d[k : k + 5]) for k in range(len(d) - 4)} for d in docs]
+    root = {i: i for i in ids}
+    for a in range(300):
+        for b in range(a):
+            same, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if 100 * same >= 75 * union:
+                assert a // 2 == b // 2 and a < 12
+                root[ids[a]] = root[ids[b]] = min(ids[a], ids[b])
+    assert sum(i != r for i, r in root.items()) == 6
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in zip(ids, docs, strict=True)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == root
+
+
 def brute_lines(named, min_lines, long_line):
     """Rows equal in id and text are one document; order of (id, hash of the text, line)."""
     docs = {}
