@@ -6,12 +6,13 @@ changes of a byte), both lower-cased with white space folded to one blank.
 1. Items come in blocks of bounded size; a block is broadcast, every document is read against it whole.
 2. Places that cannot match are ruled out without loss: e edits destroy at most q * e of the n - q + 1 q-grams of an item, so a
    matching passage keeps n - q + 1 - q * e of them. Only stretches with that many grams of the block's items go on.
-3. At each word start of such a stretch an item-sized window is embedded: the CGK random walk copies a byte and moves on, or
+3. At each byte of such a stretch an item-sized window is embedded: the CGK random walk copies a byte and moves on, or
    stays, by a random bit for (step, byte). Strings at a small edit distance walk together again after each edit, so their
    embeddings are at a small Hamming distance with good probability.
 4. Bit sampling: `TABLES` tables for each of `WALKS` walks compare 8 sampled places of the embeddings. An item is walked
-   from four of its word starts, each over a quarter of the shortest item of its length class: walks that have drifted apart
-   after many edits start anew. Windows and items that agree in a table are candidates.
+   from its four quarters, each over a quarter of the shortest item of its length class: walks that have drifted apart
+   after many edits start anew. Windows and items that agree in a table are candidates. The first walk of an item never leaves it, so
+   a verbatim copy agrees in all its tables, wherever it stands; blanks play no part.
 5. Candidates are confirmed exactly by a bit-parallel edit distance of the item against all passages of the stretch.
 
 Recall: with edits spread evenly at the limit, a quarter has its share of them and one of 4 x 36 tables agrees with probability
@@ -39,6 +40,8 @@ WALKS, TABLES, SAMPLED = 3, 12, 8
 RESTARTS = 4
 STRETCH = 1.25
 BITS = 22
+KEY_BITS = 16
+WINDOWS = 200_000
 LONG_ITEM = 100
 GRAM = {False: 5, True: 8}  # gram length of items under and from LONG_ITEM bytes on
 
@@ -58,8 +61,8 @@ def grams(text: bytes, q: int) -> np.ndarray:
     return words & np.uint64(2 ** (8 * q) - 1) if q < 8 else words
 
 
-def slot(values: np.ndarray) -> np.ndarray:
-    return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+def slot(values: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
 class Walk:
@@ -140,7 +143,7 @@ class Items:
         for k in members:
             item = self.items[k][1]
             for part in range(RESTARTS):
-                starts.append(at + (item.find(b" ", len(item) * part // RESTARTS) + 1 if part else 0))
+                starts.append(at + len(item) * part // RESTARTS)
                 owner.append(k)
             at += len(item) + steps
         found, members_of = [], np.asarray(owner)
@@ -148,7 +151,9 @@ class Items:
             keys = self.walked(w, steps, text, np.asarray(starts))
             for table in range(TABLES):
                 order = np.argsort(keys[:, table], kind="stable")
-                found.append((keys[order, table], members_of[order]))
+                held = np.zeros(1 << KEY_BITS, bool)
+                held[slot(keys[:, table], KEY_BITS)] = True
+                found.append((keys[order, table], members_of[order], held))
         return {"members": members, "long": long, "need": max(need, 1), "reach": max(n + edits_allowed(n, self.rate) for n in sizes), "steps": steps, "tables": found}
 
     @staticmethod
@@ -190,35 +195,42 @@ class Items:
         return out
 
     def compare(self, kind: dict, stretches: list, docs: list[bytes], out: dict) -> None:
-        """Embed windows at word starts of the stretches and look their keys up."""
+        """Embed windows at every byte of the stretches and look their keys up."""
         at = 0
         while at < len(stretches):
-            pieces, starts, owner, size = [], [], [], 0
-            while at < len(stretches) and len(owner) < 200 and size < 2_000_000:
+            pieces, starts, owner, size, windows = [], [], [], 0, 0
+            while at < len(stretches) and windows < WINDOWS:
                 d, s, e = stretches[at]
                 text = np.frombuffer(docs[d][s : e + kind["reach"]], np.uint8)
-                begins = np.flatnonzero(np.concatenate(([s == 0 or docs[d][s - 1] == 32], text[:-1] == 32))[: e - s])
+                begins = np.arange(min(e - s, len(text)))
                 pieces += [text, np.zeros(kind["steps"], np.uint8)]
                 starts.append(begins + size)
                 owner.append((at, len(begins)))
                 size += len(text) + kind["steps"]
+                windows += len(begins)
                 at += 1
             text, begins = np.concatenate(pieces), np.concatenate(starts)
             which = np.repeat([o for o, _ in owner], [n for _, n in owner])
-            if not len(begins):
-                continue
-            for w in range(WALKS):
-                keys = self.walked(w, kind["steps"], text, begins)
-                for t in range(TABLES):
-                    values, members = kind["tables"][w * TABLES + t]
-                    low = np.searchsorted(values, keys[:, t], side="left")
-                    high = np.searchsorted(values, keys[:, t], side="right")
-                    for x in np.flatnonzero(high > low).tolist():
-                        d, s, e = stretches[which[x]]
-                        for k in members[low[x] : high[x]].tolist():
-                            found = out.setdefault((d, k), [])
-                            if (s, e) not in found[-1:]:
-                                found.append((s, e))
+            # one stretch may hold more windows than are embedded at once
+            for low in range(0, len(begins), WINDOWS):
+                self.look_up(kind, text, begins[low : low + WINDOWS], which[low : low + WINDOWS], stretches, out)
+
+    def look_up(self, kind: dict, text: np.ndarray, begins: np.ndarray, which: np.ndarray, stretches: list, out: dict) -> None:
+        for w in range(WALKS):
+            keys = self.walked(w, kind["steps"], text, begins)
+            for t in range(TABLES):
+                values, members, held = kind["tables"][w * TABLES + t]
+                maybe = np.flatnonzero(held[slot(keys[:, t], KEY_BITS)])
+                low = np.searchsorted(values, keys[maybe, t], side="left")
+                high = np.searchsorted(values, keys[maybe, t], side="right")
+                hit = np.flatnonzero(high > low)
+                # each (stretch, run of equal keys) once
+                for o, b, e_ in sorted(set(zip(which[maybe[hit]].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True))):
+                    d, s, e = stretches[o]
+                    for k in members[b:e_].tolist():
+                        found = out.setdefault((d, k), [])
+                        if (s, e) not in found[-1:]:
+                            found.append((s, e))
 
     def enough(self, k: int, passage: bytes, most: int) -> bool:
         """Whether the passage keeps as many grams of this item as that many edits must leave."""

@@ -163,6 +163,31 @@ def test_leaks_reach_recall_and_are_exact(spark, messy, nothing):
     assert decontam.leaks(nothing, bench).collect() == [] and decontam.leaks(df, bench.limit(0)).collect() == []
 
 
+def test_leaks_in_text_without_blanks():
+    rnd = random.Random(14)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    code = [*"abcdefghijklmnop(){}=;./_"]
+
+    def running(letters, n):
+        return "".join(rnd.choice(letters) for _ in range(n)).encode()
+
+    def recall(letters, of, edits):
+        items = [(k, running(letters, rnd.randint(of, 4 * of))) for k in range(30)]
+        docs, planted = [], set()
+        for k in range(120):
+            item = items[k % 30][1]
+            most = decontam.edits_allowed(len(item), decontam.RATE) if edits else 0
+            docs.append(running(letters, 200) + edited(rnd, item, most) + running(letters, 150))
+            planted.add((k, k % 30))
+        found = decontam.Items(items, decontam.RATE).leaks([*docs, running(letters, 900)])
+        assert set(found) <= planted
+        return len(found) / len(planted)
+
+    for letters, of in ((signs, 8), (code, 24)):
+        assert recall(letters, of, False) == 1
+        assert recall(letters, of, True) >= 0.95
+
+
 def brute_match(terms, word):
     def edits(a, b):
         row = list(range(len(b) + 1))
