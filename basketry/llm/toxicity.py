@@ -1,7 +1,8 @@
 """Toxicity scores: a learnt lexicon, misspellings by Levenshtein automata on its trie, and the context of each hit.
 
 * Lexicon: words and stems (word beginnings) that labelled toxic documents use far more than others, by a binomial
-  log-likelihood ratio against the number of candidates. At most `TERMS` terms, so the lexicon is broadcast with a proven bound.
+  log-likelihood ratio against the number of candidates. Every term that passes is kept: their number is bounded by the words of the
+  `SAMPLE` labelled rows, and so is the lexicon that is broadcast.
 * Hits: words at distance 0 of a term, or 1 for terms of five letters or more. The trie and the automata are walked together
   (`automaton`); a word is matched once per task while it is remembered.
 * Context: a hit counts as quoted if the `CONTEXT` characters on either side enclose it in quotation marks. Hits are counted per
@@ -20,8 +21,10 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 import regex
@@ -33,7 +36,6 @@ from basketry.llm.common import CACHE_ENTRIES, Stored, arrow_map, arrow_schema,
 from basketry.llm.labelled import sample
 
 SAMPLE = 40_000
-TERMS = 512
 CONTEXT = 60
 SHORTEST, LONGEST = 4, 9
 
@@ -86,22 +88,24 @@ def surprise(pos, n, rate: float):
     return pos * F.log(share / rate) + rest
 
 
-def lexicon(counts: DataFrame, rate: float, terms: int = TERMS) -> list[tuple[str, bool]]:
+def lexicon(counts: DataFrame, rate: float) -> list[tuple[str, bool]]:
     """Terms (text, is_stem) that are surprising beyond chance; of terms that begin alike the one with most evidence stays."""
     need = math.log(max(counts.where("n > 1").count(), 1)) + 2
     sound = counts.where(F.col("pos") > 1).where(F.col("pos") > F.col("n") * rate).withColumn("s", surprise(F.col("pos"), F.col("n"), rate)).where(F.col("s") > need)
     gain = F.col("pos") * F.log(F.col("pos") / F.col("n") / rate)
-    rows = sound.orderBy(gain.desc(), F.length("term").desc(), "term", "stem").limit(16 * terms).collect()
+    rows = sound.orderBy(gain.desc(), F.length("term").desc(), "term", "stem").collect()  # terms of the labelled sample
     words = {r["term"]: r["pos"] for r in rows if not r["stem"]}
+    ordered = sorted(words)
     chosen: dict[str, bool] = {}
     heads: set[str] = set()
     for r in rows:
         term = r["term"]
-        if len(chosen) == terms or term in heads or any(term[:k] in chosen for k in range(1, len(term) + 1)):
+        if term in heads or any(term[:k] in chosen for k in range(1, len(term) + 1)):
             continue
         if r["stem"]:
             # a stem that stands for one word becomes that word
-            main = max((w for w in words if w.startswith(term)), key=lambda w: (words[w], w), default=None)
+            begin = bisect_left(ordered, term)
+            main = max(takewhile(lambda w: w.startswith(term), (ordered[k] for k in range(begin, len(ordered)))), key=lambda w: (words[w], w), default=None)
             if main is not None and words[main] >= 0.8 * r["pos"]:
                 term = main
         chosen[term] = r["stem"] and term == r["term"]
@@ -186,7 +190,7 @@ def weights(counts: list, all_pos: int, all_neg: int) -> tuple[dict, float]:
     return out, none
 
 
-def scorer(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", rows: int = SAMPLE, terms: int = TERMS):
+def scorer(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", rows: int = SAMPLE):
     """Learn from the labelled rows of `docs`; gives a function from `texts` columns to (doc_id, th, score)."""
     base = texts(docs)
     drawn = Stored(sample(base, labels, label, train(F.col("doc_id")), rows), "labelled_texts").df
@@ -195,7 +199,7 @@ def scorer(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", rows
     table: dict = {}
     none = math.log(positive / (count - positive)) if 0 < positive < count else (-20.0 if not positive else 20.0)
     if 0 < positive < count:
-        found = lexicon(Stored(term_counts(drawn), "term_counts").df, positive / count, terms)
+        found = lexicon(Stored(term_counts(drawn), "term_counts").df, positive / count)
     if found:
         table, none = weights(hit_counts(drawn, found).collect(), positive, count - positive)  # at most 32 rows a term
     return base, found, table, none
@@ -225,9 +229,9 @@ def rating(found: list[tuple[str, bool]], table: dict, none: float):
     return rate
 
 
-def score(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", rows: int = SAMPLE, terms: int = TERMS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", rows: int = SAMPLE) -> DataFrame:
     """(doc_id, th, score, hits) per row; hits counts the terms found."""
-    base, *model = scorer(docs, labels, train, label, rows, terms)
+    base, *model = scorer(docs, labels, train, label, rows)
     rate = rating(*model)
 
     def per_batch(batch: pa.RecordBatch) -> dict:

@@ -228,6 +228,14 @@ def test_quotation_is_seen():
     assert toxicity.hit_weight(table_, 0, 0, True, 3) == 2.0 and toxicity.hit_weight(table_, 0, 1, False, 3) == 2.0
 
 
+def test_every_sound_term_is_kept(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rnd = random.Random(15)
+    names = sorted({"".join(rnd.choice(letters) for _ in range(12)) for _ in range(700)})
+    counts = spark.createDataFrame([(n, False, 200, 200) for n in names] + [("plain", False, 100, 200)], "term string, stem boolean, pos long, n long")
+    assert sorted(toxicity.lexicon(counts, 0.5)) == [(n, False) for n in names]
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op6_trie_toxicity", "toxic", 0.93), ("op10_neighbour_quality", "quality", 0.95)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
