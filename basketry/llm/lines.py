@@ -1,11 +1,11 @@
-"""Line dedup: suffix ranks over line-id sequences by distributed prefix doubling.
+"""Line dedup: repeated windows of `min_lines` lines, counted by prefix doubling over line ids up to that depth.
 
 A document is the sequence of its lines that are not blank, a line is its id. Suffixes (document, line number) are ranked by their first
-1, 2, 4, … lines: the rank at twice the depth is the order of the pair (rank here, rank that many lines on). Ranks are given to
+1, 2, 4, … lines, up to `min_lines` (with the default of 2 this is a count of line pairs): the rank at twice the depth is the order of the pair (rank here, rank that many lines on). Ranks are given to
 the distinct pairs in range-sorted order, so no task sees all of them, and suffixes alone in their class drop out, as no longer prefix of
-theirs can repeat. Suffixes that agree over `min_lines` lines are an interval of common prefix `min_lines` or more of the suffix array; its
-first suffix (smallest id, then line number) is the original, the lines of all others are later copies and go. Maximal repeated
-runs longer than that are the union of their windows. A single repeated line goes if it has at least `long_line` characters.
+theirs can repeat. Of the suffixes that agree over `min_lines` lines the first (smallest id, then line number) is the original, the
+lines of all others are later copies and go. No suffix array is built and no maximal run is looked for: one of more lines is the
+union of its windows of `min_lines`. A single repeated line goes if it has at least `long_line` characters.
 
 DataFrame operations only. A hot line is counted before the shuffle, and its rows are dealt by document in the doubling steps.
 
