@@ -7,7 +7,7 @@ A encodes a blank and the text with a byte-level BPE, B the text with sentencepi
   decoded bytes, within the run.
 * Both tokenizers always cut before a single blank between two characters that are not white space: the split pattern of A begins a piece there, and B has no
   piece with a blank behind another sign (this is tested when the model is loaded; otherwise whole texts are encoded). So a text
-  is a sequence of chunks, and a chunk is encoded and aligned once and remembered, up to a bound; a text costs its distinct chunks.
+  is a sequence of chunks. A chunk is encoded and aligned once, together with other new ones, and remembered, up to a bound.
 * Pass one stores per document its counts, the checksum of its groups, and its distinct linked id pairs with how often. Documents per
   pair are counted in each task before they are added up.
 * Pass two needs a count for every pair of every document. A pair that one document holds counts 1 and needs no look-up. The highest
@@ -24,8 +24,8 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,24 +38,23 @@ from basketry.llm.common import Stored, arrow_map, arrow_schema, record_batch, t
 from basketry.llm.packing import byte_letters
 
 HEAD = 1_000_000
-CHUNKS_KEPT, LONGEST_KEPT = 150_000, 64
+CHUNKS_KEPT, LONGEST_KEPT = 300_000, 64
+DOCUMENTS, TOGETHER = 64, 2000
 PAIRS_HELD = 2_000_000
 BLANK = "▁"
 CUT = re.compile(r" (?<=\S )(?=\S)")
 CODED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 
 
-def refined(begins: list[int], ends: list[int], sizes: list[int]) -> list[int]:
+def refined(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Byte ends of tokens from coarse byte spans and the sizes of their decoded bytes, which add up to the text.
 
-    A token whose span begins where the last one ended and is as long as its bytes ends where the span does. Others, such as
-    parts of one character, end after their bytes, so that a run of them ends where the next sound span begins.
+    A token whose span begins where the bytes before it end and is as long as its own ends where the span does. Others, such as parts
+    of one character, end after their bytes, so that a run of them ends where the next sound span begins.
     """
-    out, at = [], 0
-    for begin, end, size in zip(begins, ends, sizes, strict=True):
-        at = end if begin == at and end - begin == size else at + size
-        out.append(at)
-    return out
+    after = np.cumsum(sizes)
+    sound = (begins == after - sizes) & (ends - begins == sizes)
+    return np.where(sound, ends, after)
 
 
 class Aligner:
@@ -83,81 +82,101 @@ class Aligner:
         self.local = not any(BLANK in p.lstrip(BLANK) for p in pieces) and plain_byte_level(a)
         self.chunks: dict[str, tuple | None] = {}
 
-    def spans_a(self, text: str, encoding) -> tuple[list[int], list[int]] | None:
-        """(ids, byte ends) of A's tokens of a text."""
+    def spans_a(self, text: str) -> tuple[list[int], np.ndarray] | None:
+        """(ids, byte ends) of A's tokens of a blank and a text."""
+        encoding = self.a.encode(" " + text, add_special_tokens=False)
         ids = encoding.ids
         raw = [self.a_bytes.get(i, b"") for i in ids]
-        if b"".join(raw) != text.encode():
+        if b"".join(raw) != b" " + text.encode():
             return None
-        begins, ends = zip(*encoding.offsets, strict=True) if ids else ((), ())
+        spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         if not text.isascii():
-            at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text])))
-            begins, ends = at[list(begins)].tolist(), at[list(ends)].tolist()
-        return ids, refined(begins, ends, list(map(len, raw)))
+            code = np.frombuffer((" " + text).encode("utf-32-le"), "<u4")
+            spans = np.concatenate(([0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))))[spans]
+        return ids, refined(spans[:, 0], spans[:, 1], np.fromiter(map(len, raw), np.int64, len(raw)))
 
-    def spans_b(self, text: str, proto) -> tuple[list[int], list[int]] | None:
+    def spans_b(self, text: str) -> tuple[list[int], np.ndarray] | None:
         """(ids, byte ends) of B's tokens; spans count from the text, the blank before it is the first byte."""
-        pieces = list(proto.pieces)
-        ids = [p.id for p in pieces]
+        pieces = self.b.encode(text, return_type="proto").pieces
+        each = [(p.id, p.begin, p.end) for p in pieces]
+        ids = [i for i, _, _ in each]
         raw = [self.b_bytes[i] for i in ids]
         if b"".join(raw) != b" " + text.encode():
             return None
-        begins = [p.begin + 1 for p in pieces]
-        if begins:
-            begins[0] = 0
-        return ids, refined(begins, [p.end + 1 for p in pieces], list(map(len, raw)))
-
-    def align(self, text: str, encoding, proto) -> tuple | None:
-        """(n_a, n_b, n_groups, links as codes, groups as text), None if the bytes differ."""
-        one, two = self.spans_a(" " + text, encoding), self.spans_b(text, proto)
+        spans = np.fromiter(chain.from_iterable(each), np.int64, 3 * len(each)).reshape(-1, 3)[:, 1:] + 1
+        spans[:1, 0] = 0
+        return ids, refined(spans[:, 0], spans[:, 1], np.fromiter(map(len, raw), np.int64, len(raw)))
+
+    def align(self, chunks: list[str]) -> list[tuple] | None:
+        """(n_a, n_b, n_groups, links as codes, groups as text) of chunks encoded together; None if bytes differ or a token spans two."""
+        text = " ".join(chunks)
+        one, two = self.spans_a(text), self.spans_b(text)
         if one is None or two is None:
             return None
         (a, a_end), (b, b_end) = one, two
-        links, groups = [], []
-        i = j = i0 = j0 = 0
-        while i < len(a) and j < len(b):
-            links.append(a[i] * self.width + b[j])
-            if a_end[i] == b_end[j]:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-                i0, j0 = i, j
-            elif a_end[i] < b_end[j]:
-                i += 1
-            else:
-                j += 1
-        return len(a), len(b), len(groups), np.array(links, np.int64), ";".join(groups)
+        ends = np.cumsum([1 + len(c.encode()) for c in chunks])
+        common = a_end[np.isin(a_end, b_end, assume_unique=True)]
+        if not np.isin(ends, common, assume_unique=True).all():
+            return None
+        # every byte range between two cuts of either side is the overlap of one token of A and one of B
+        cuts = np.union1d(a_end, b_end)
+        links = np.array(a, np.int64)[np.searchsorted(a_end, cuts)] * self.width + np.array(b, np.int64)[np.searchsorted(b_end, cuts)]
+        a_name, b_name = list(map(str, a)), list(map(str, b))
+        groups, i, j = [], 0, 0
+        for to_a, to_b in zip((np.searchsorted(a_end, common) + 1).tolist(), (np.searchsorted(b_end, common) + 1).tolist(), strict=True):
+            groups.append(f"{a_name[i]}|{b_name[j]}" if to_a - i == to_b - j == 1 else ",".join(a_name[i:to_a]) + "|" + ",".join(b_name[j:to_b]))
+            i, j = to_a, to_b
+        out, before = [], (0, 0, 0, 0)
+        for now in zip(*((np.searchsorted(x, ends) + 1).tolist() for x in (a_end, b_end, common, cuts)), strict=True):
+            out.append((now[0] - before[0], now[1] - before[1], now[2] - before[2], links[before[3] : now[3]].copy(), ";".join(groups[before[2] : now[2]])))
+            before = now
+        return out
 
     def learn(self, chunks: list[str]) -> dict[str, tuple | None]:
-        """Alignments of chunks; short ones are remembered."""
+        """Alignments of chunks; short ones are remembered. Chunks that end in white space are encoded alone, others together."""
         if len(self.chunks) + len(chunks) > CHUNKS_KEPT:
             self.chunks.clear()
-        encodings = self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)
-        found = {c: self.align(c, e, self.b.encode(c, return_type="proto")) for c, e in zip(chunks, encodings, strict=True)}
+        found: dict[str, tuple | None] = dict.fromkeys(c for c in chunks if BLANK in c)  # decodes to a blank, so bytes differ
+        rest = [c for c in chunks if BLANK not in c]
+        together = [c for c in rest if self.local and not (c[:1].isspace() or c[-1:].isspace())]
+        alone = set(rest).difference(together)
+        for s in range(0, len(together), TOGETHER):
+            some = together[s : s + TOGETHER]
+            aligned = self.align(some)
+            if aligned is None:
+                alone.update(some)
+            else:
+                found.update(zip(some, aligned, strict=True))
+        for c in alone:
+            found[c] = (self.align([c]) or [None])[0]
         self.chunks.update((c, x) for c, x in found.items() if len(c) <= LONGEST_KEPT)
         return found
 
-    def document(self, text: str) -> tuple | None:
-        """(n_a, n_b, n_groups, n_links, checksum of the groups, distinct links, how often); None without tokens."""
-        if not text:
-            return None
-        order = CUT.split(text) if self.local else [text]
-        counts = Counter(order)
-        known = self.chunks
-        new = [c for c in counts if c not in known]
-        if new:
-            # clearing what is remembered must not lose a chunk of this document
-            known = {c: known[c] for c in counts if c in known} | self.learn(new)
-        some = [known[c] for c in counts]
-        if None in some:
-            return None
-        times = np.fromiter(counts.values(), np.int64, len(counts))
-        n_a, n_b, n_groups = (int(sum(x[k] * t for x, t in zip(some, counts.values(), strict=True))) for k in range(3))
-        links = np.concatenate([x[3] for x in some])
-        often = np.repeat(times, [len(x[3]) for x in some])
-        pairs, place = np.unique(links, return_inverse=True)
-        each = np.bincount(place, often, len(pairs)).astype(np.int64)
-        groups = ";".join([known[c][4] for c in order])
-        return n_a, n_b, n_groups, int(often.sum()), hashlib.sha256(groups.encode()).hexdigest(), pairs, each
+    def documents(self, texts: list[str]) -> Iterator[tuple | None]:
+        """(n_a, n_b, n_groups, n_links, checksum of the groups, distinct links, how often) per text; None without tokens."""
+        orders = [(CUT.split(t) if self.local else [t]) if t else [] for t in texts]
+        every = list(set().union(*orders))
+        known = {c: self.chunks[c] for c in every if c in self.chunks}
+        known |= self.learn([c for c in every if c not in known])
+        number = {c: k for k, c in enumerate(every)}
+        none = (0, 0, 0, np.zeros(0, np.int64), "")
+        held = [known[c] or none for c in every]
+        bad = np.array([known[c] is None for c in every], bool)
+        n_a, n_b, n_groups = (np.array([x[k] for x in held], np.int64) for k in range(3))
+        flat = np.concatenate([none[3], *[x[3] for x in held]])
+        size = np.array([len(x[3]) for x in held], np.int64)
+        begin = np.cumsum(size) - size
+        for order in orders:
+            mine, times = np.unique(np.fromiter(map(number.__getitem__, order), np.int64, len(order)), return_counts=True)
+            if not order or bad[mine].any():
+                yield None
+                continue
+            n = size[mine]
+            links = flat[np.repeat(begin[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            pairs, place = np.unique(links, return_inverse=True)
+            often = np.bincount(place, np.repeat(times, n), len(pairs)).astype(np.int64)
+            groups = ";".join([known[c][4] for c in order])
+            yield int(times @ n_a[mine]), int(times @ n_b[mine]), int(times @ n_groups[mine]), int(times @ n), hashlib.sha256(groups.encode()).hexdigest(), pairs, often
 
 
 def plain_byte_level(path: str) -> bool:
@@ -174,7 +193,8 @@ def coded(docs: DataFrame, a: str, b: str) -> DataFrame:
     def per_batch(batch: pa.RecordBatch) -> dict:
         aligner = Aligner.of(a, b)
         none = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
-        rows = [aligner.document(t) or none for t in batch.column("text").to_pylist()]
+        text = batch.column("text").to_pylist()
+        rows = [r or none for s in range(0, len(text), DOCUMENTS) for r in aligner.documents(text[s : s + DOCUMENTS])]
         out: dict = {"doc_id": batch.column("doc_id")}
         out |= {name: [r[k] for r in rows] for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links", "groups_sha256"))}
         # sorted pairs as steps: small numbers, which the stored table packs well

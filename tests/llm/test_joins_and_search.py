@@ -189,17 +189,26 @@ def test_alignment_against_brute_force(spark, messy, nothing, named, head):
 
 
 def test_refined_spans():
-    assert alignment.refined([0, 1, 1, 4], [1, 4, 4, 6], [1, 1, 2, 2]) == [1, 2, 4, 6]
-    assert alignment.refined([], [], []) == []
+    spans = [np.array(x) for x in ([0, 1, 1, 4], [1, 4, 4, 6], [1, 1, 2, 2])]
+    assert alignment.refined(*spans).tolist() == [1, 2, 4, 6]
 
 
 def test_remembered_chunks_do_not_change_a_document(monkeypatch):
     monkeypatch.setattr(alignment, "CHUNKS_KEPT", 5)
     small, plain = alignment.Aligner(A, B), alignment.Aligner(A, B)
     plain.local = False
-    for text in ["one two three four five six seven one two", "two three eight nine ten eleven", "one  two"]:
-        x, y = small.document(text), plain.document(text)
-        assert x[:5] == y[:5] and (x[5] == y[5]).all() and (x[6] == y[6]).all()
+    texts = ["one two three four five six seven one two", "two three eight nine ten eleven", "one  two", "", "▁ one"]
+    for _ in range(2):
+        for x, y in zip(small.documents(texts), plain.documents(texts), strict=True):
+            assert (x is None) == (y is None)
+            if x:
+                assert x[:5] == y[:5] and (x[5] == y[5]).all() and (x[6] == y[6]).all()
+
+
+def test_a_token_over_two_chunks_is_seen(monkeypatch):
+    aligner = alignment.Aligner(A, B)
+    monkeypatch.setattr(aligner, "spans_b", lambda text: ([5], np.array([1 + len(text.encode())])))
+    assert aligner.align(["one", "two"]) is None
 
 
 # ranked search
