@@ -39,6 +39,9 @@ class Settings:
     broadcast_rows: int = 200_000
     broadcast_bytes: int = 64_000_000
     broadcast_rows_per_key: int = 64
+    # a key and date with more facts is dealt to several tasks, and how many such keys may be broadcast
+    rows_per_task: int = 1_000_000
+    busy_spots: int = 10_000
     # time unit that splits one key's timeline into independently sorted pieces
     split_unit: str = "hour"
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from basketry.operators.joins import with_totals
+
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
     """The n first rows of a total order, optionally numbered.
@@ -18,6 +20,12 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, rank: str | None = Non
     return best if rank is None else best.withColumn(rank, F.row_number().over(W.orderBy(*order)).cast("long"))
 
 
+def top_products(rows: DataFrame, revenue: str, n: int, product: str = "product_name") -> DataFrame:
+    """The n products with the highest revenue; only names and sums are shuffled. Rows without a name are one product."""
+    sums = rows.groupBy(product).agg(F.sum(revenue).alias("__revenue"))
+    return top_n(sums, [F.desc("__revenue"), F.asc_nulls_first(product)], n).select(product)
+
+
 def top_n_per_group(
     df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
 ) -> DataFrame:
@@ -74,6 +82,29 @@ def order_grain(
     return keyed.agg(*aggs) if aggs else keyed.agg(F.count(F.lit(1)).alias("rows")).drop("rows")
 
 
+def sizes(
+    rows: DataFrame, count: str, distinct: Mapping[str, str], flags: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """One row: the number of rows, of distinct values per column, and of rows for which a condition holds.
+
+    Several count(distinct) in one aggregate would repeat every row per column. Here the rows are folded once to the distinct
+    combinations of the columns, which are then folded per column; the table is scanned once, and the fold is shared.
+    """
+    conditions = dict(flags or {})
+    columns = list(dict.fromkeys(distinct.values()))
+    if not columns:
+        return rows.agg(F.count(F.lit(1)).alias(count), *[F.count_if(c).alias(n) for n, c in conditions.items()])
+    held = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias(count), *[F.count_if(c).alias(n) for n, c in conditions.items()])
+    named = {c: [n for n, column in distinct.items() if column == c] for c in columns}
+    out = None
+    for column in columns:
+        sums = [count, *conditions] if out is None else []
+        per_value = held.groupBy(column).agg(*([F.sum(n).alias(n) for n in sums] or [F.first(F.lit(1)).alias("__one")]))
+        size = per_value.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in sums], *[F.count(column).alias(n) for n in named[column]])
+        out = size if out is None else with_totals(out, size)
+    return out
+
+
 def kpi_long(df: DataFrame, ids: Sequence[str], metrics: Mapping[str, str], name: str, value: str) -> DataFrame:
     """Wide metrics to (ids, name, value) rows in one scan; `metrics` maps label to column."""
     wide = df.select(*ids, *[F.col(c).cast("double").alias(label) for label, c in metrics.items()])

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketry.config import Settings
-from basketry.operators.timeline import as_of, split_neighbours, split_row_number
+from basketry.operators.timeline import as_of, split_neighbours
+from basketry.session import materialize
 
 VERSION_ATTRIBUTES = (
     "item_key_sk",
@@ -27,8 +29,11 @@ VERSION_ATTRIBUTES = (
 
 def small_history(history: DataFrame, key: str, cfg: Settings) -> bool:
     """True if the history is safe to broadcast: few rows, few bytes and few versions of any one key."""
-    row = F.to_json(F.struct(*[F.col(c) for c in history.columns]))
-    per_key = history.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(row)).alias("bytes"))
+    text = [f.name for f in history.schema.fields if f.dataType == T.StringType()]
+    width = F.lit(16 * len(history.columns)).cast("long")
+    for name in text:
+        width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    per_key = history.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
     total, worst, size = per_key.agg(*[F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "n"), (F.max, "n"), (F.sum, "bytes"))]).first()
     return total <= cfg.broadcast_rows and worst <= cfg.broadcast_rows_per_key and size <= cfg.broadcast_bytes
 
@@ -43,8 +48,7 @@ def disjoint_windows(windows: DataFrame, key: str, start: str, end: str, choice:
     valid = windows.where(F.col(key).isNotNull() & (F.col(start) < F.col(end)))
     folded = valid.groupBy(F.col(key).alias("__key"), F.col(start).alias("__from"), F.col(end).alias("__to")).agg(F.max(choice).alias("choice"))
     cuts = folded.select("__key", F.explode(F.array("__from", "__to")).alias("__t")).distinct()
-    cuts = split_row_number(cuts, ["__key"], "__t", [], "__n", unit)
-    cuts = split_neighbours(cuts, ["__key"], "__t", [], leads={"__until": "__t"}, unit=unit)
+    cuts = split_neighbours(cuts, ["__key"], "__t", [], leads={"__until": "__t"}, unit=unit, number="__n")
     ranged = (
         folded.join(cuts.select("__key", F.col("__t").alias("__from"), F.col("__n").alias("__a")), ["__key", "__from"])
         .join(cuts.select("__key", F.col("__t").alias("__to"), F.col("__n").alias("__b")), ["__key", "__to"])
@@ -93,12 +97,14 @@ def interval_lookup(
 
     * "broadcast", "auto": the facts are not shuffled at all, if the windows are few enough when counted.
     * "asof", or too many windows: any size and any skew; linear merge of both sides in time order.
+    * "counted": the caller has found the windows to be few.
 
-    Both give the same rows, as a fact meets at most one window.
+    All give the same rows, as a fact meets at most one window.
     """
-    if strategy != "asof":
-        strategy = "broadcast" if small_history(windows, key, cfg) else "asof"
-    if strategy == "broadcast":
+    windows = windows.where(F.col(valid_from) < F.col(valid_to))
+    if strategy in ("broadcast", "auto"):
+        strategy = "counted" if small_history(windows, key, cfg) else "asof"
+    if strategy == "counted":
         side = windows.select(
             F.col(key).alias("__key"), F.col(valid_from).alias("__from"), F.col(valid_to).alias("__to"), *attributes
         )
@@ -112,6 +118,57 @@ def interval_lookup(
     )
 
 
+def day_lookup(
+    facts: DataFrame,
+    windows: DataFrame,
+    key: str,
+    date: str,
+    valid_from: str,
+    valid_to: str,
+    attributes: Sequence[str],
+    cfg: Settings = Settings(),
+) -> DataFrame:
+    """Left join of each fact to the window [valid_from, valid_to) of its key that contains its date, for any size and skew.
+
+    All facts of a key and date have the same window, so windows are looked up once per key and date (counted before the shuffle) and
+    the facts meet the result in an equi-join on both. A key and date with more than `rows_per_task` facts is dealt to as many
+    tasks as it fills: its facts get a salt, its window is repeated per salt. Only these keys and dates are broadcast; there are
+    fewer than `busy_spots` of them, as the limit grows with the number of facts.
+    """
+    spots = facts.where(F.col(key).isNotNull() & F.col(date).isNotNull()).groupBy(F.col(key).alias("__key"), F.col(date).alias("__day")).agg(F.count(F.lit(1)).alias("__facts"))
+    carried = list(dict.fromkeys([*attributes, valid_to]))
+    matched = as_of(spots, windows, "__key", "__day", valid_from, (), carried, "month", version_key=key)
+    found = F.when(F.col("__day") < F.col("__version")[valid_to], F.struct(*[F.col("__version")[a].alias(a) for a in attributes]))
+    matched = materialize(matched.select("__key", "__day", "__facts", found.alias("__found")), "windows-by-day")
+    total = matched.agg(F.coalesce(F.sum("__facts"), F.lit(0))).first()[0]
+    limit = max(cfg.rows_per_task, total // cfg.busy_spots + 1)
+    copies = F.ceil(F.col("__facts") / limit).cast("int")
+    busy = matched.where(F.col("__found").isNotNull() & (F.col("__facts") > limit)).select(F.col("__key").alias("__b_key"), F.col("__day").alias("__b_day"), copies.alias("__copies"))
+    is_busy = (F.col(key) == F.col("__b_key")) & (F.col(date) == F.col("__b_day"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*facts.columns), F.col("__copies")), F.lit(0).cast("long"))
+    salted = facts.join(F.broadcast(busy), is_busy, "left").withColumn("__salt", salt)
+    repeated = matched.where("__found is not null").select("__key", "__day", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1)).alias("__s"), "__found")
+    hit = (F.col(key) == F.col("__key")) & (F.col(date) == F.col("__day")) & (F.col("__salt") == F.col("__s"))
+    return salted.join(repeated, hit, "left").select(*facts.columns, *[F.col("__found")[a].alias(a) for a in attributes])
+
+
+def resolved_history(history: DataFrame, key: str, attributes: Sequence[str], cfg: Settings = Settings()) -> DataFrame:
+    """Stored windows of a history that do not overlap: (key, segment_from, segment_to, attributes).
+
+    Where versions overlap, the one that starts last counts, then the one that closes last, has a price, and comes last by
+    log id and key. A history that has no overlaps is only copied.
+    """
+    start, end = "valid_from_utc", "valid_to_utc"
+    valid = history.where(F.col(key).isNotNull() & (F.col(start) < F.col(end)))
+    nexted = split_neighbours(valid.select(key, start, end), [key], start, [end], leads={"__next": start}, unit=cfg.split_unit)
+    if nexted.where(F.col(end) > F.col("__next")).limit(1).count() == 0:
+        return materialize(valid.select(key, F.col(start).alias("segment_from"), F.col(end).alias("segment_to"), *attributes), "resolved-history")
+    rank = [F.col(end), F.coalesce(F.col("product_base_price_gross_eur") > 0, F.lit(False)), F.col("log_item_id"), F.col("item_scd_sk")]
+    kept = F.struct(F.col(start).alias("__from"), *[c.alias(f"__r{k}") for k, c in enumerate(rank)], F.struct(*attributes).alias("version"))
+    segments = disjoint_windows(history, key, start, end, kept, cfg.split_unit)
+    return materialize(segments.select(key, "segment_from", "segment_to", *[F.col("choice.version")[a].alias(a) for a in attributes]), "resolved-history")
+
+
 def time_valid_join(
     facts: DataFrame,
     history: DataFrame,
@@ -120,29 +177,17 @@ def time_valid_join(
     attributes: tuple[str, ...] = VERSION_ATTRIBUTES,
     cfg: Settings = Settings(),
     strategy: str = "auto",
+    disjoint: bool = False,
 ) -> DataFrame:
     """Left join of each fact to the item version valid at its time.
 
-    Where versions overlap, the one that starts last counts, then the one that closes last, has a price, and comes last by
-    log id and key. A history that tiles each item's timeline, as `item_scd2` builds it, is used as it is; another one
-    is resolved to windows that do not overlap first, so a fact never meets two.
+    `disjoint` says that versions of an item do not overlap, as in what `item_scd2` builds; the history is then used as it is.
+    Otherwise it is checked, resolved where versions overlap, and stored once, so a fact never meets two.
     """
-    rank = [
-        F.col("valid_to_utc"),
-        F.coalesce(F.col("product_base_price_gross_eur") > 0, F.lit(False)).alias("has_price"),
-        F.col("log_item_id"),
-        F.col("item_scd_sk"),
-    ]
     wanted = [a for a in attributes if a != key]
-    nexted = split_neighbours(
-        history.where(F.col(key).isNotNull() & (F.col("valid_from_utc") < F.col("valid_to_utc"))).select(key, "valid_from_utc", "valid_to_utc"),
-        [key], "valid_from_utc", ["valid_to_utc"], leads={"__next": "valid_from_utc"}, unit=cfg.split_unit,
-    )
-    if nexted.where(F.col("valid_to_utc") > F.col("__next")).limit(1).count() == 0:
-        return interval_lookup(facts, history, key, ts, "valid_from_utc", "valid_to_utc", wanted, rank, cfg, strategy)
-    kept = F.struct(F.col("valid_from_utc").alias("__from"), *[c.alias(f"__r{k}") for k, c in enumerate(rank)], F.struct(*wanted).alias("version"))
-    segments = disjoint_windows(history, key, "valid_from_utc", "valid_to_utc", kept, cfg.split_unit)
-    segments = segments.select(key, "segment_from", "segment_to", *[F.col("choice.version")[a].alias(a) for a in wanted])
+    if disjoint:
+        return interval_lookup(facts, history, key, ts, "valid_from_utc", "valid_to_utc", wanted, (), cfg, strategy)
+    segments = resolved_history(history, key, wanted, cfg)
     return interval_lookup(facts, segments, key, ts, "segment_from", "segment_to", wanted, (), cfg, strategy)
 
 
@@ -167,10 +212,14 @@ def apply_promo_segments(
     cfg: Settings = Settings(),
     strategy: str = "auto",
 ) -> DataFrame:
-    """Left join to the promotion active on the order's local date (start inclusive, end exclusive)."""
-    return interval_lookup(
-        priced, segments, key, date, "segment_from", "segment_to", SEGMENT_COLUMNS, (), cfg, strategy
-    )
+    """Left join to the promotion active on the order's local date (start inclusive, end exclusive).
+
+    The order items are not shuffled if the segments are few enough to broadcast (strategy "broadcast" or "auto"); else, and with
+    "asof", each (item, date) looks its promotion up once.
+    """
+    if strategy != "asof" and small_history(segments, key, cfg):
+        return interval_lookup(priced, segments, key, date, "segment_from", "segment_to", SEGMENT_COLUMNS, (), cfg, "counted")
+    return day_lookup(priced, segments, key, date, "segment_from", "segment_to", SEGMENT_COLUMNS, cfg)
 
 
 def apply_promos(
@@ -181,8 +230,9 @@ def apply_promos(
     cfg: Settings = Settings(),
     strategy: str = "auto",
 ) -> DataFrame:
-    """Best promotion of each order item straight from the promotion rules (which carry `promo_sk`)."""
-    return apply_promo_segments(priced, promo_segments(promos, key), key, date, cfg, strategy)
+    """Best promotion of each order item straight from the promotion rules (which carry `promo_sk`); they are resolved once."""
+    segments = materialize(promo_segments(promos, key), "promo-segments")
+    return apply_promo_segments(priced, segments, key, date, cfg, strategy)
 
 
 def overlapping_windows(df: DataFrame, key: str, start: str, end: str, ties: list[str]) -> DataFrame:

@@ -52,8 +52,12 @@ def split_neighbours(
     lags: Mapping[str, Column | str] | None = None,
     leads: Mapping[str, Column | str] | None = None,
     unit: str = "hour",
+    number: str | None = None,
 ) -> DataFrame:
-    """`lag` / `lead` by one row per key ordered by (ts, ties); new columns are named by the mappings."""
+    """`lag` / `lead` by one row per key ordered by (ts, ties); new columns are named by the mappings.
+
+    `number` names a column for `row_number()` in the same order, found in the same pass.
+    """
     lags, leads = dict(lags or {}), dict(leads or {})
     spot = [*keys, BUCKET]
     order = F.struct(F.col(ts), *[F.col(t) for t in ties])
@@ -73,6 +77,11 @@ def split_neighbours(
         rows = rows.withColumn("__lead", F.lead(pack(leads)).over(local))
         edge_aggs.append(F.min_by(pack(leads), order).alias("__first"))
         edge_cols.append(F.lead("__first").over(across).alias("__next"))
+    if number:
+        rows = rows.withColumn("__rn", F.row_number().over(local))
+        edge_aggs.append(F.count(F.lit(1)).alias("__n"))
+        earlier = across.rowsBetween(W.unboundedPreceding, -1)
+        edge_cols.append(F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     edges = _with_bucket(df, ts, unit).groupBy(*spot).agg(*edge_aggs).select(*spot, *edge_cols)
     joined = rows.join(edges, spot)
     # a whole struct is null only when there is no neighbour inside the bucket
@@ -80,7 +89,9 @@ def split_neighbours(
         joined = joined.withColumn(name, F.coalesce("__lag", "__prev")[name])
     for name in leads:
         joined = joined.withColumn(name, F.coalesce("__lead", "__next")[name])
-    return joined.drop(BUCKET, "__lag", "__prev", "__lead", "__next")
+    if number:
+        joined = joined.withColumn(number, (F.col("__rn") + F.col("__before")).cast("long"))
+    return joined.drop(BUCKET, "__lag", "__prev", "__lead", "__next", "__rn", "__before")
 
 
 def as_of(
@@ -92,19 +103,22 @@ def as_of(
     rank: Sequence[Column],
     attributes: Sequence[str],
     unit: str = "hour",
+    version_key: str | None = None,
 ) -> DataFrame:
     """For every fact the latest version with `valid_from <= ts` of its key; null struct if there is none.
 
     Facts and versions are merged in time order inside each (key, bucket); a bucket also receives the last
     version of the buckets before it as a seed row. Work is linear in facts plus versions: no key is ever
-    paired with all of its versions. Adds one struct column `__version` with `attributes`.
+    paired with all of its versions. Adds one struct column `__version` with `attributes`. `version_key` names the
+    key column of the versions where it differs.
     """
+    owner = version_key or key
     payload = F.struct(*[F.col(c) for c in facts.columns])
     version = F.struct(*[F.col(a) for a in attributes])
     ranking = F.struct(F.col(valid_from), *rank)
-    clean = versions.where(F.col(key).isNotNull() & F.col(valid_from).isNotNull())
+    clean = versions.where(F.col(owner).isNotNull() & F.col(valid_from).isNotNull())
     vers = clean.select(
-        F.col(key).alias("__key"),
+        F.col(owner).alias("__key"),
         F.date_trunc(unit, F.col(valid_from)).alias(BUCKET),
         F.struct(ranking.alias("rank"), version.alias("version")).alias("__v"),
     )

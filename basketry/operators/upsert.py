@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.config import Settings
@@ -32,16 +32,32 @@ def _hadoop_path(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+# a new version of a table, or of some of its partitions, is complete beside the table before it takes its place
+NEXT, OLD, SWITCH = "__next", "__old", "__switch"
+# folder and file names below a staged switch; Spark does not read names that begin with an underscore
+EMPTIED, READY = "_emptied", "_READY"
+DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
 def recover(spark: SparkSession, path: str) -> None:
-    """Finish a replacement that stopped between its two renames: the complete new version counts, else the old one."""
+    """Finish what a stopped run left: a whole replacement between its two renames, or a switch of partitions.
+
+    What was complete beside the table takes its place; what was not is dropped and the table stays as it was.
+    """
     fs, here = _hadoop_path(spark, path)
-    if fs.exists(here):
-        return
-    _, new = _hadoop_path(spark, path + NEXT)
-    _, old = _hadoop_path(spark, path + OLD)
-    if fs.exists(old):
-        _, done = _hadoop_path(spark, f"{path}{NEXT}/_SUCCESS")
-        fs.rename(new if fs.exists(done) else old, here)
+    if not fs.exists(here):
+        _, new = _hadoop_path(spark, path + NEXT)
+        _, old = _hadoop_path(spark, path + OLD)
+        if fs.exists(old):
+            _, done = _hadoop_path(spark, f"{path}{NEXT}/_SUCCESS")
+            fs.rename(new if fs.exists(done) else old, here)
+    _, staged = _hadoop_path(spark, path + SWITCH)
+    if fs.exists(staged):
+        _, ready = _hadoop_path(spark, f"{path}{SWITCH}/{READY}")
+        if fs.exists(ready):
+            switch_partitions(spark, path)
+        else:
+            fs.delete(staged, True)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -51,19 +67,15 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
-    for name in (path + OLD, path + NEXT, path):
+    for name in (path + SWITCH, path + OLD, path + NEXT, path):
         fs, jpath = _hadoop_path(spark, name)
         fs.delete(jpath, True)
 
 
-# a new version is complete beside the table before it takes its place
-NEXT, OLD = "__next", "__old"
-DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
-
-
-def replace_table(spark: SparkSession, path: str, df: DataFrame) -> None:
+def replace_table(spark: SparkSession, path: str, df: DataFrame, partition: str | None = None) -> None:
     """Write a new version next to the table, then switch by renaming; a stop at any point leaves one complete version."""
-    df.write.mode("overwrite").parquet(path + NEXT)
+    writer = df.hint("rebalance", partition).write.partitionBy(partition) if partition else df.write
+    writer.mode("overwrite").parquet(path + NEXT)
     fs, here = _hadoop_path(spark, path)
     _, new = _hadoop_path(spark, path + NEXT)
     _, old = _hadoop_path(spark, path + OLD)
@@ -73,6 +85,54 @@ def replace_table(spark: SparkSession, path: str, df: DataFrame) -> None:
     fs.delete(old, True)
 
 
+def partition_folder(partition: str, value) -> str:
+    return f"{partition}={DEFAULT_PARTITION if value is None else value}"
+
+
+def in_partitions(partition: str, values: Sequence) -> Column:
+    """Literal partition predicate, so that the scan lists only these folders; null is a partition."""
+    named = F.col(partition).isin([v for v in values if v is not None])
+    return named | F.col(partition).isNull() if None in values else named
+
+
+def stage_switch(spark: SparkSession, path: str, rows: DataFrame, partition: str, touched: Sequence) -> None:
+    """Write the new content of the touched partitions beside the table; the marker comes last."""
+    staged = path + SWITCH
+    rows.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(staged)
+    for value in touched:
+        folder = partition_folder(partition, value)
+        fs, written = _hadoop_path(spark, f"{staged}/{folder}")
+        if not fs.exists(written):
+            fs.mkdirs(_hadoop_path(spark, f"{staged}/{EMPTIED}/{folder}")[1])
+    fs, ready = _hadoop_path(spark, f"{staged}/{READY}")
+    fs.create(ready, True).close()
+
+
+def switch_partitions(spark: SparkSession, path: str) -> None:
+    """Move staged partitions into the table, one rename each; can be repeated from any point.
+
+    A partition that is still staged replaces the table's, one that is not was moved before. So a partition missing
+    from the table is always whole in the staging folder.
+    """
+    staged = path + SWITCH
+    fs, folder = _hadoop_path(spark, staged)
+    _, emptied = _hadoop_path(spark, f"{staged}/{EMPTIED}")
+    if fs.exists(emptied):
+        for entry in fs.listStatus(emptied):
+            fs.delete(_hadoop_path(spark, f"{path}/{entry.getPath().getName()}")[1], True)
+    for entry in fs.listStatus(folder):
+        name = entry.getPath().getName()
+        if entry.isDirectory() and not name.startswith("_"):
+            move_partition(fs, entry.getPath(), _hadoop_path(spark, f"{path}/{name}")[1])
+    fs.delete(folder, True)
+
+
+def move_partition(fs, staged, here) -> None:
+    fs.delete(here, True)
+    if not fs.rename(staged, here):
+        raise RuntimeError(f"could not move {staged.toString()}; the next run finishes the switch")
+
+
 def upsert_table(
     spark: SparkSession,
     path: str,
@@ -81,12 +141,17 @@ def upsert_table(
     partition: str | None = None,
     sync_columns: bool = True,
     gone: DataFrame | None = None,
+    stored_in: Sequence | None = None,
 ) -> DataFrame:
     """Upsert into a Parquet table in place and return it; rows whose keys are in `gone` are deleted as well.
 
     Without a `partition` column the new version is written beside the table and takes its place by renaming. With one, only
-    partitions that receive or lose rows (null counts as a partition) are read and rewritten, through a staging table
-    that is removed afterwards. A run that stopped can be repeated: equal keys replace what it left.
+    partitions that receive or lose rows (null counts as a partition) are read and rewritten: their new content is written beside
+    the table, marked as complete, and moved in partition by partition. A run that stopped anywhere is finished or undone by the
+    next access, and can be repeated: equal keys replace what it left.
+
+    `stored_in` names the partitions that hold rows of the keys now, where the caller knows them; else the keys are looked for
+    in the whole table. The lists of partition values have an entry per date, or what the partitions are, at most.
     """
     if not table_exists(spark, path):
         writer = source.write.mode("error")
@@ -96,31 +161,18 @@ def upsert_table(
     if partition is None:
         replace_table(spark, path, upsert(target, source, keys, sync_columns, gone))
         return spark.read.parquet(path)
-    staging, incoming = scratch_path(spark, "upsert-staging"), scratch_path(spark, "upsert-source")
+    incoming = scratch_path(spark, "upsert-source")
     source.write.parquet(incoming)
     source = spark.read.schema(source.schema).parquet(incoming)
-    named = source.select(*keys) if gone is None else source.select(*keys).unionByName(gone.select(*keys))
-    left_behind = target.join(named, list(keys), "left_semi").select(partition)
-    touched = left_behind.unionByName(source.select(partition)).distinct().withColumnRenamed(partition, "__touched")
-    affected = target.join(touched, F.col(partition).eqNullSafe(F.col("__touched")), "left_semi")
-    merged = upsert(affected, source, keys, sync_columns, gone)
-    merged.write.parquet(staging)
-    staged = spark.read.schema(merged.schema).parquet(staging)
-    # a partition that only lost rows and is empty now is not part of the write, so it is dropped by name;
-    # this list has one entry per such date at most
-    kept = staged.select(F.col(partition).alias("__kept")).distinct()
-    emptied = [r[0] for r in touched.join(kept, F.col("__touched").eqNullSafe(F.col("__kept")), "left_anti").collect()]
-    (
-        staged.hint("rebalance", partition)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
-    for value in emptied:
-        fs, jpath = _hadoop_path(spark, f"{path}/{partition}={DEFAULT_PARTITION if value is None else value}")
-        fs.delete(jpath, True)
-    drop_table(spark, staging)
+    touched = {r[0] for r in source.select(partition).distinct().collect()}
+    if stored_in is None:
+        named = source.select(*keys) if gone is None else source.select(*keys).unionByName(gone.select(*keys))
+        stored_in = [r[0] for r in target.join(named, list(keys), "left_semi").select(partition).distinct().collect()]
+    touched |= set(stored_in)
+    if touched:
+        merged = upsert(target.where(in_partitions(partition, list(touched))), source, keys, sync_columns, gone)
+        stage_switch(spark, path, merged, partition, list(touched))
+        switch_partitions(spark, path)
     drop_table(spark, incoming)
     return spark.read.parquet(path)
 
@@ -158,15 +210,20 @@ class WatermarkStore:
         """Set the watermark to max(column); a table without any value leaves it alone."""
         self.put_all({model: (df, column)}, now)
 
-    def put_all(self, models: Mapping[str, tuple[DataFrame, str]], now: dt.datetime) -> None:
-        """The watermarks of several models in one write."""
+    def put_all(self, models: Mapping[str, tuple[DataFrame, str]], now: dt.datetime, raise_only: bool = False) -> None:
+        """The watermarks of several models in one write; with `raise_only` none falls, so the rows of one run are enough."""
         rows = [
             df.agg(F.max(column).cast("timestamp").alias("watermark_ts"))
             .where(F.col("watermark_ts").isNotNull())
             .select(F.lit(model).alias("model_name"), "watermark_ts", F.lit(now).cast("timestamp").alias("updated_at"))
             for model, (df, column) in models.items()
         ]
-        upsert_table(self.spark, self.path, reduce(DataFrame.unionByName, rows), ["model_name"])
+        marks = reduce(DataFrame.unionByName, rows)
+        if raise_only:
+            stored = self.table().select("model_name", F.col("watermark_ts").alias("__stored"))
+            higher = F.greatest("watermark_ts", "__stored").alias("watermark_ts")
+            marks = marks.join(stored, "model_name", "left").select("model_name", higher, "updated_at")
+        upsert_table(self.spark, self.path, marks, ["model_name"])
 
     def cutoff(
         self, model: str, target: DataFrame | None = None, column: str | None = None, lookback_days: int | None = None

@@ -7,7 +7,7 @@ are always over everything.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ from basketry.config import Settings
 from basketry.functions import count_where, quantile, safe_divide, sample_values, surrogate_key
 from basketry.operators.curation import PRICE, best_per_log, drop_null_event_time, is_positive, resolve_conflicts
 from basketry.operators.joins import with_totals
-from basketry.operators.ranking import top_n_per_group
+from basketry.operators.ranking import sizes, top_n_per_group
 from basketry.operators.timeline import split_neighbours
 from basketry.plans.quality import (
     CURATION_ERRORS,
@@ -118,9 +118,7 @@ def item_log_curation(raw: DataFrame, staged: DataFrame, curated: DataFrame) ->
 
 def _size(df: DataFrame, rows: str, **distinct: str) -> DataFrame:
     """One row: number of rows and of distinct values of the given columns."""
-    return df.agg(
-        F.count(F.lit(1)).alias(rows), *[F.count_distinct(column).alias(name) for name, column in distinct.items()]
-    )
+    return sizes(df, rows, distinct)
 
 
 def item_log_curation_summary(
@@ -157,10 +155,10 @@ def item_log_curation_summary(
         counts,
         _sample(bad, "log_item_id", "problematic_log_item_ids", n),
         _sample(bad_items, "item_key", "problematic_item_keys", n),
-        bad.agg(F.count_distinct("log_item_id").alias("problematic_log_item_id_count")),
-        bad_items.agg(F.count_distinct("item_key").alias("problematic_item_key_count")),
+        bad.select("log_item_id").distinct().agg(F.count("log_item_id").alias("problematic_log_item_id_count")),
+        bad_items.select("item_key").distinct().agg(F.count("item_key").alias("problematic_item_key_count")),
         _sample(excluded, "log_item_id", "expected_exclusion_log_item_ids", n),
-        excluded.agg(F.count_distinct("log_item_id").alias("expected_exclusion_log_item_id_count")),
+        excluded.select("log_item_id").distinct().agg(F.count("log_item_id").alias("expected_exclusion_log_item_id_count")),
     )
     errors = F.col("error_expected_but_missing_count") + F.col("error_unexpected_present_count") > 0
     some = F.col("ok_expected_exclusion_count") > 0
@@ -489,28 +487,26 @@ FLOW_STEPS = (
 
 
 def flow_counts(t: dict[str, DataFrame]) -> DataFrame:
-    """One row with every counter of the flow; each table is scanned once."""
-    unmatched = F.count_if(F.col("item_key_sk").isNull() | F.col("item_scd_sk").isNull())
+    """One row with every counter of the flow; each table is scanned once and no row is repeated per distinct count."""
+    unmatched = F.col("item_key_sk").isNull() | F.col("item_scd_sk").isNull()
 
-    def size(name: str, rows: str, extra: Sequence[Column] = (), **distinct: str) -> DataFrame:
-        return t[name].agg(
-            F.count(F.lit(1)).alias(rows), *[F.count_distinct(c).alias(n) for n, c in distinct.items()], *extra
-        )
+    def size(name: str, rows: str, flags: Mapping[str, Column] | None = None, **distinct: str) -> DataFrame:
+        return sizes(t[name], rows, distinct, flags)
 
     purchase_time, log_time = F.col("time_order_received_utc"), F.col("time_log_created_utc")
     missing = t["dim_promo"].join(t["dim_item_current"].select("item_key_sk"), "item_key_sk", "left_anti")
     return _beside(
         size("raw_purchases", "raw_purchase", raw_purchase_keys="purchase_key"),
-        size("stg_purchases", "stg_purchase", [F.count_if(purchase_time.isNull()).alias("stg_purchase_no_time")],
+        size("stg_purchases", "stg_purchase", {"stg_purchase_no_time": purchase_time.isNull()},
              stg_purchase_keys="purchase_key"),
         size("int_purchases", "int_purchase", int_purchase_keys="purchase_key"),
         size("stg_order_items", "stg_item", stg_item_purchases="purchase_key", stg_item_items="item_key"),
-        size("int_priced", "priced", [unmatched.alias("priced_unmatched")]),
+        size("int_priced", "priced", {"priced_unmatched": unmatched}),
         size("int_promoted", "promoted"),
-        size("fct_order_item", "fct_item", [unmatched.alias("fct_item_unmatched")]),
+        size("fct_order_item", "fct_item", {"fct_item_unmatched": unmatched}),
         size("fct_order", "fct_order"),
         size("raw_item_logs", "raw_log", raw_log_ids="log_item_id", raw_log_items="item_key"),
-        size("stg_item_logs", "stg_log", [F.count_if(log_time.isNull()).alias("stg_log_no_time")],
+        size("stg_item_logs", "stg_log", {"stg_log_no_time": log_time.isNull()},
              stg_log_ids="log_item_id", stg_log_items="item_key"),
         size("int_item_logs", "int_log", int_log_ids="log_item_id", int_log_items="item_key"),
         size("int_item_scd2", "scd2", scd2_items="item_key"),
@@ -713,10 +709,11 @@ def control_status(t: dict[str, DataFrame], run_ts: dt.datetime, cfg: Settings =
             (F.col(secondary) if isinstance(secondary, str) else secondary).alias("sample_secondary_ids"),
         )
 
-    failures = revenue_reconciliation(t["raw_purchases"], t["fct_order"], t["fct_order_item"])
+    # the stored issues hold the orders that do not reconcile; nothing is reconciled again
+    failures = t["aud_issue_details"].where(F.col("issue_domain") == "order_revenue_reconciliation")
     none = F.col("n") == 0
     revenue = _beside(
-        failures.agg(F.count(F.lit(1)).alias("n")), _sample(failures, "purchase_key", "keys", cfg.sample_size)
+        failures.agg(F.count(F.lit(1)).alias("n")), _sample(failures, "primary_entity_id", "keys", cfg.sample_size)
     ).withColumn(
         "state", _status((none, "ok"), otherwise="error_order_revenue_reconciliation_mismatch")
     ).withColumn(

@@ -50,8 +50,7 @@ def models(cfg: Settings, run_ts: dt.datetime) -> list[Model]:
     )
     control_inputs = (
         "aud_item_log_curation_summary aud_order_item_match_summary aud_promo_coverage_summary "
-        "aud_promo_anomaly_summary aud_price_anomaly_summary aud_row_flow_summary aud_issue_details "
-        "raw_purchases fct_order fct_order_item"
+        "aud_promo_anomaly_summary aud_price_anomaly_summary aud_row_flow_summary aud_issue_details"
     )
     return [
         m("stg_item_logs", "raw_item_logs", staging.stage_item_logs),
@@ -62,7 +61,7 @@ def models(cfg: Settings, run_ts: dt.datetime) -> list[Model]:
         m("int_purchases", "stg_purchases", lambda s: curation.curate_purchases(s, cfg), True),
         m("int_item_scd2", "int_item_logs", lambda c: history.item_scd2(c, cfg.split_unit), True),
         m("int_priced", "stg_order_items int_purchases int_item_scd2",
-          lambda i, p, h: core.order_items_with_price(i, p, h, cfg)),
+          lambda i, p, h: core.order_items_with_price(i, p, h, cfg, disjoint=True)),
         m("int_promo_segments", "stg_promos", core.keyed_promo_segments, True),
         m("int_promoted", "int_priced int_promo_segments", lambda p, s: core.order_items_with_promo(p, s, cfg), True),
         m("int_order_rollups", "int_purchases int_promoted", lambda p, i: enrich.orders_with_rollups(p, i, cfg)),
@@ -72,10 +71,11 @@ def models(cfg: Settings, run_ts: dt.datetime) -> list[Model]:
         m("dim_item_current", "dim_item_history", core.dim_item_current),
         m("dim_promo", "stg_promos", core.dim_promo),
         m("dim_customer", "fct_order", core.dim_customer, True),
-        m("rpt_category_monthly", "fct_order_item fct_order", reporting.category_monthly, True),
+        m("int_order_categories", "fct_order_item fct_order", reporting.order_categories, True),
+        m("rpt_category_monthly", "fct_order_item fct_order int_order_categories", reporting.category_monthly, True),
         m("rpt_kpi_long", "rpt_category_monthly", reporting.category_kpi_long),
         m("rpt_kpi_mom", "rpt_kpi_long", reporting.category_kpi_mom),
-        m("rpt_category_scorecard", "fct_order_item", reporting.category_scorecard),
+        m("rpt_category_scorecard", "fct_order_item int_order_categories", reporting.category_scorecard),
         m("rpt_star_products", "fct_order_item", reporting.star_products),
         m("rpt_daypart", "fct_order_item", lambda i: reporting.category_daypart_monthly(i, cfg)),
         m("rpt_category_pairs", "fct_order_item", lambda i: reporting.category_pairs(i, cfg)),

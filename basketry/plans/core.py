@@ -31,8 +31,12 @@ def order_items_with_price(
     history: DataFrame,
     cfg: Settings = Settings(),
     strategy: str = "auto",
+    disjoint: bool = False,
 ) -> DataFrame:
-    """Order items of curated purchases with the item version valid when the order was placed."""
+    """Order items of curated purchases with the item version valid when the order was placed.
+
+    `disjoint`: the history is known to have no overlapping versions, as one that `item_scd2` built.
+    """
     buys = purchases.select(
         "purchase_key", "customer_key", "time_order_received_utc", "order_date_utc", "order_date_berlin"
     )
@@ -48,7 +52,7 @@ def order_items_with_price(
         "item_key",
         F.col("item_count").alias("units_in_order_item_row"),
     )
-    priced = time_valid_join(lines, history, cfg=cfg, strategy=strategy)
+    priced = time_valid_join(lines, history, cfg=cfg, strategy=strategy, disjoint=disjoint)
     return priced.withColumnRenamed("product_base_price_gross_eur", "item_unit_base_price_gross_eur")
 
 

@@ -25,9 +25,9 @@ from basketry.functions import (
     safe_divide,
     sum_where,
 )
-from basketry.operators.joins import with_totals
+from basketry.operators.joins import null_safe_join, with_totals
 from basketry.operators.pairs import basket_sets, directed_pairs, member_counts
-from basketry.operators.ranking import kpi_long, measure_rollup, top_n, top_n_per_group
+from basketry.operators.ranking import kpi_long, measure_rollup, top_n, top_n_per_group, top_products
 from basketry.plans.answers import between
 from basketry.plans.reporting import BASE, DISCOUNT, REVENUE, UNITS, concentration
 
@@ -51,13 +51,18 @@ def _latest(monthly: DataFrame) -> DataFrame:
     return top_n(monthly, [F.desc(MONTH)], 1)
 
 
+def latest_month(fact: DataFrame) -> DataFrame:
+    """Rows of the latest month only: plain bounds on the date, so a fact partitioned by date reads one month of it."""
+    latest = fact.select(F.max(month_of("order_date"))).scalar()
+    return fact.where(F.col("order_date").between(latest, F.last_day(latest)))
+
+
 # ------------------------------------------------------------------------------- monthly store charts
 
 
 def latest_month_headlines(orders: DataFrame, items: DataFrame) -> DataFrame:
     """Top category, order count and promotion share of the latest month, one row each."""
     latest = orders.select(F.max(month_of("order_date"))).scalar()
-    # plain bounds on the date, so a date-partitioned fact is pruned to one month
     this_month = F.col("order_date").between(latest, F.last_day(latest))
     by_category = items.where(this_month).groupBy("item_category").agg(F.sum(UNITS).alias("units"))
     top = top_n(by_category, [F.desc("units"), F.asc_nulls_first("item_category")], 1)
@@ -98,7 +103,7 @@ def service_area_monthly(orders: DataFrame) -> DataFrame:
 
 
 def service_area_insight(orders: DataFrame) -> DataFrame:
-    monthly = _monthly(orders).groupBy(MONTH).agg(F.avg("delivery_distance_line_meters").alias("d"))
+    monthly = _monthly(latest_month(orders)).groupBy(MONTH).agg(F.avg("delivery_distance_line_meters").alias("d"))
     value = F.concat(F.lit("latest avg distance: "), plain_number("d", 2), F.lit(" m"))
     return insight(_latest(monthly), "Service area trend", value, "based on latest month")
 
@@ -114,7 +119,7 @@ def items_prices_monthly(items: DataFrame) -> DataFrame:
 
 
 def items_prices_insight(items: DataFrame) -> DataFrame:
-    monthly = _monthly(items).groupBy(MONTH, "item_category").agg(F.sum(UNITS).alias("units"))
+    monthly = _monthly(latest_month(items)).groupBy(MONTH, "item_category").agg(F.sum(UNITS).alias("units"))
     order = [F.desc(MONTH), F.desc("units"), F.asc_nulls_first("item_category")]
     comment = F.concat(F.lit("units="), F.col("units").cast("string"))
     return insight(
@@ -146,7 +151,7 @@ def promo_uptake_monthly(orders: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def promo_uptake_insight(items: DataFrame) -> DataFrame:
-    units = _monthly(items).groupBy(MONTH).agg(
+    units = _monthly(latest_month(items)).groupBy(MONTH).agg(
         sum_where(F.col("is_promo_item"), UNITS).alias("promo"), F.sum(UNITS).alias("total")
     )
     return insight(
@@ -170,7 +175,7 @@ def repeat_orders_monthly(orders: DataFrame) -> DataFrame:
 
 
 def repeat_orders_insight(orders: DataFrame) -> DataFrame:
-    latest = _latest(repeat_orders_monthly(orders))
+    latest = _latest(repeat_orders_monthly(latest_month(orders)))
     return insight(
         latest, "Repeat order share (latest month)", _percent(F.col("repeat_order_share")), "customer return signal"
     )
@@ -191,7 +196,7 @@ def fees_monthly(orders: DataFrame) -> DataFrame:
 
 def fees_insight(orders: DataFrame) -> DataFrame:
     return insight(
-        _latest(fees_monthly(orders)), "Service fee / basket (latest month)",
+        _latest(fees_monthly(latest_month(orders))), "Service fee / basket (latest month)",
         _percent(F.col("service_fee_to_basket_ratio")), "pricing pressure indicator",
     )
 
@@ -211,7 +216,7 @@ def revenue_monthly(orders: DataFrame) -> DataFrame:
 
 
 def revenue_insight(orders: DataFrame) -> DataFrame:
-    latest = _latest(revenue_monthly(orders))
+    latest = _latest(revenue_monthly(latest_month(orders)))
     return insight(latest, "Customer paid total (latest month)", plain_number("customer_paid_total_eur", 2), "EUR")
 
 
@@ -230,7 +235,7 @@ def courier_monthly(orders: DataFrame) -> DataFrame:
 
 def courier_insight(orders: DataFrame) -> DataFrame:
     return insight(
-        _latest(courier_monthly(orders)), "Avg courier cost per order (latest month)",
+        _latest(courier_monthly(latest_month(orders))), "Avg courier cost per order (latest month)",
         plain_number("avg_courier_cost_per_order_eur", 2), "EUR per order",
     )
 
@@ -441,9 +446,9 @@ def _totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def _scale(rows: DataFrame, category: str) -> DataFrame:
+def _scale(rows: DataFrame, category: str, totals: DataFrame | None = None) -> DataFrame:
     return (
-        _rates(with_totals(measure_rollup(rows, [category], SUMS), _totals(rows)))
+        _rates(with_totals(measure_rollup(rows, [category], SUMS), _totals(rows) if totals is None else totals))
         .withColumn("revenue_share", safe_divide("revenue_eur", "total_revenue"))
         .withColumn("order_penetration", safe_divide("orders", "total_orders"))
         .withColumn("customer_penetration", safe_divide("customers", "total_customers"))
@@ -515,10 +520,11 @@ def attach_rates(rows: DataFrame, n: int = 50) -> DataFrame:
 
 def star_skus(rows: DataFrame, n: int = 10) -> DataFrame:
     """The n products with the highest revenue and the categories they were sold under."""
-    products = _rates(measure_rollup(rows, ["product_name"], SUMS))
-    best = top_n(products, [F.desc("revenue_eur"), F.asc("product_name")], n)
+    chosen = top_products(rows, "revenue_eur", n)
+    theirs = null_safe_join(rows, F.broadcast(chosen), ["product_name"], "left_semi")  # n names
+    best = _rates(measure_rollup(theirs, ["product_name"], SUMS))
     seen = (
-        rows.select("product_name", "item_category")
+        theirs.select("product_name", "item_category")
         .distinct()
         .groupBy("product_name")
         .agg(distinct_list("item_category").alias("category_mapping_in_file"))
@@ -569,7 +575,8 @@ def executive_summary(
     top = top_n(products, [F.desc("revenue"), F.asc("product_name")], 2).agg(F.sum("revenue").alias("top"))
     share = with_totals(top, rows.agg(F.sum("revenue_eur").alias("total")))
     base, other = base_category or cfg.dip_category, attached_category or cfg.snack_category
-    flags = rows.groupBy("order_sk").agg(
+    # other categories decide nothing: they are filtered before orders are folded
+    flags = rows.where(F.col("item_category").isin(base, other)).groupBy("order_sk").agg(
         F.max(F.col("item_category") == base).alias("has_base"),
         F.max(F.col("item_category") == other).alias("has_other"),
     )
@@ -610,8 +617,10 @@ def overview_kpis(rows: DataFrame) -> DataFrame:
 
 
 def raw_and_adjusted_scorecard(rows: DataFrame) -> DataFrame:
+    totals = _totals(rows)  # one subquery for both views
+
     def view(kind: str, column: str) -> DataFrame:
-        return _scale(rows, column).select(
+        return _scale(rows, column, totals).select(
             F.lit(kind).alias("view_type"), F.col(column).alias("category"), *SCALE, "asp_eur", "discount_rate"
         )
 

@@ -25,7 +25,8 @@ from basketry.operators.pairs import (
     member_counts,
     unordered_pairs,
 )
-from basketry.operators.ranking import kpi_long, measure_rollup, order_grain, top_n, top_n_per_group
+from basketry.operators.ranking import kpi_long, measure_rollup, order_grain, top_n, top_n_per_group, top_products
+from basketry.session import materialize
 
 REVENUE = "order_item_row_final_amount_gross_eur"
 BASE = "order_item_row_base_amount_gross_eur"
@@ -76,6 +77,46 @@ def category_rows(items: DataFrame) -> DataFrame:
     )
 
 
+def order_categories(items: DataFrame, orders: DataFrame) -> DataFrame:
+    """One row per order and category (null is a category), with the sums, the promotion flag and the order's context.
+
+    The grain from which sets of categories, buyers, orders and sums of any coarser group are folded, so that the reports by
+    category read the item fact once for it and once for its products.
+    """
+    per_order = items.groupBy(month_of("order_date").alias("order_month"), "item_category", "order_sk", "customer_sk").agg(
+        F.sum(REVENUE).alias("revenue_eur"),
+        F.sum(BASE).alias("base_revenue_eur"),
+        F.sum(DISCOUNT).alias("discount_eur"),
+        F.sum(UNITS).alias("units_sold"),
+        F.sum(promo_units()).alias("promo_units_sold"),
+        F.max("is_promo_item").alias("has_promo"),
+    )
+    context = orders.select(
+        "order_sk",
+        F.col("is_first_order_for_customer").alias("is_first"),
+        F.col("delivery_distance_line_meters").alias("distance"),
+        F.col("total_units_in_order").alias("order_units"),
+    )
+    return per_order.join(context, "order_sk", "left")
+
+
+def no_context(items: DataFrame) -> DataFrame:
+    """An order table without rows, for reports that need no context of the orders."""
+    schema = "order_sk string, is_first_order_for_customer boolean, delivery_distance_line_meters long, total_units_in_order long"
+    return items.sparkSession.createDataFrame([], schema)
+
+
+def named_order_categories(order_rows: DataFrame) -> DataFrame:
+    """Order categories with the missing one under its name; it meets one of that name, if there is one."""
+    name = F.coalesce("item_category", F.lit("Unknown"))
+    context = ["is_first", "distance", "order_units"]
+    return (
+        order_rows.withColumn("item_category", name)
+        .groupBy(*KEYS, "order_sk", "customer_sk")
+        .agg(*[F.sum(c).alias(c) for c in SUMS], *[F.first(c).alias(c) for c in context])
+    )
+
+
 KEYS = ["order_month", "item_category"]
 SUMS = ["revenue_eur", "base_revenue_eur", "discount_eur", "units_sold", "promo_units_sold"]
 
@@ -126,32 +167,21 @@ FIRST = "distinct_customers_whose_first_order_included_category_in_month"
 REPEAT = "distinct_customers_with_repeat_orders_including_category_in_month"
 
 
-def category_core(rows: DataFrame, orders: DataFrame) -> DataFrame:
-    """Per category and month: sums, distinct orders and customers, and the context of those orders.
-
-    One pass over the items: they are folded to (category, order), meet the order fact there, and are then
-    folded to customers and to categories. The order gives its first-order flag, distance and size.
-    """
-    per_order = order_grain(rows, KEYS, {c: F.col(c) for c in SUMS}, {})
-    context = orders.select(
-        "order_sk",
-        F.col("is_first_order_for_customer").alias("is_first"),
-        F.col("delivery_distance_line_meters").alias("distance"),
-        F.col("total_units_in_order").alias("order_units"),
-    )
+def category_buyers(per_order: DataFrame) -> DataFrame:
+    """Named order categories folded to (month, category, customer)."""
     first = F.col("is_first")
-    per_customer = (
-        per_order.join(context, "order_sk", "left")
-        .groupBy(*KEYS, "customer_sk")
-        .agg(
-            *[F.sum(c).alias(c) for c in SUMS],
-            F.count("order_sk").alias("orders"),
-            F.max(first).alias("had_first"),
-            F.max(~first).alias("had_repeat"),
-            *[F.sum(c).alias(c) for c in ("distance", "order_units")],
-            *[F.count(c).alias(f"{c}_n") for c in ("distance", "order_units")],
-        )
+    return per_order.groupBy(*KEYS, "customer_sk").agg(
+        *[F.sum(c).alias(c) for c in SUMS],
+        F.count("order_sk").alias("orders"),
+        F.max(first).alias("had_first"),
+        F.max(~first).alias("had_repeat"),
+        *[F.sum(c).alias(c) for c in ("distance", "order_units")],
+        *[F.count(c).alias(f"{c}_n") for c in ("distance", "order_units")],
     )
+
+
+def category_core(per_customer: DataFrame) -> DataFrame:
+    """Per category and month: sums, distinct orders and customers, and the context of those orders."""
     return per_customer.groupBy(*KEYS).agg(
         *[F.sum(c).alias(c) for c in (*SUMS, "orders")],
         F.count("customer_sk").alias("customers"),
@@ -163,28 +193,34 @@ def category_core(rows: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def order_context(rows: DataFrame, orders: DataFrame) -> DataFrame:
+def order_context(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Per category and month: first-time and repeat customers, mean distance and mean order size."""
-    return category_core(rows, orders).select(
+    return category_core(category_buyers(named_order_categories(order_categories(items, orders)))).select(
         *KEYS, FIRST, REPEAT, "avg_delivery_distance_meters", "avg_order_units_for_orders_with_category"
     )
 
 
-def category_monthly(items: DataFrame, orders: DataFrame) -> DataFrame:
-    """Category by month: revenue, shares, penetration, prices, repeat rate, concentration, attach rate."""
-    rows = category_rows(items)
-    baskets = monthly_baskets(rows)
-    buyers = rows.select("order_month", "customer_sk").distinct().groupBy("order_month").agg(
-        F.count("customer_sk").alias("total_customers")
-    )
+def category_monthly(items: DataFrame, orders: DataFrame, order_rows: DataFrame | None = None) -> DataFrame:
+    """Category by month: revenue, shares, penetration, prices, repeat rate, concentration, attach rate.
+
+    `order_rows` is a stored `order_categories`; without it one is stored here. Customers of a month are folded from the customers of
+    its categories, orders of a month from the sets of categories.
+    """
+    if order_rows is None:
+        order_rows = materialize(order_categories(items, orders), "order-categories")
+    per_order = named_order_categories(order_rows)
+    baskets = basket_sets(order_rows.withColumn("item_category", F.coalesce("item_category", F.lit("Unknown"))), "order_sk", "item_category", ["order_month"])
+    per_customer = category_buyers(per_order)
+    buyers = per_customer.groupBy("order_month", "customer_sk").agg(F.count(F.lit(1)).alias("categories"))
+    month_buyers = buyers.groupBy("order_month").agg(F.count("customer_sk").alias("total_customers"))
     month_orders = baskets.groupBy("order_month").agg(F.sum("baskets").alias("total_orders"))
     # the core has one row per category and month, so its window is as long as the list of categories
     whole_month = W.partitionBy("order_month")
-    core = category_core(rows, orders).withColumn("total_revenue_eur", F.sum("revenue_eur").over(whole_month))
+    core = category_core(per_customer).withColumn("total_revenue_eur", F.sum("revenue_eur").over(whole_month))
     joined = (
         core.join(month_orders, "order_month")
-        .join(buyers, "order_month")
-        .join(monthly_concentration(rows), KEYS, "left")
+        .join(month_buyers, "order_month")
+        .join(monthly_concentration(category_rows(items)), KEYS, "left")
         .join(top_attached(baskets), KEYS, "left")
     )
     zero = F.lit(0.0)
@@ -265,18 +301,23 @@ def category_kpi_mom(long: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------------- overall scorecard
 
 
-def category_scorecard(items: DataFrame) -> DataFrame:
-    """One row per category over all time; a missing category is its own row."""
-    rows = items.select(
+def category_scorecard(items: DataFrame, order_rows: DataFrame | None = None) -> DataFrame:
+    """One row per category over all time; a missing category is its own row.
+
+    `order_rows` is a stored `order_categories`: sums, orders and customers of categories and of the whole are folded from it, and
+    the items are read for the products only.
+    """
+    if order_rows is None:
+        order_rows = materialize(order_categories(items, no_context(items)), "order-categories")
+    rows = order_rows.select(
         "order_sk",
         "customer_sk",
-        preferred_name().alias("product_name"),
         F.col("item_category").alias("category"),
-        F.col(UNITS).alias("units"),
-        F.col(REVENUE).alias("revenue"),
-        F.col(BASE).alias("base"),
-        F.col(DISCOUNT).alias("discount"),
-        "is_promo_item",
+        F.col("units_sold").alias("units"),
+        F.col("revenue_eur").alias("revenue"),
+        F.col("base_revenue_eur").alias("base"),
+        F.col("discount_eur").alias("discount"),
+        F.col("has_promo").alias("is_promo_item"),
     )
     core = measure_rollup(
         rows,
@@ -287,7 +328,8 @@ def category_scorecard(items: DataFrame) -> DataFrame:
     totals = measure_rollup(rows, [], {"total_revenue_eur": "revenue"}).select(
         "total_revenue_eur", F.col("orders").alias("total_orders"), F.col("customers").alias("total_customers")
     )
-    spread = concentration(rows, ["category"], "product_name", "revenue", nullable=True).select(
+    products = items.select(preferred_name().alias("product_name"), F.col("item_category").alias("category"), F.col(REVENUE).alias("revenue"))
+    spread = concentration(products, ["category"], "product_name", "revenue", nullable=True).select(
         "category", F.col("top_sku_revenue").alias("top_sku_revenue_eur"), F.col("top_3_revenue").alias("top_3_revenue_eur")
     )
     joined = null_safe_join(with_totals(core, totals), spread, ["category"])
@@ -337,14 +379,16 @@ def star_products(items: DataFrame, n: int = 10) -> DataFrame:
         F.col(BASE).alias("base"),
         F.col(DISCOUNT).alias("discount"),
     )
+    # the products are chosen by their sums alone; only rows of the chosen ones are folded to orders and customers
+    theirs = null_safe_join(rows, F.broadcast(top_products(rows, "revenue", n)), ["product_name"], "left_semi")
     products = measure_rollup(
-        rows,
+        theirs,
         ["product_name"],
         {"revenue": "revenue", "units": "units", "base": "base", "discount": "discount"},
     )
     best = top_n(products, [F.desc("revenue"), F.asc_nulls_first("product_name")], n, "rank_no")
     # one brand per product; the smallest name where several occur
-    brands = rows.groupBy("product_name").agg(F.min("brand").alias("brand"))
+    brands = theirs.groupBy("product_name").agg(F.min("brand").alias("brand"))
     named = null_safe_join(best, brands, ["product_name"])
     total = rows.agg(F.sum("revenue").alias("total_revenue"))
     return (

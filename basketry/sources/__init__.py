@@ -13,6 +13,7 @@ from basketry.sources.sinks import (
     export_orders,
     export_pair_affinity,
     ordered_csv,
+    read_ordered,
     write_layout,
     write_table_layout,
 )
@@ -27,6 +28,7 @@ __all__ = [
     "export_pair_affinity",
     "ordered_csv",
     "read_item_logs",
+    "read_ordered",
     "read_promos",
     "read_purchase_logs",
     "write_layout",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +117,22 @@ def ordered_csv(df: DataFrame, path: str, order: Sequence[Column | str]) -> Data
     return out
 
 
+def read_ordered(spark: SparkSession, path: str, schema: T.StructType, position: str = "position") -> DataFrame:
+    """The rows of an ordered export with their place in it: files by name, then lines.
+
+    Nothing is gathered: a row's place is its place in the piece of a file that one task reads, plus the rows of the pieces
+    before. Only a row per piece (file name, first byte) is sorted in one place.
+    """
+    read = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    piece = [F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__byte")]
+    rows = read.select("*", *piece).withColumn("__id", F.monotonically_increasing_id())
+    pieces = rows.groupBy("__file", "__byte").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    earlier = W.orderBy("__file", "__byte").rowsBetween(W.unboundedPreceding, -1)
+    starts = pieces.withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    place = (F.col("__start") + F.col("__id") - F.col("__first") + 1).cast("long")
+    return rows.join(starts, ["__file", "__byte"]).select(*[f.name for f in schema.fields], place.alias(position))
+
+
 def export_orders(orders: DataFrame, path: str) -> DataFrame:
     return ordered_csv(orders.select(*ORDER_EXPORT), path, ["order_ts_utc", "order_sk"])
 

@@ -22,3 +22,12 @@ def timeline(seed: int, n: int = 600, keys: int = 5, hot: float = 0.4) -> list[t
 
 def rows(df, *order: str) -> list[tuple]:
     return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def partition_filters(df) -> str:
+    """What the first scan of the plan prunes partitions by; the text of long lists is cut."""
+    return plan(df).split("PartitionFilters: [")[1].split("PushedFilters")[0]

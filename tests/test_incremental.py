@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from basketry.config import Settings
 from basketry.operators.curation import curate_item_logs
+from basketry.operators import upsert as upsert_module
 from basketry.operators.upsert import RunLog, WatermarkStore, upsert, upsert_table
 from basketry.plans import core
 from basketry.streaming import curate_stream, curated_view
-from tests.helpers import at, rows
+from basketry.streaming.curate import EVENT_DAY, DayIndex, known_rows, merge_batch
+from tests.helpers import at, partition_filters, rows
 from tests.test_history import LOGS, log
 from verify.registry import warehouse
 
@@ -73,6 +75,71 @@ def test_a_replacement_that_stops_half_way_loses_nothing(spark, scratch):
     assert not os.path.exists(f"{path}__old") and not os.path.exists(f"{path}__next")
 
 
+def partitioned(spark, path):
+    """A table of four dates and an upsert that fills one, empties one, changes one and leaves one."""
+    d = lambda n: dt.date(2023, 1, n)
+    schema = "k long, v string, day date"
+    upsert_table(spark, path, spark.createDataFrame([(1, "a", d(1)), (2, "b", d(2)), (3, "c", d(3)), (5, "e", d(3)), (6, "f", d(6))], schema), ["k"], "day")
+    fresh = spark.createDataFrame([(1, "A", d(4)), (3, "C", d(3))], schema)
+    return fresh, [(1, "A", d(4)), (2, "b", d(2)), (3, "C", d(3)), (5, "e", d(3)), (6, "f", d(6))]
+
+
+@pytest.mark.parametrize("moves", [0, 1, 2])
+def test_a_partition_switch_that_stops_is_finished(spark, scratch, monkeypatch, moves):
+    path = f"{scratch}/s"
+    fresh, want = partitioned(spark, path)
+    done, plain = [], upsert_module.move_partition
+
+    def stopping(fs, staged, here):
+        if len(done) == moves:
+            fs.delete(here, True)  # after the delete, before the rename
+            raise RuntimeError("stopped")
+        done.append(here)
+        plain(fs, staged, here)
+
+    monkeypatch.setattr(upsert_module, "move_partition", stopping)
+    if moves < 2:
+        with pytest.raises(Exception, match="stopped"):
+            upsert_table(spark, path, fresh, ["k"], "day")
+    else:
+        upsert_table(spark, path, fresh, ["k"], "day")
+    monkeypatch.setattr(upsert_module, "move_partition", plain)
+    # nothing is lost whether the run is repeated or the table only read
+    assert upsert_module.table_exists(spark, path)
+    assert rows(spark.read.parquet(path).select("k", "v", "day"), "k") == want
+    assert rows(upsert_table(spark, path, fresh, ["k"], "day").select("k", "v", "day"), "k") == want
+    assert sorted(os.listdir(scratch)) == ["s"] and not os.path.exists(f"{path}/day=2023-01-01")
+
+
+def test_a_partition_switch_without_its_marker_is_undone(spark, scratch):
+    path = f"{scratch}/u"
+    fresh, want = partitioned(spark, path)
+    before = rows(spark.read.parquet(path).select("k", "v", "day"), "k")
+    upsert_module.stage_switch(spark, path, fresh, "day", [dt.date(2023, 1, 1)])
+    os.remove(f"{path}__switch/_READY")
+    assert upsert_module.table_exists(spark, path)
+    assert rows(spark.read.parquet(path).select("k", "v", "day"), "k") == before
+    assert rows(upsert_table(spark, path, fresh, ["k"], "day").select("k", "v", "day"), "k") == want
+
+
+def test_an_upsert_reads_only_the_partitions_it_is_told(spark, scratch):
+    path = f"{scratch}/p"
+    fresh, want = partitioned(spark, path)
+    stored = spark.read.parquet(path).where(upsert_module.in_partitions("day", [dt.date(2023, 1, 3), None]))
+    assert "day" in partition_filters(stored)
+    for name in os.listdir(f"{path}/day=2023-01-06"):
+        if name.endswith(".parquet"):
+            with open(f"{path}/day=2023-01-06/{name}", "wb") as f:
+                f.write(b"not parquet")  # would fail if it were read
+            crc = f"{path}/day=2023-01-06/.{name}.crc"
+            if os.path.exists(crc):
+                os.remove(crc)
+    schema = spark.createDataFrame([], "k long, v string, day date").schema
+    upsert_table(spark, path, fresh, ["k"], "day", stored_in=[dt.date(2023, 1, 1)])
+    got = spark.read.schema(schema).parquet(path).where("day < date'2023-01-06'")
+    assert rows(got.select("k", "v", "day"), "k") == want[:-1]
+
+
 def test_watermarks(spark, scratch):
     cfg = Settings()
     store = WatermarkStore(spark, f"{scratch}/w", cfg)
@@ -130,6 +197,41 @@ def test_stream_equals_batch_when_a_rival_moves_later(spark, scratch):
         assert rows(curated_view(spark, state).select(*columns), "log_item_id") == rows(batch.select(*columns), "log_item_id")
 
 
+def test_a_batch_reads_only_the_days_it_names(spark, scratch):
+    state = f"{scratch}/state"
+    merge_batch(spark, spark.createDataFrame([log(str(k), "i", f"2023-01-{k:02d}", 5) for k in range(1, 21)], LOGS), state)
+    index = DayIndex(spark, state)
+    ids = spark.createDataFrame([("3",), ("unknown",)], "log_item_id string")
+    assert index.days_of(ids) == [dt.date(2023, 1, 3)]
+    known = known_rows(spark.read.parquet(state), index.days_of(ids), ids)
+    assert EVENT_DAY in partition_filters(known) and known.count() == 1
+    # days that are not named may not even be readable
+    for day in ("2023-01-07", "2023-01-15"):
+        for name in os.listdir(f"{state}/{EVENT_DAY}={day}"):
+            if name.endswith(".parquet"):
+                os.replace(f"{state}/{EVENT_DAY}={day}/{name}", f"{scratch}/{day}-{name}")
+    merge_batch(spark, spark.createDataFrame([log("3", "i", "2023-01-09", 6), log("99", "j", "2023-01-10", 1)], LOGS), state, journal=f"{scratch}/journal")
+    got = spark.read.parquet(state)
+    assert {(r.log_item_id, str(r[EVENT_DAY])) for r in got.where("log_item_id in ('3', '99', '9')").collect()} == {("3", "2023-01-09"), ("99", "2023-01-10"), ("9", "2023-01-09")}
+    assert rows(spark.read.parquet(f"{scratch}/journal"), "item_key") == [("i",), ("j",)]
+    before = os.path.getmtime(f"{state}/{EVENT_DAY}=2023-01-10")
+    merge_batch(spark, spark.createDataFrame([log("99", "j", "2023-01-10", 1)], LOGS), state, journal=f"{scratch}/journal")
+    assert os.path.getmtime(f"{state}/{EVENT_DAY}=2023-01-10") == before
+
+
+def test_index_is_folded_and_may_name_old_days(spark, scratch, monkeypatch):
+    from basketry.streaming import curate
+
+    monkeypatch.setattr(curate, "INDEX_FILES", 1)
+    state = f"{scratch}/state"
+    for day in (1, 2, 3):
+        merge_batch(spark, spark.createDataFrame([log("a", "i", f"2023-01-0{day}", 5), log("b", "j", "2023-02-01", 5)], LOGS), state)
+    index = DayIndex(spark, state)
+    assert sorted(index.days_of(spark.createDataFrame([("a",)], "log_item_id string"))) == [dt.date(2023, 1, d) for d in (1, 2, 3)]
+    assert rows(spark.read.parquet(state).select("log_item_id", EVENT_DAY), "log_item_id") == [("a", dt.date(2023, 1, 3)), ("b", dt.date(2023, 2, 1))]
+    assert spark.read.parquet(index.path).count() == 4
+
+
 def test_incremental_runs_equal_full_refresh(spark, scratch):
     from basketry.plans.incremental import CoreTables
     from basketry.functions import parse_event_time

@@ -1,8 +1,9 @@
-"""Every registered query against its SQL statement on the smallest data set."""
+"""Every registered query of the core library against its SQL statement on the smallest data set."""
 
 import pytest
 
 import __spark_entry__ as driver
+from verify.catalog import ORACLE, QUERIES
 from verify.check import compare, oracle_connection
 
 SF = "/root/testdata/sf0.001"
@@ -13,11 +14,10 @@ def oracle():
     return oracle_connection(SF)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, oracle, name):
-    statement = driver.oracle_sql().get(name)
-    assert statement is not None
-    ok, note = compare(spark, oracle, name, SF, driver.queries()[name], statement)
+    assert name in driver.queries()
+    ok, note = compare(spark, oracle, name, SF, QUERIES[name], ORACLE[name])
     assert ok, note
 
 

@@ -4,17 +4,16 @@ from pyspark.sql import functions as F
 
 from basketry.operators import curation, pairs, temporal
 from basketry.operators.joins import with_totals
-from basketry.plans import reporting
+from basketry.operators.ranking import sizes
+from basketry.plans import dashboards, quality, reporting
+from basketry.sources import write_table_layout
+from tests.helpers import partition_filters, plan
 from verify import fixtures
 from verify.registry import warehouse
 
 SF = "/root/testdata/sf0.001"
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
 def test_dedupe_limits_groups_before_the_shuffle(spark):
     text = plan(curation.best_per_log(fixtures.event_item_logs(spark, SF)))
     assert text.count("WindowGroupLimit") == 2
@@ -55,3 +54,66 @@ def test_scan_reads_only_needed_columns_and_pushes_filters(spark):
     text = plan(df)
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in text
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in text
+
+
+def final_plan(df) -> str:
+    """The plan as it ran, with what adaptive execution reused."""
+    df.collect()
+    return plan(df)
+
+
+def test_reports_by_category_read_the_item_fact_twice(spark, scratch):
+    w = warehouse(spark, SF)
+    w["fct_order_item"].write.parquet(f"{scratch}/items")
+    items = spark.read.parquet(f"{scratch}/items")
+    stored = w["int_order_categories"]
+    for report in (reporting.category_monthly(items, w["fct_order"], stored), reporting.category_scorecard(items, stored)):
+        text = report._jdf.queryExecution().optimizedPlan().toString()
+        assert "Expand" not in text
+        ran = final_plan(report)
+        scans = [line for line in ran.split("Final Plan")[1].split("Initial Plan")[0].splitlines() if "FileScan" in line and "/items" in line]
+        assert len(scans) == 1, scans
+    once = reporting.order_categories(items, w["fct_order"])
+    assert final_plan(once).split("Initial Plan")[0].count(f"{scratch}/items") <= 1
+
+
+def test_distinct_counts_repeat_no_row_and_scan_once(spark, scratch):
+    spark.range(5000).selectExpr("id % 70 as a", "if(id % 11 = 0, null, id % 13) as b", "id % 3 = 0 as f").write.parquet(f"{scratch}/t")
+    rows = spark.read.parquet(f"{scratch}/t")
+    got = sizes(rows, "n", {"a_n": "a", "b_n": "b", "again": "a"}, {"flagged": F.col("f")})
+    want = rows.agg(F.count("*"), F.count_distinct("a"), F.count_distinct("b"), F.count_if("f")).first()
+    row = got.first()
+    assert (row["n"], row["a_n"], row["b_n"], row["flagged"]) == tuple(want) and row["again"] == row["a_n"]
+    assert "Expand" not in plan(got)
+    ran = final_plan(got)
+    assert "ReusedExchange" in ran or ran.split("Initial Plan")[0].count("FileScan") == 1
+    empty = sizes(rows.where("false"), "n", {"a_n": "a", "b_n": "b"}).first()
+    assert tuple(empty) == (0, 0, 0)
+
+
+def test_insights_read_the_latest_month_by_partition(spark, scratch):
+    w = warehouse(spark, SF)
+    orders = write_table_layout(w["fct_order"], f"{scratch}/orders", "fct_order")
+    items = write_table_layout(w["fct_order_item"], f"{scratch}/items", "fct_order_item")
+    for insight in (
+        dashboards.service_area_insight(orders), dashboards.items_prices_insight(items), dashboards.promo_uptake_insight(items),
+        dashboards.repeat_orders_insight(orders), dashboards.fees_insight(orders), dashboards.revenue_insight(orders),
+        dashboards.courier_insight(orders),
+    ):
+        assert "order_date" in partition_filters(insight)
+        assert insight.count() == 1
+
+
+def test_contracts_of_a_table_are_one_scan(spark, scratch):
+    spark.createDataFrame([(1, "a"), (1, None), (2, "b"), (None, None), (None, "c")], "k long, v string").write.parquet(f"{scratch}/c")
+    checks = [quality.Check("c", "k", "not_null"), quality.Check("c", "v", "not_null", "warn"), quality.Check("c", "k", "unique")]
+    report = quality.contract_report({"c": spark.read.parquet(f"{scratch}/c")}, checks)
+    assert plan(report).count("FileScan") == 1
+    assert {(r.column_name, r.check_kind): (r.failing_rows, r.status) for r in report.collect()} == {
+        ("k", "not_null"): (2, "fail"), ("v", "not_null"): (2, "warn"), ("k", "unique"): (1, "fail"),
+    }
+
+
+def test_the_control_board_reconciles_nothing_again(spark):
+    w = warehouse(spark, SF)
+    assert "total_basket_value" not in plan(w["aud_control_status"])

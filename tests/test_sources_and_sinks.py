@@ -38,6 +38,19 @@ def test_ordered_csv_is_sorted_across_files(spark, scratch):
     assert len(files) > 1 and values == list(range(5000))
 
 
+def test_places_in_an_export_are_read_from_its_files(spark, scratch):
+    df = spark.range(3000).select(F.pmod(F.col("id") * 7919, F.lit(3000)).alias("id"), F.lit("a b").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")  # several pieces per file
+    try:
+        out = sinks.ordered_csv(df, f"{scratch}/out", [F.desc("id")])
+        got = rows(sinks.read_ordered(spark, f"{scratch}/out", out.schema), "position")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(2999 - k, "a b", k + 1) for k in range(3000)]
+
+
 def test_layout_replaces_only_written_dates(spark, scratch):
     df = spark.range(100).select("id", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 3).cast("int")).alias("d"))
     sinks.write_layout(df, f"{scratch}/t", "d", ["id"])

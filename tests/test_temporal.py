@@ -2,11 +2,12 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.config import Settings
 from basketry.operators import temporal
 from basketry.plans.core import with_promo_key
-from tests.helpers import at, rows
+from tests.helpers import at, plan, rows
 
 HISTORY = (
     "item_key string, item_key_sk string, item_scd_sk string, log_item_id string, valid_from_utc timestamp, "
@@ -139,3 +140,34 @@ def test_many_equal_windows_stay_one_row(spark):
     df = spark.range(100_000).selectExpr("'a' as item_key", "date'2023-01-01' as promo_start_date", "date'2023-02-01' as promo_end_date", "'x' as promo_type", "5L as discount_pct")
     got = temporal.overlapping_windows(df, "item_key", "promo_start_date", "promo_end_date", ["promo_type", "discount_pct"])
     assert [tuple(r) for r in got.collect()] == [(*row, 100_000, 99_999)]
+
+
+def test_a_hot_item_and_day_is_dealt_to_several_tasks(spark):
+    cfg = Settings(rows_per_task=50)
+    segments = spark.createDataFrame(
+        [("hot", dt.date(2023, 5, 1), dt.date(2023, 6, 1), "p", "x", 10), ("b", dt.date(2023, 5, 1), dt.date(2023, 5, 2), "q", "y", 20)],
+        "item_key string, segment_from date, segment_to date, promo_sk string, promo_type string, discount_pct long",
+    )
+    facts = spark.range(1200).selectExpr(
+        "cast(id as string) as id", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then 'b' end as item_key",
+        "case when id % 3 = 0 then date'2023-05-10' else date_add(date'2023-05-01', cast(id % 40 as int)) end as order_date_berlin",
+    ).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = temporal.apply_promo_segments(facts, segments, cfg=cfg, strategy="asof")
+        tasks = got.where("item_key = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 1
+        broadcast = temporal.apply_promo_segments(facts, segments, cfg=cfg)
+        assert "BroadcastNestedLoopJoin" not in plan(got) and "CartesianProduct" not in plan(got)
+        assert rows(got, "id") == rows(broadcast, "id") and got.count() == 1200
+        assert got.where("promo_sk = 'p'").count() == 400
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_a_history_known_to_be_disjoint_is_not_checked(spark):
+    h = spark.createDataFrame([("i", "k", "v1", "1", at("2023-01-01"), at("2024-01-01"), None)], HISTORY)
+    facts = spark.createDataFrame([("a", "i", at("2023-02-01"))], "id string, item_key string, time_order_received_utc timestamp")
+    for strategy in ("asof", "counted"):
+        got = temporal.time_valid_join(facts, h, attributes=ATTRS, strategy=strategy, disjoint=True)
+        assert [r["item_scd_sk"] for r in got.collect()] == ["v1"]

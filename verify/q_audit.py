@@ -384,18 +384,6 @@ add("dq2_unique", lambda w, s, d: quality.unique(w["stg_item_logs"], "log_item_i
     "select log_item_id, count(*) as row_count from stg_logs group by all having count(*) > 1")
 add("dq3_relationship", lambda w, s, d: quality.relationship(w["dim_promo"], "item_key_sk", w["dim_item_current"], "item_key_sk").select("promo_sk", "item_key"),
     "select promo_sk, item_key from coverage where not found")
-add(
-    "dq3_contracts",
-    lambda w, s, d: quality.contract_report({
-        **{name: w[name] for name in ("dim_customer", "dim_item_current", "dim_item_history", "dim_promo", "fct_order", "fct_order_item")},
-        "dim_date": core.dim_date(s, "1995-01-01", "2001-12-31"),
-    }).where("failing_rows > 0"),
-    "select 'fct_order_item' as table_name, unnest(['item_key_sk', 'item_scd_sk']) as column_name, 'not_null' as check_kind, 'warn' as severity, "
-    "(select count(*) from items where item_scd_sk is null) as failing_rows, 'warn' as status union all "
-    "select 'dim_promo', 'promo_start_date', 'not_null', 'error', (select count(*) from promo_dim where s is null), 'fail' "
-    "where (select count(*) from promo_dim where s is null) > 0 union all "
-    "select 'dim_promo', 'item_key_sk', 'relationship', 'warn', (select count(*) from coverage where not found), 'warn' where (select count(*) from coverage where not found) > 0",
-)
 add("dq4_unmatched_items", lambda w, s, d: quality.unmatched_order_items(w["int_priced"]),
     f"select order_item_sk, purchase_key, item_key, {t('ts', 'time_order_received_utc')} from priced where item_scd_sk is null")
 add("dq5_revenue_vs_raw", lambda w, s, d: quality.revenue_reconciliation(w["raw_purchases"], w["fct_order"], w["fct_order_item"]), _RECON)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import curation, enrich, history, joins, pairs, staging, temporal, upsert
-from basketry.plans import core, quality
+from basketry.functions import parse_event_time
+from basketry.plans import core, incremental, quality
 from basketry.session import materialize, scratch_path
 from basketry.sources import raw as raw_feeds
 from basketry.sources import sinks
@@ -76,62 +77,6 @@ add(
 )
 
 
-def _export(function, table: str, columns: list[str]):
-    def run(w, s, d):
-        path = scratch_path(s, "export")
-        out = function(w[table], path)
-        return _read_back(s, path, out).select(*columns)
-
-    return run
-
-
-add(
-    "snk1_export_orders",
-    _export(sinks.export_orders, "fct_order", [
-        "order_sk", "order_ts_utc", "order_date", "order_hour_berlin", "order_day_name", "total_customer_paid_eur",
-        "total_units_in_order", "customer_order_number", "is_first_order_for_customer",
-    ]),
-    f"select order_sk, {t('ts', 'order_ts_utc')}, {t('order_date')}, hour(ts_local) as order_hour_berlin, "
-    f"dayname(order_date) as order_day_name, {n('paid', 'total_customer_paid_eur')}, {b('n_units', 'total_units_in_order')}, "
-    "seq as customer_order_number, is_first as is_first_order_for_customer from ords",
-)
-add(
-    "snk2_export_order_items",
-    _export(sinks.export_order_items, "fct_order_item", [
-        "order_item_sk", "item_key", "promo_sk", "units_in_order_item_row", "order_item_row_final_amount_gross_eur",
-        "item_name_preferred", "item_category",
-    ]),
-    f"select order_item_sk, item_key, promo_sk, units as units_in_order_item_row, "
-    f"{n('final', 'order_item_row_final_amount_gross_eur')}, item_name_preferred, item_category from items",
-)
-add(
-    "snk3_export_kpis",
-    _export(sinks.export_category_kpis, "rpt_kpi_long", ["order_month", "metric_name", "item_category", "metric_value"]),
-    f"select {t('mon', 'order_month')}, metric as metric_name, cat as item_category, {r('val', 'metric_value')} from kpi",
-)
-add(
-    "snk4_export_scorecard",
-    _export(sinks.export_category_scorecard, "rpt_category_scorecard", ["category", "units", "orders", "customers"]),
-    "select item_category as category, cast(sum(units) as bigint) as units, count(distinct order_sk) as orders, "
-    "count(distinct customer_sk) as customers from items group by all",
-)
-add(
-    "snk5_export_customer_promo",
-    _export(sinks.export_customer_promo, "rpt_customer_promo", [
-        "customer_sk", "customer_key", "promo_units_purchased", "non_promo_value_eur", "promo_only_customer_flag", "lifetime_orders",
-    ]),
-    f"select customer_sk, customer_key, {b('pu', 'promo_units_purchased')}, {n('nv', 'non_promo_value_eur')}, "
-    "only_p as promo_only_customer_flag, n as lifetime_orders from cust_promo",
-)
-add(
-    "snk6_export_pairs",
-    _export(sinks.export_pair_affinity, "rpt_product_pairs", ["product_a", "product_b", "pair_orders", "lift", "pattern"]),
-    f"select a as product_a, b as product_b, k as pair_orders, {r('lift')}, "
-    "case when cat_a = 'SMALL' and cat_b = 'SMALL' then 'Chip + Chip' "
-    "when (cat_a = 'SMALL' and cat_b = 'LARGE') or (cat_a = 'LARGE' and cat_b = 'SMALL') then 'Chip + Dip' "
-    "when cat_a in ('MEDIUM', 'PROMO') and cat_b in ('MEDIUM', 'PROMO') then 'Choc + Choc' "
-    "else 'Cross-category' end as pattern from prod_pairs",
-)
 add(
     "snk7_layout",
     lambda w, s, d: sinks.write_layout(
@@ -261,15 +206,15 @@ for strategy in ("broadcast", "asof"):
     add(
         f"jn2_time_valid_{strategy}",
         lambda w, s, d, strategy=strategy: core.order_items_with_price(
-            w["stg_order_items"], w["int_purchases"], w["int_item_scd2"], CFG, strategy
+            w["stg_order_items"], w["int_purchases"], w["int_item_scd2"], CFG, strategy, disjoint=True
         ).select(*PRICED),
         PRICED_SQL,
     )
 for strategy in ("broadcast", "asof"):
     add(
         f"jn3_promo_window_{strategy}",
-        lambda w, s, d, strategy=strategy: temporal.apply_promos(
-            w["int_priced"], core.with_promo_key(w["stg_promos"]), cfg=CFG, strategy=strategy
+        lambda w, s, d, strategy=strategy: temporal.apply_promo_segments(
+            w["int_priced"], w["int_promo_segments"], cfg=CFG, strategy=strategy
         ).select("order_item_sk", "promo_sk", "promo_type", "discount_pct"),
         f"select order_item_sk, promo_sk, promo_type, {b('pct', 'discount_pct')} from promoted",
     )
@@ -599,6 +544,66 @@ add(
 )
 
 
+# an incremental run over feeds of which a first run has seen a part: equal to one run over everything
+CORE_CUT = dt.datetime(1999, 3, 1)
+
+
+def _feeds(w) -> tuple[dict, dict]:
+    """(feeds of the first run, all): later rows are missing, and some old logs and promotions come late."""
+    feeds = {name: w[name] for name in ("raw_item_logs", "raw_promos", "raw_purchases", "raw_baskets")}
+    missing = lambda *cols: F.crc32(F.concat_ws("|", *cols).cast("binary")) % 3 != 0
+    before = lambda column: parse_event_time(column) < F.lit(CORE_CUT)
+    first = {
+        **feeds,
+        "raw_item_logs": feeds["raw_item_logs"].where(before("time_log_created_utc") & missing(F.col("log_item_id").cast("string"))),
+        "raw_promos": feeds["raw_promos"].where(missing(*feeds["raw_promos"].columns)),
+        "raw_purchases": feeds["raw_purchases"].where(before("time_order_received_utc")),
+    }
+    return first, feeds
+
+
+_runs: dict[tuple[str, str], incremental.CoreTables] = {}
+
+
+def _after_two_runs(w, s, d) -> incremental.CoreTables:
+    """Core tables after a first run and an incremental one; made once per Spark application and data folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _runs:
+        first, feeds = _feeds(w)
+        tables = incremental.CoreTables(s, scratch_path(s, "core"), CFG, grain="month")
+        tables.run(first, "r1", NOW)
+        tables.run(feeds, "r2", NOW)
+        _runs[key] = tables
+    return _runs[key]
+
+
+def _backfilled(w, s, d) -> DataFrame:
+    """A purchase feed that lacked old rows; a lookback deep enough takes them in."""
+    _, feeds = _feeds(w)
+    old = parse_event_time("time_order_received_utc") < F.lit(CORE_CUT)
+    some = F.crc32(F.col("purchase_key").cast("string").cast("binary")) % 20 != 0
+    tables = incremental.CoreTables(s, scratch_path(s, "core"), CFG, grain="month")
+    tables.run({**feeds, "raw_purchases": feeds["raw_purchases"].where(~old | some)}, "r1", NOW)
+    tables.run(feeds, "r2", NOW, lookback_days=365 * 30)
+    return tables.table("fct_order")
+
+
+def _refreshed(w, s, d) -> DataFrame:
+    """Tables that hold other rows, then a full refresh."""
+    first, feeds = _feeds(w)
+    tables = incremental.CoreTables(s, scratch_path(s, "core"), CFG, grain="month")
+    tables.run({**first, "raw_purchases": first["raw_purchases"].withColumn("customer_key", F.lit("other"))}, "r1", NOW)
+    tables.run(feeds, "r2", NOW, full_refresh=True)
+    return tables.table("dim_customer")
+
+
+add("wm5_incremental", lambda w, s, d: _after_two_runs(w, s, d).table("fct_order").select(*w["fct_order"].columns), ORDER_SQL)
+add("wm5_incremental_items", lambda w, s, d: _after_two_runs(w, s, d).fct_order_item(), ITEM_SQL)
+add("wm5_incremental_customers", lambda w, s, d: _after_two_runs(w, s, d).table("dim_customer"), CUSTOMER_SQL)
+add("wm5_backfill", lambda w, s, d: _backfilled(w, s, d).select(*w["fct_order"].columns), ORDER_SQL)
+add("wm5_full_refresh", _refreshed, CUSTOMER_SQL)
+
+
 def _run_log(w, s, d):
     log = upsert.RunLog(s, scratch_path(s, "runs"), CFG)
     log.ensure()

@@ -58,7 +58,7 @@ add(
 )
 add(
     "rpt1e_order_context",
-    lambda w, s, d: rpt.order_context(rows(w), w["fct_order"]),
+    lambda w, s, d: rpt.order_context(w["fct_order_item"], w["fct_order"]),
     f"select {t('mon', 'order_month')}, cat as item_category, first_n as distinct_customers_whose_first_order_included_category_in_month, "
     f"rep_cust as distinct_customers_with_repeat_orders_including_category_in_month, {r('dist', 'avg_delivery_distance_meters')}, "
     f"{r('ou', 'avg_order_units_for_orders_with_category')} from cat_month",
