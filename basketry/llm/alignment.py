@@ -25,7 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from basketry.llm.common import Stored, arrow_map, arrow_schema, record_batch, t
 from basketry.llm.packing import byte_letters
 
 HEAD = 1_000_000
-CHUNKS_KEPT, LONGEST_KEPT = 300_000, 64
+CHARS_KEPT = 4_000_000
 DOCUMENTS, TOGETHER = 64, 2000
 PAIRS_HELD = 2_000_000
 BLANK = "▁"
@@ -57,6 +57,38 @@ def refined(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return np.where(sound, ends, after)
 
 
+class Chunks:
+    """Alignments of chunks, numbered: their counts, groups and links in arrays that grow."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        self.groups: list[str] = []
+        # tokens of A and of B, groups, first link, links; minus one where the bytes differ
+        self.counts = np.zeros((1024, 5), np.int64)
+        self.links = np.zeros(4096, np.int64)
+        self.used = 0
+
+    def add(self, chunks: list[str], counts: np.ndarray, groups: list[str], links: np.ndarray) -> None:
+        """`counts` holds a row (tokens of A, of B, groups, links) per chunk."""
+        first = len(self.groups)
+        while first + len(chunks) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        while self.used + len(links) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        place = self.counts[first : first + len(chunks)]
+        place[:, :3], place[:, 4] = counts[:, :3], counts[:, 3]
+        place[:, 3] = self.used + np.cumsum(counts[:, 3]) - counts[:, 3]
+        self.links[self.used : self.used + len(links)] = links
+        self.used += len(links)
+        self.groups += groups
+        self.number.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.chars += sum(map(len, chunks))
+
+    def add_broken(self, chunk: str) -> None:
+        self.add([chunk], np.array([[-1, 0, 0, 0]]), [""], np.zeros(0, np.int64))
+
+
 class Aligner:
     """Ids, groups and links of texts."""
 
@@ -79,8 +111,9 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.width = len(pieces)
+        self.names = list(map(str, range(max(len(pieces), max(vocabulary.values(), default=0) + 1))))
         self.local = not any(BLANK in p.lstrip(BLANK) for p in pieces) and plain_byte_level(a)
-        self.chunks: dict[str, tuple | None] = {}
+        self.chunks = Chunks()
 
     def spans_a(self, text: str) -> tuple[list[int], np.ndarray] | None:
         """(ids, byte ends) of A's tokens of a blank and a text."""
@@ -107,8 +140,8 @@ class Aligner:
         spans[:1, 0] = 0
         return ids, refined(spans[:, 0], spans[:, 1], np.fromiter(map(len, raw), np.int64, len(raw)))
 
-    def align(self, chunks: list[str]) -> list[tuple] | None:
-        """(n_a, n_b, n_groups, links as codes, groups as text) of chunks encoded together; None if bytes differ or a token spans two."""
+    def align(self, chunks: list[str]) -> tuple[np.ndarray, list[str], np.ndarray] | None:
+        """(counts, groups as text, links as codes) of chunks encoded together; None if bytes differ or a token spans two."""
         text = " ".join(chunks)
         one, two = self.spans_a(text), self.spans_b(text)
         if one is None or two is None:
@@ -121,62 +154,62 @@ class Aligner:
         # every byte range between two cuts of either side is the overlap of one token of A and one of B
         cuts = np.union1d(a_end, b_end)
         links = np.array(a, np.int64)[np.searchsorted(a_end, cuts)] * self.width + np.array(b, np.int64)[np.searchsorted(b_end, cuts)]
-        a_name, b_name = list(map(str, a)), list(map(str, b))
+        a_name, b_name = [self.names[i] for i in a], [self.names[i] for i in b]
         groups, i, j = [], 0, 0
         for to_a, to_b in zip((np.searchsorted(a_end, common) + 1).tolist(), (np.searchsorted(b_end, common) + 1).tolist(), strict=True):
             groups.append(f"{a_name[i]}|{b_name[j]}" if to_a - i == to_b - j == 1 else ",".join(a_name[i:to_a]) + "|" + ",".join(b_name[j:to_b]))
             i, j = to_a, to_b
-        out, before = [], (0, 0, 0, 0)
-        for now in zip(*((np.searchsorted(x, ends) + 1).tolist() for x in (a_end, b_end, common, cuts)), strict=True):
-            out.append((now[0] - before[0], now[1] - before[1], now[2] - before[2], links[before[3] : now[3]].copy(), ";".join(groups[before[2] : now[2]])))
-            before = now
-        return out
-
-    def learn(self, chunks: list[str]) -> dict[str, tuple | None]:
-        """Alignments of chunks; short ones are remembered. Chunks that end in white space are encoded alone, others together."""
-        if len(self.chunks) + len(chunks) > CHUNKS_KEPT:
-            self.chunks.clear()
-        found: dict[str, tuple | None] = dict.fromkeys(c for c in chunks if BLANK in c)  # decodes to a blank, so bytes differ
-        rest = [c for c in chunks if BLANK not in c]
+        upto = np.stack([np.searchsorted(x, ends) + 1 for x in (a_end, b_end, common, cuts)], axis=1)
+        last = upto[:, 2].tolist()
+        return np.diff(upto, axis=0, prepend=0), [";".join(groups[s:e]) for s, e in zip([0, *last], last)], links
+
+    def learn(self, chunks: list[str]) -> None:
+        """Align new chunks; those that end in white space are encoded alone, others together."""
+        rest = []
+        for c in chunks:
+            if BLANK in c:
+                self.chunks.add_broken(c)  # decodes to a blank, so bytes differ
+            else:
+                rest.append(c)
         together = [c for c in rest if self.local and not (c[:1].isspace() or c[-1:].isspace())]
-        alone = set(rest).difference(together)
+        alone = list(set(rest).difference(together))
         for s in range(0, len(together), TOGETHER):
             some = together[s : s + TOGETHER]
             aligned = self.align(some)
             if aligned is None:
-                alone.update(some)
+                alone += some
             else:
-                found.update(zip(some, aligned, strict=True))
+                self.chunks.add(some, *aligned)
         for c in alone:
-            found[c] = (self.align([c]) or [None])[0]
-        self.chunks.update((c, x) for c, x in found.items() if len(c) <= LONGEST_KEPT)
-        return found
+            aligned = self.align([c])
+            if aligned is None:
+                self.chunks.add_broken(c)
+            else:
+                self.chunks.add([c], *aligned)
 
     def documents(self, texts: list[str]) -> Iterator[tuple | None]:
         """(n_a, n_b, n_groups, n_links, checksum of the groups, distinct links, how often) per text; None without tokens."""
+        if self.chunks.chars > CHARS_KEPT:
+            self.chunks = Chunks()
         orders = [(CUT.split(t) if self.local else [t]) if t else [] for t in texts]
-        every = list(set().union(*orders))
-        known = {c: self.chunks[c] for c in every if c in self.chunks}
-        known |= self.learn([c for c in every if c not in known])
-        number = {c: k for k, c in enumerate(every)}
-        none = (0, 0, 0, np.zeros(0, np.int64), "")
-        held = [known[c] or none for c in every]
-        bad = np.array([known[c] is None for c in every], bool)
-        n_a, n_b, n_groups = (np.array([x[k] for x in held], np.int64) for k in range(3))
-        flat = np.concatenate([none[3], *[x[3] for x in held]])
-        size = np.array([len(x[3]) for x in held], np.int64)
-        begin = np.cumsum(size) - size
-        for order in orders:
-            mine, times = np.unique(np.fromiter(map(number.__getitem__, order), np.int64, len(order)), return_counts=True)
-            if not order or bad[mine].any():
+        number = self.chunks.number
+        places = [np.fromiter(map(number.get, order, repeat(-1)), np.int64, len(order)) for order in orders]
+        new = {order[k] for order, place in zip(orders, places, strict=True) for k in np.flatnonzero(place < 0).tolist()}
+        self.learn(sorted(new))
+        counts, links, groups = self.chunks.counts, self.chunks.links, self.chunks.groups
+        for order, place in zip(orders, places, strict=True):
+            for k in np.flatnonzero(place < 0).tolist():
+                place[k] = number[order[k]]
+            mine, times = np.unique(place, return_counts=True)
+            n_a, n_b, n_groups, begin, n = counts[mine].T
+            if not order or (n_a < 0).any():
                 yield None
                 continue
-            n = size[mine]
-            links = flat[np.repeat(begin[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            pairs, place = np.unique(links, return_inverse=True)
-            often = np.bincount(place, np.repeat(times, n), len(pairs)).astype(np.int64)
-            groups = ";".join([known[c][4] for c in order])
-            yield int(times @ n_a[mine]), int(times @ n_b[mine]), int(times @ n_groups[mine]), int(times @ n), hashlib.sha256(groups.encode()).hexdigest(), pairs, often
+            every = links[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            pairs, where = np.unique(every, return_inverse=True)
+            often = np.bincount(where, np.repeat(times, n), len(pairs)).astype(np.int64)
+            text = ";".join([groups[k] for k in place.tolist()])
+            yield int(times @ n_a), int(times @ n_b), int(times @ n_groups), int(times @ n), hashlib.sha256(text.encode()).hexdigest(), pairs, often
 
 
 def plain_byte_level(path: str) -> bool:

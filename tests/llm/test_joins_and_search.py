@@ -194,7 +194,7 @@ def test_refined_spans():
 
 
 def test_remembered_chunks_do_not_change_a_document(monkeypatch):
-    monkeypatch.setattr(alignment, "CHUNKS_KEPT", 5)
+    monkeypatch.setattr(alignment, "CHARS_KEPT", 5)
     small, plain = alignment.Aligner(A, B), alignment.Aligner(A, B)
     plain.local = False
     texts = ["one two three four five six seven one two", "two three eight nine ten eleven", "one  two", "", "▁ one"]
