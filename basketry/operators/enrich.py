@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketry.config import Settings
 from basketry.functions import sum_where, surrogate_key
 from basketry.functions.scalars import MONEY
-from basketry.operators.timeline import split_row_number
+from basketry.operators.timeline import busy_spots, split_row_number
 
 
 def decompose_amounts(df: DataFrame) -> DataFrame:
@@ -74,11 +74,11 @@ def order_item_rollup(promoted: DataFrame) -> DataFrame:
     )
 
 
-def customer_sequence(orders: DataFrame, unit: str = "hour") -> DataFrame:
-    """Running order number per customer by time, then purchase key."""
-    return split_row_number(
-        orders, ["customer_sk"], "time_order_received_utc", ["purchase_key"], "customer_order_number", unit
-    )
+def customer_sequence(orders: DataFrame, unit: str = "hour", rows_per_task: int = 1_000_000) -> DataFrame:
+    """Running order number per customer by time, then purchase key; orders without a customer are one customer's."""
+    keys, ts = ["customer_sk"], "time_order_received_utc"
+    busy = busy_spots(orders, keys, ts, unit, rows_per_task)
+    return split_row_number(orders, keys, ts, ["purchase_key"], "customer_order_number", unit, busy)
 
 
 def orders_with_rollups(purchases: DataFrame, promoted: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -90,7 +90,7 @@ def orders_with_rollups(purchases: DataFrame, promoted: DataFrame, cfg: Settings
         "promo_order_item_rows_in_order",
         "promo_units_in_order",
     ]
-    sequenced = customer_sequence(order_totals(purchases), cfg.split_unit)
+    sequenced = customer_sequence(order_totals(purchases), cfg.split_unit, cfg.rows_per_task)
     joined = sequenced.join(rollup, "order_sk", "left")
     return joined.select(
         *[c for c in sequenced.columns if c != "customer_order_number"],

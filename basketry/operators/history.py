@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from basketry.config import OPEN_END
 from basketry.functions import surrogate_key
 from basketry.functions.scalars import utc_text
-from basketry.operators.timeline import split_neighbours
+from basketry.operators.timeline import busy_spots, split_neighbours
 
 # Attributes whose change starts a version, and the columns of the history.
 TRACKED = (
@@ -46,12 +46,12 @@ def state_hash(columns: Sequence[str] = TRACKED) -> Column:
 
 
 def with_previous_state(
-    df: DataFrame, key: str, ts: str, ties: Sequence[str], tracked: Sequence[str], unit: str = "hour"
+    df: DataFrame, key: str, ts: str, ties: Sequence[str], tracked: Sequence[str], unit: str = "hour", busy: DataFrame | None = None
 ) -> DataFrame:
     """Adds `attribute_state_hash` and the hash of the row before it on the same timeline."""
     hashed = df.withColumn("attribute_state_hash", state_hash(tracked))
     return split_neighbours(
-        hashed, [key], ts, ties, lags={"previous_attribute_state_hash": "attribute_state_hash"}, unit=unit
+        hashed, [key], ts, ties, lags={"previous_attribute_state_hash": "attribute_state_hash"}, unit=unit, busy=busy
     )
 
 
@@ -62,10 +62,10 @@ def change_events(with_state: DataFrame) -> DataFrame:
 
 
 def validity_windows(
-    events: DataFrame, key: str, ts: str, ties: Sequence[str], unit: str = "hour"
+    events: DataFrame, key: str, ts: str, ties: Sequence[str], unit: str = "hour", busy: DataFrame | None = None
 ) -> DataFrame:
     """Adds [valid_from_utc, valid_to_utc) and is_current; the last version stays open."""
-    nexted = split_neighbours(events, [key], ts, ties, leads={"__next_from": ts}, unit=unit)
+    nexted = split_neighbours(events, [key], ts, ties, leads={"__next_from": ts}, unit=unit, busy=busy)
     return (
         nexted.withColumn("valid_from_utc", F.col(ts))
         .withColumn("valid_to_utc", F.coalesce("__next_from", open_end()))
@@ -74,12 +74,13 @@ def validity_windows(
     )
 
 
-def item_scd2(curated: DataFrame, unit: str = "hour") -> DataFrame:
+def item_scd2(curated: DataFrame, unit: str = "hour", rows_per_task: int = 1_000_000) -> DataFrame:
     """Item versions from the curated item-log stream."""
     events = curated.withColumn("item_key_sk", surrogate_key("item_key"))
     ts, ties = "time_log_created_utc", ["log_item_id"]
-    changed = change_events(with_previous_state(events, "item_key_sk", ts, ties, TRACKED, unit))
-    versions = validity_windows(changed, "item_key_sk", ts, ties, unit)
+    busy = busy_spots(events, ["item_key_sk"], ts, unit, rows_per_task)
+    changed = change_events(with_previous_state(events, "item_key_sk", ts, ties, TRACKED, unit, busy))
+    versions = validity_windows(changed, "item_key_sk", ts, ties, unit, busy)
     return versions.withColumn(
         "item_scd_sk", surrogate_key(F.col("item_key"), utc_text(ts), F.col("log_item_id"))
     ).select(*HISTORY_COLUMNS)

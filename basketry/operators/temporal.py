@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.config import Settings
-from basketry.operators.timeline import as_of, split_neighbours
+from basketry.operators.timeline import as_of, busy_spots, split_neighbours
 from basketry.session import materialize
 
 VERSION_ATTRIBUTES = (
@@ -111,7 +111,8 @@ def interval_lookup(
         hit = (F.col(key) == F.col("__key")) & (F.col(at) >= F.col("__from")) & (F.col(at) < F.col("__to"))
         return facts.join(F.broadcast(side), hit, "left").drop("__key", "__from", "__to")
     carried = list(dict.fromkeys([*attributes, valid_to]))
-    matched = as_of(facts, windows, key, at, valid_from, rank, carried, cfg.split_unit)
+    busy = busy_spots(facts, [key], at, cfg.split_unit, cfg.rows_per_task)
+    matched = as_of(facts, windows, key, at, valid_from, rank, carried, cfg.split_unit, busy=busy)
     inside = F.when(F.col(at) < F.col("__version")[valid_to], F.col("__version"))
     return matched.withColumn("__version", inside).select(
         *facts.columns, *[F.col("__version")[a].alias(a) for a in attributes]

@@ -5,6 +5,9 @@ rows are sorted and numbered inside a bucket, and what a bucket needs from its n
 last row, the next row) is carried through a small table with one row per key and bucket. Results equal the
 plain window exactly; a key holding a third of all rows is spread over as many tasks as it has buckets.
 
+A bucket is an hour (or another unit). Where one key has more rows in one bucket than a task should hold, `busy_spots` finds
+these spots first, and they are cut into seconds; every function takes them. Only rows of one key at one second stay together.
+
 Keys and the time column must not be null (use surrogate keys).
 """
 
@@ -16,19 +19,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from basketry.session import materialize
+
 BUCKET = "__bucket"
+FINE = "second"
+# as many busy spots are sent to all tasks at most
+MOST_SPOTS = 10_000
+
 
+def busy_spots(df: DataFrame, keys: Sequence[str], ts: str, unit: str = "hour", rows_per_task: int = 1_000_000) -> DataFrame | None:
+    """(keys, bucket) with more rows than a task should hold; None if there are none.
+
+    Rows are counted per key and bucket, added up before the shuffle. The limit grows with the table, so that there are fewer than
+    `MOST_SPOTS` of them, whatever its size.
+    """
+    counts = df.groupBy(*keys, F.date_trunc(unit, F.col(ts)).alias(BUCKET)).agg(F.count(F.lit(1)).alias("__n"))
+    total, most = counts.agg(F.sum("__n"), F.max("__n")).first()
+    limit = max(rows_per_task, (total or 0) // MOST_SPOTS + 1)
+    if (most or 0) <= limit:
+        return None
+    return materialize(counts.where(F.col("__n") > limit).select(*keys, BUCKET), "busy-spots")
 
-def _with_bucket(df: DataFrame, ts: str, unit: str) -> DataFrame:
-    return df.withColumn(BUCKET, F.date_trunc(unit, F.col(ts)))
+
+def _with_bucket(
+    df: DataFrame, ts: str, unit: str, keys: Sequence[str] = (), busy: DataFrame | None = None, spot_keys: Sequence[str] | None = None
+) -> DataFrame:
+    """Adds the bucket of each row: the start of its unit, or of its second where the spot is busy.
+
+    `spot_keys` names the key columns of `busy` where they differ.
+    """
+    coarse = F.date_trunc(unit, F.col(ts))
+    if busy is None:
+        return df.withColumn(BUCKET, coarse)
+    names = spot_keys or keys
+    spots = busy.select(*[F.col(n).alias(f"__s{k}") for k, n in enumerate(names)], F.col(BUCKET).alias("__spot"))
+    hit = F.col("__spot") == coarse
+    for k, key in enumerate(keys):
+        hit = hit & (F.col(key) == F.col(f"__s{k}"))
+    fine = F.when(F.col("__spot").isNotNull(), F.date_trunc(FINE, F.col(ts))).otherwise(coarse)
+    joined = df.join(F.broadcast(spots), hit, "left").withColumn(BUCKET, fine)
+    return joined.drop("__spot", *[f"__s{k}" for k in range(len(names))])
 
 
 def split_row_number(
-    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], out: str, unit: str = "hour"
+    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], out: str, unit: str = "hour", busy: DataFrame | None = None
 ) -> DataFrame:
     """`row_number()` per key ordered by (ts, ties)."""
     spot = [*keys, BUCKET]
-    rows = _with_bucket(df, ts, unit)
+    rows = _with_bucket(df, ts, unit, keys, busy)
     earlier = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*spot)
@@ -53,6 +91,7 @@ def split_neighbours(
     leads: Mapping[str, Column | str] | None = None,
     unit: str = "hour",
     number: str | None = None,
+    busy: DataFrame | None = None,
 ) -> DataFrame:
     """`lag` / `lead` by one row per key ordered by (ts, ties); new columns are named by the mappings.
 
@@ -65,7 +104,7 @@ def split_neighbours(
     def pack(cols: Mapping[str, Column | str]) -> Column:
         return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in cols.items()])
 
-    rows = _with_bucket(df, ts, unit)
+    bucketed = rows = _with_bucket(df, ts, unit, keys, busy)
     local = W.partitionBy(*spot).orderBy(ts, *ties)
     across = W.partitionBy(*keys).orderBy(BUCKET)
     edge_aggs, edge_cols = [], []
@@ -82,7 +121,7 @@ def split_neighbours(
         edge_aggs.append(F.count(F.lit(1)).alias("__n"))
         earlier = across.rowsBetween(W.unboundedPreceding, -1)
         edge_cols.append(F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    edges = _with_bucket(df, ts, unit).groupBy(*spot).agg(*edge_aggs).select(*spot, *edge_cols)
+    edges = bucketed.groupBy(*spot).agg(*edge_aggs).select(*spot, *edge_cols)
     joined = rows.join(edges, spot)
     # a whole struct is null only when there is no neighbour inside the bucket
     for name in lags:
@@ -104,6 +143,7 @@ def as_of(
     attributes: Sequence[str],
     unit: str = "hour",
     version_key: str | None = None,
+    busy: DataFrame | None = None,
 ) -> DataFrame:
     """For every fact the latest version with `valid_from <= ts` of its key; null struct if there is none.
 
@@ -117,12 +157,13 @@ def as_of(
     version = F.struct(*[F.col(a) for a in attributes])
     ranking = F.struct(F.col(valid_from), *rank)
     clean = versions.where(F.col(owner).isNotNull() & F.col(valid_from).isNotNull())
-    vers = clean.select(
+    vers = _with_bucket(clean, valid_from, unit, [owner], busy, [key]).select(
         F.col(owner).alias("__key"),
-        F.date_trunc(unit, F.col(valid_from)).alias(BUCKET),
+        BUCKET,
         F.struct(ranking.alias("rank"), version.alias("version")).alias("__v"),
     )
-    spots = facts.select(F.col(key).alias("__key"), F.date_trunc(unit, F.col(ts)).alias(BUCKET))
+    placed = _with_bucket(facts.withColumn("__fact", payload), ts, unit, [key], busy)
+    spots = placed.select(F.col(key).alias("__key"), BUCKET)
     earlier = W.partitionBy("__key").orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     seeds = (
         spots.distinct()
@@ -136,12 +177,12 @@ def as_of(
     when = facts.schema[ts].dataType
     nothing = F.lit(None).cast(facts.select(payload.alias("p")).schema["p"].dataType)
     stream = (
-        facts.select(
+        placed.select(
             F.col(key).alias("__key"),
-            F.date_trunc(unit, F.col(ts)).alias(BUCKET),
+            BUCKET,
             F.col(ts).alias("__t"),
             F.lit(2).alias("__side"),
-            payload.alias("__fact"),
+            "__fact",
             F.lit(None).cast(vers.schema["__v"].dataType).alias("__v"),
         )
         .unionByName(

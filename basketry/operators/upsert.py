@@ -76,11 +76,23 @@ def replace_table(spark: SparkSession, path: str, df: DataFrame, partition: str
     """Write a new version next to the table, then switch by renaming; a stop at any point leaves one complete version."""
     writer = df.hint("rebalance", partition).write.partitionBy(partition) if partition else df.write
     writer.mode("overwrite").parquet(path + NEXT)
+    take_place(spark, path)
+
+
+def drop_staged(spark: SparkSession, path: str) -> None:
+    """Remove an incomplete version that a stopped write left beside a table."""
+    fs, new = _hadoop_path(spark, path + NEXT)
+    fs.delete(new, True)
+
+
+def take_place(spark: SparkSession, path: str) -> None:
+    """The version written beside a table becomes the table, whether there was one before or not."""
     fs, here = _hadoop_path(spark, path)
     _, new = _hadoop_path(spark, path + NEXT)
     _, old = _hadoop_path(spark, path + OLD)
     fs.delete(old, True)
-    fs.rename(here, old)
+    if fs.exists(here):
+        fs.rename(here, old)
     fs.rename(new, here)
     fs.delete(old, True)
 

@@ -7,13 +7,14 @@ plans of its readers short and lets a lost executor recompute only the last step
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from basketry.config import Settings
 from basketry.operators import curation, enrich, history, staging
+from basketry.operators.upsert import NEXT, drop_staged, recover, take_place
 from basketry.plans import audit, core, reporting
 from basketry.session import materialize, scratch_path
 from basketry.sources.sinks import LAYOUTS, write_table_layout
@@ -21,6 +22,17 @@ from basketry.sources.sinks import LAYOUTS, write_table_layout
 RAW = ("raw_item_logs", "raw_promos", "raw_purchases", "raw_baskets")
 
 
+# the tables that readers outside the build use
+MARTS = (
+    "fct_order", "fct_order_item", "dim_item_history", "dim_item_current", "dim_promo", "dim_customer", "rpt_category_monthly",
+    "rpt_kpi_long", "rpt_kpi_mom", "rpt_category_scorecard", "rpt_star_products", "rpt_daypart", "rpt_category_pairs",
+    "rpt_product_pairs", "rpt_customer_promo", "rpt_multi_category_items", "aud_item_log_curation", "aud_item_log_curation_summary",
+    "aud_order_item_match", "aud_order_item_match_summary", "aud_promo_coverage", "aud_promo_coverage_summary", "aud_promo_anomaly",
+    "aud_promo_anomaly_summary", "aud_price_anomaly", "aud_price_anomaly_summary", "aud_row_flow", "aud_row_flow_summary",
+    "aud_issue_details", "aud_control_status",
+)
+
+
 @dataclass(frozen=True)
 class Model:
     name: str
@@ -59,7 +71,7 @@ def models(cfg: Settings, run_ts: dt.datetime) -> list[Model]:
         m("stg_order_items", "raw_baskets", staging.explode_basket, True),
         m("int_item_logs", "stg_item_logs", lambda s: curation.curate_item_logs(s, cfg), True),
         m("int_purchases", "stg_purchases", lambda s: curation.curate_purchases(s, cfg), True),
-        m("int_item_scd2", "int_item_logs", lambda c: history.item_scd2(c, cfg.split_unit), True),
+        m("int_item_scd2", "int_item_logs", lambda c: history.item_scd2(c, cfg.split_unit, cfg.rows_per_task), True),
         m("int_priced", "stg_order_items int_purchases int_item_scd2",
           lambda i, p, h: core.order_items_with_price(i, p, h, cfg, disjoint=True)),
         m("int_promo_segments", "stg_promos", core.keyed_promo_segments, True),
@@ -106,9 +118,13 @@ class Warehouse(Mapping):
     """Tables by name, made when first asked for from the raw feeds."""
 
     def __init__(self, raw: Mapping[str, DataFrame], cfg: Settings = Settings(),
-                 run_ts: dt.datetime = dt.datetime(2024, 1, 1), layout: bool = False):
-        """With `layout` stored tables are partitioned by date as declared in `LAYOUTS`."""
-        self._layout = layout
+                 run_ts: dt.datetime = dt.datetime(2024, 1, 1), layout: bool = False, root: str | None = None):
+        """With `layout` stored tables are partitioned by date as declared in `LAYOUTS`.
+
+        With `root` they are published as `root/<name>`, each replaced as a whole once its new version is complete; without it
+        they lie in the session's scratch folder under names of their own.
+        """
+        self._layout, self._root = layout, root
         self._models = {m.name: m for m in models(cfg, run_ts)}
         self._made: dict[str, DataFrame] = dict(raw)
         self._raw = tuple(raw)
@@ -117,14 +133,35 @@ class Warehouse(Mapping):
         if name not in self._made:
             model = self._models[name]
             df = model.make(*[self[i] for i in model.inputs])
-            if not model.stored:
-                self._made[name] = df
-            elif self._layout and name in LAYOUTS:
-                self._made[name] = write_table_layout(df, scratch_path(df.sparkSession, name), name)
-            else:
-                self._made[name] = materialize(df, name)
+            self._made[name] = self._store(name, df) if model.stored else df
         return self._made[name]
 
+    def _store(self, name: str, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        dated = self._layout and name in LAYOUTS
+        if self._root is None:
+            return write_table_layout(df, scratch_path(spark, name), name) if dated else materialize(df, name)
+        path = f"{self._root}/{name}"
+        recover(spark, path)
+        drop_staged(spark, path)
+        if dated:
+            written = write_table_layout(df, path + NEXT, name)
+        else:
+            df.write.mode("overwrite").parquet(path + NEXT)
+            written = df
+        take_place(spark, path)
+        return spark.read.schema(written.schema).parquet(path).select(*df.columns)
+
+    def publish(self, names: Sequence[str] = MARTS) -> None:
+        """Write marts below `root`, those that are views as well, so that they can be read without this library."""
+        if self._root is None:
+            raise ValueError("a warehouse without a root has no place to publish to")
+        for name in names:
+            if not self._models[name].stored:
+                self._made[name] = self._store(name, self[name])
+            else:
+                self[name]
+
     def __iter__(self):
         return iter((*self._raw, *self._models))
 

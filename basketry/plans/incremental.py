@@ -18,15 +18,15 @@ from basketry.operators.history import item_scd2
 from basketry.operators.joins import restrict_to_keys
 from basketry.operators.staging import explode_basket, stage_item_logs, stage_promos, stage_purchase_logs
 from basketry.operators.temporal import disjoint_windows, interval_lookup
-from basketry.operators.timeline import split_row_number
+from basketry.operators.timeline import busy_spots, split_row_number
 from basketry.operators.upsert import RunLog, WatermarkStore, drop_table, in_partitions, replace_table, table_exists, upsert, upsert_table
-from basketry.plans import core
+from basketry.plans import core, reporting
 from basketry.session import materialize
 from basketry.streaming.curate import EVENT_DAY, curated_rows, merge_batch
 
 PARTITION = "part_date"
 # tables of a run, in the order of the run log
-MODELS = ("int_purchases", "int_item_logs", "int_promoted", "fct_order", "dim_customer", "dim_item_current", "dim_promo")
+MODELS = ("int_purchases", "int_item_logs", "int_promoted", "fct_order", "dim_customer", "dim_item_current", "dim_promo", "rpt_category_monthly", "rpt_customer_promo")
 
 
 class CoreTables:
@@ -40,6 +40,7 @@ class CoreTables:
       the partitions of the stored lines that are looked at.
     * Orders of these purchases are built from their lines. Later orders of their customers only get a new number, counted on
       from the orders before them, so a customer with very many orders, or all orders without a customer, is not restated whole.
+    * The monthly category report is made anew for the months of these orders, the promotion behaviour for their customers.
     * What a table writes is limited to the partitions that hold or receive these rows.
 
     A deeper backfill is a larger `lookback_days`; `full_refresh` drops the tables first. `grain` is the partition grain of the dated
@@ -167,7 +168,8 @@ class CoreTables:
         held = path.where(from_first).drop(PARTITION).join(since, "customer_sk").where("order_ts_utc >= since").join(keys, "order_sk", "left_anti")
         unnumbered = [c for c in columns if c not in (number, is_first)]
         later = fresh.where(renumber).select(*unnumbered).unionByName(held.select(*unnumbered))
-        ordered = split_row_number(later, ["customer_sk"], "order_ts_utc", ["purchase_key"], "place", self.cfg.split_unit)
+        busy = busy_spots(later, ["customer_sk"], "order_ts_utc", self.cfg.split_unit, self.cfg.rows_per_task)
+        ordered = split_row_number(later, ["customer_sk"], "order_ts_utc", ["purchase_key"], "place", self.cfg.split_unit, busy)
         earlier = path.select("order_sk", *place).join(since, "customer_sk").where("order_ts_utc < since").join(moved.select("order_sk"), "order_sk", "left_anti")
         offsets = earlier.groupBy("customer_sk").agg(F.count(F.lit(1)).alias("offset"))
         numbered = ordered.join(offsets, "customer_sk", "left").withColumn(number, F.col("place") + F.coalesce("offset", F.lit(0)))
@@ -175,6 +177,23 @@ class CoreTables:
         both = numbered.select(*unnumbered, number).unionByName(same.select(*unnumbered, number))
         return both.withColumn(is_first, F.col(number) == 1).select(*columns)
 
+    # ----------------------------------------------------------------------------------------------- reports
+
+    def _in_months(self, name: str, months: list) -> DataFrame:
+        return self.spark.read.parquet(self.path(name)).where(F.trunc(PARTITION, "month").isin(months)).drop(PARTITION)
+
+    def _reports(self, months: list, buyers: DataFrame) -> None:
+        """Category rows of the given months and promotion behaviour of the given customers, made anew from the facts."""
+        if months:
+            items = core.fct_order_item(self._in_months("int_promoted", months))
+            rows = reporting.category_monthly(items, self._in_months("fct_order", months))
+            # a category may have left a month: all rows of the month are replaced
+            gone = self.spark.createDataFrame([(m,) for m in months], "order_month date")
+            upsert_table(self.spark, self.path("rpt_category_monthly"), rows, ["order_month"], "order_month", gone=gone, stored_in=months)
+        items = core.fct_order_item(restrict_to_keys(self.table("int_promoted"), buyers, "customer_sk"))
+        behaviour = reporting.customer_promo_behavior(items, restrict_to_keys(self.table("fct_order"), buyers, "customer_sk"))
+        self._merge("rpt_customer_promo", behaviour, ["customer_sk"], buyers)
+
     # --------------------------------------------------------------------------------------------------- run
 
     def run(
@@ -206,7 +225,7 @@ class CoreTables:
             items = materialize(changed.distinct().withColumn("item_key_sk", surrogate_key("item_key")), "changed-items")
             state = restrict_to_keys(state, items.select("item_key_sk"), "item_key_sk")
         curated = materialize(curated_rows(state.drop("item_key_sk")), "curated-logs")
-        changed_history = materialize(item_scd2(curated, cfg.split_unit), "changed-history")
+        changed_history = materialize(item_scd2(curated, cfg.split_unit, cfg.rows_per_task), "changed-history")
         history = changed_history
         if items is not None:
             history = materialize(upsert(self.table("int_item_scd2"), changed_history, ["item_key_sk"], gone=items), "history")
@@ -252,11 +271,13 @@ class CoreTables:
         if known is not None:
             buyers = buyers.unionByName(known.select(surrogate_key("customer_key").alias("customer_sk")))
         buyers = materialize(buyers.distinct(), "buyers")
-        self._merge_dated("fct_order", orders, ["order_sk"], "order_date", [*local, *self._dates(orders, "order_date")], keys)
+        restated = [*local, *self._dates(orders, "order_date")]
+        self._merge_dated("fct_order", orders, ["order_sk"], "order_date", restated, keys)
         customers = core.dim_customer(restrict_to_keys(self.table("fct_order"), buyers, "customer_sk"))
         self._merge("dim_customer", customers, ["customer_sk"], buyers)
         self._merge("dim_item_current", core.dim_item_current(changed_history), ["item_key_sk"], items)
         self._merge("dim_promo", core.dim_promo(stage_promos(raw["raw_promos"])), ["promo_sk"])
+        self._reports(sorted({d.replace(day=1) for d in restated}), buyers)
 
         self._merge_dated("int_purchases", fresh, ["purchase_key"], "order_date_utc", held("order_date_utc"))
         self._replace("int_item_scd2", history)

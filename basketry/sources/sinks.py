@@ -113,7 +113,9 @@ def ordered_csv(df: DataFrame, path: str, order: Sequence[Column | str]) -> Data
     The sort is a range shuffle, so every task writes its own slice; nothing is funnelled into one file.
     """
     out = df.orderBy(*order)
-    out.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    # blanks are part of a value; the writer would cut them off
+    writer = out.write.mode("overwrite").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return out
 
 

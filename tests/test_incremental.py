@@ -249,12 +249,12 @@ def test_incremental_runs_equal_full_refresh(spark, scratch):
     tables = CoreTables(spark, f"{scratch}/core", grain="month")
     tables.run(early, "r1", NOW)
     tables.run(feeds, "r2", NOW)
-    for name in ("fct_order", "dim_customer", "dim_item_current", "dim_promo"):
+    for name in ("fct_order", "dim_customer", "dim_item_current", "dim_promo", "rpt_category_monthly", "rpt_customer_promo"):
         got, want = tables.table(name), w[name]
         assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0, name
     lines = tables.fct_order_item()
     assert lines.count() == w["fct_order_item"].count() and lines.exceptAll(w["fct_order_item"].select(*lines.columns)).count() == 0
     assert tables.watermarks.get("fct_order") == w["fct_order"].agg(F.max("order_ts_utc")).first()[0]
-    assert tables.runs.table().where("run_id = 'r2'").count() == 7
+    assert tables.runs.table().where("run_id = 'r2'").count() == 9
     tables.run(early, "r3", NOW, full_refresh=True)
     assert tables.table("fct_order").count() == w["fct_order"].where(F.col("order_ts_utc") < cut).count()
