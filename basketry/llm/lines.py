@@ -16,7 +16,7 @@ text; rows without an id are left alone; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import Stored, free_name, texts
@@ -61,14 +61,21 @@ def later_copies(base: DataFrame, min_lines: int = MIN_LINES, long_line: int = L
     return lines.df.join(gone.distinct(), PLACE).select(*PLACE, "pos")
 
 
+def text_without(gone: str) -> Column:
+    """The text without the lines at the places `gone`; linear in the lines, as the text is split once and not again inside a lambda."""
+    parts = F.split("text", "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    bound = F.array(F.struct(parts.alias("lines"), stay.alias("stay")))
+    left = F.transform(bound, lambda b: F.array_join(F.transform(b["stay"], lambda p: F.element_at(b["lines"], p + 1)), "\n"))
+    return F.when(F.col(gone).isNull(), F.col("text")).otherwise(left[0])
+
+
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
     """(doc_id, th, text, kept_text, n_lines, n_removed, n_runs) per row."""
     base = texts(docs)
     gone = later_copies(base, min_lines, long_line)
     per_doc = gone.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("gone"), F.sort_array(F.collect_list("seq")).alias("seqs"))
-    lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda p: F.element_at(lines, p + 1)), "\n"))
+    lines, kept = F.split("text", "\n", -1), text_without("gone")
     # a run begins where the line before is kept
     begins = F.size(F.array_except(F.col("seqs"), F.transform("seqs", lambda s: s + 1)))
     return base.join(per_doc, ["doc_id", "th"], "left").select(
@@ -88,9 +95,7 @@ def clean(docs: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LIN
     key = free_name(docs, "_doc_id")
     hashed = docs.withColumn(th, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     both = hashed.join(found.withColumnRenamed(th, th + "2"), (F.col("doc_id") == F.col(key)) & (F.col(th) == F.col(th + "2")), "left")
-    lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda p: F.element_at(lines, p + 1)), "\n"))
+    kept = text_without(gone)
     new = free_name(docs, "_new")
     both = both.withColumn(new, kept)  # in a step of its own: an alias `text` beside it would be read inside the lambda
     touched = F.col(gone).isNotNull()

@@ -1,6 +1,7 @@
 """Byte, word, line and near-duplicate operators against brute force on messy rows."""
 
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -107,6 +108,19 @@ def test_near_duplicates_in_a_template_family(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == root
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    """A text of 40,000 lines is split once, not once per line kept; only its copied block of lines goes."""
+    own = [f"line {k} of the long text" for k in range(40_000)]
+    block = [f"shared line {k} of both" for k in range(3)]
+    df = spark.createDataFrame([(1, "\n".join(["short head", *block])), (2, "\n".join(own[:20_000] + block + own[20_000:]))], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r["doc_id"]: (r["kept_text"], r["n_removed"], r["n_runs"]) for r in lines.dedup(df).collect()}
+    assert got[2] == ("\n".join(own), 3, 1)
+    assert got[1] == ("\n".join(["short head", *block]), 0, 0)
+    assert {r["doc_id"]: r["text"] for r in lines.clean(df).collect()}[2] == "\n".join(own)
+    assert time.monotonic() - began < 60  # splitting again per line took more than 90 seconds for one of the two
+
+
 def brute_lines(named, min_lines, long_line):
     """Rows equal in id and text are one document; order of (id, hash of the text, line)."""
     docs = {}
