@@ -15,9 +15,11 @@ one shingle. Documents whose sets overlap by 75 % or more (intersection over uni
   than one pair at the limit in a million), are left out; the others are confirmed on full sets.
 * Buckets that still hold several components go on in rounds: what is outside the largest component of a bucket meets a member of that
   component and one of the rest, other ones each round, until a round links nothing new. Pairs stay linear in the members.
-* Then every pair of two components that still shares a bucket is tested or ruled out by size and bits. A bucket is dealt in tiles of two
-  chunks of at most about `CHUNK` members; a pair is tested in the first bucket it shares. Members of the largest component are not
-  set against each other. The tests are the product of outside members and members, but only bounded tiles with their texts are moved.
+* Then every pair of two components that still shares a bucket is tested or ruled out. Shingles held by more than `CHUNK` members of such
+  buckets are common. A pair that needs a rare shingle is found by joining the members on their rarest shingles, whose groups are of at
+  most `CHUNK`. Pairs for which the common parts may suffice are left to tiles: members of which at least 3/4 is common are dealt
+  in pairs of chunks of their bucket, and tested where both common parts are large enough. Members of the largest component are not set
+  against each other.
 
 Defined results: null or empty text or no words: empty set, linked with nothing, kept; rows of one id are one document to the
 links (each row keeps its own n_shingles); rows without an id are left out; an empty table gives an empty result.
@@ -200,18 +202,53 @@ def may_link(a: str, b: str):
     return (small * 100 >= large * PERCENT) & ~told_apart
 
 
-def tiles(open_buckets: DataFrame) -> DataFrame:
-    """(key, low, high, chunk, node, component, s): members of open buckets in every tile (low, high) of two chunks they belong to.
+def open_sets(open_buckets: DataFrame, packed: DataFrame) -> Stored:
+    """(node, component, s, hs): the whole set of every member of an open bucket, once, with its size and bits."""
+
+    def per_batch(batch: pa.RecordBatch) -> dict:
+        hashes, unpack = WordHash(), zstandard.ZstdDecompressor()
+        sets = [shingles(unpack.decompress(z), hashes) for z in batch.column("z").to_pylist()]
+        low = [bits(x) for x in sets]
+        return {"node": batch.column("node"), "component": batch.column("component"), "n": [len(x) for x in sets], "b1": [a for a, _ in low], "b2": [b for _, b in low], "hs": ragged([signed(x) for x in sets], pa.int64())}
+
+    nodes = open_buckets.select("node", "component").distinct().join(packed, "node")
+    rows = arrow_map(nodes, per_batch, "node long, component long, n long, b1 long, b2 long, hs array<long>")
+    return Stored(rows.select("node", "component", F.struct("n", "b1", "b2").alias("s"), "hs"), "open_sets")
+
+
+def ordered_parts(sets: DataFrame) -> DataFrame:
+    """(node, component, s, k, rare): size k of the common part of a set and the rare shingles that links of it must touch.
+
+    A shingle is common if more than `CHUNK` sets hold it. Two linked sets share at least 3/4 of the larger one, so what the smaller common part
+    cannot supply lies in the rare parts; then both hold one of the other's first n / 4 + 1 rare shingles in order of frequency
+    (the prefix lemma). Shingles held once count among these, but meet nothing; so do those of one component.
+    """
+    each = sets.select("node", "component", "s", F.explode("hs").alias("h"))
+    held = each.groupBy("h").agg(F.count("*").alias("c"), (F.min("component") < F.max("component")).alias("crosses")).where("c > 1")
+    own = each.join(held, "h").groupBy("node", "component", "s").agg(
+        F.count_if(F.col("c") > CHUNK).alias("k"),
+        F.sort_array(F.collect_list(F.when(F.col("c") <= CHUNK, F.struct("c", "h", "crosses")))).alias("shared"),
+    )
+    once = F.col("s.n") - F.col("k") - F.size("shared")
+    first = F.slice("shared", 1, F.greatest(F.floor(F.col("s.n") / 4) + 1 - once, F.lit(0)).cast("int"))
+    return own.select("node", "component", "s", "k", F.transform(F.filter(first, lambda x: x["crosses"]), lambda x: x["h"]).alias("rare"))
+
+
+def tiles(members: DataFrame) -> DataFrame:
+    """(key, low, high, chunk, node, component, s, k): members in every tile (low, high) of two chunks of their bucket they belong to.
 
     Chunks of the members outside the largest component come first; a tile has at least one of them.
     """
-    inner = F.col("component") == F.col("top.component")
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("many"))
+    top = counts.groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("top"), F.max("many").alias("many"), F.sum("many").alias("every"), F.count("*").alias("kinds"))
+    held = members.join(top.where("kinds > 1"), "key")
+    inner = F.col("component") == F.col("top")
     outer_chunks, inner_chunks = F.ceil((F.col("every") - F.col("many")) / CHUNK), F.ceil(F.col("many") / CHUNK)
     spread = F.xxhash64("node", F.lit(0))
     chunk = F.when(inner, outer_chunks + F.pmod(spread, inner_chunks)).otherwise(F.pmod(spread, outer_chunks))
     others = F.sequence(F.lit(0).cast("long"), F.when(inner, outer_chunks).otherwise(outer_chunks + inner_chunks) - 1)
-    each = open_buckets.select("key", "node", "component", "s", chunk.alias("chunk"), F.explode(others).alias("other"))
-    return each.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component", "s")
+    each = held.select("key", "node", "component", "s", "k", chunk.alias("chunk"), F.explode(others).alias("other"))
+    return each.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "component", "s", "k")
 
 
 class Tile:
@@ -264,15 +301,26 @@ class Tile:
                     yield self.rows[x]["node"], self.rows[k]["node"]
 
 
-def remaining_links(open_buckets: DataFrame, packed: DataFrame) -> DataFrame:
-    """(a, c): links between the components of open buckets, every pair of members tested or ruled out."""
-    every = Stored(tiles(open_buckets), "tiles").df
+def rare_links(ordered: DataFrame, packed: DataFrame, every_test: DataFrame) -> DataFrame:
+    """(a, c): links between components that need a rare shingle. A rare shingle has at most `CHUNK` holders, so pairs are linear."""
+    each = ordered.select("node", "component", "s", F.explode("rare").alias("h"))
+    x, y = each.alias("x"), each.alias("y")
+    near = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+    pairs = x.join(y, near & may_link("x.s", "y.s")).select(F.col("x.node").alias("a"), F.col("y.node").alias("c")).distinct()
+    return confirmed(pairs.join(every_test, ["a", "c"], "left_anti"), packed)
+
+
+def common_links(open_buckets: DataFrame, ordered: DataFrame, packed: DataFrame) -> DataFrame:
+    """(a, c): links between components for which the common parts of both sets may suffice, tested in tiles of their buckets."""
+    most = ordered.where(F.col("k") * 100 >= F.col("s.n") * PERCENT).select("node", "component", "s", "k")
+    every = Stored(tiles(open_buckets.select("key", "node").distinct().join(most, "node")), "tiles").df
     mine, theirs = every.alias("x"), every.alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     crosses = (F.col("x.component") != F.col("y.component")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.chunk") != F.col("y.chunk")))
+    suffices = F.least("x.k", "y.k") * (100 + PERCENT) >= (F.col("x.s.n") + F.col("y.s.n")) * PERCENT
     # only members with a pair to test go on to the texts
-    some = mine.join(theirs, same & crosses & may_link("x.s", "y.s"), "left_semi")
-    rows = some.select("key", "low", "high", "chunk", "node", "component", "s.b1", "s.b2").join(packed, "node")
+    some = mine.join(theirs, same & crosses & suffices & may_link("x.s", "y.s"), "left_semi")
+    rows = some.select("key", "low", "high", "chunk", "node", "component", "s.b1", "s.b2").distinct().join(packed, "node")
     dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     schema = arrow_schema(packed.sparkSession, "a long, c long")
 
@@ -287,6 +335,12 @@ def remaining_links(open_buckets: DataFrame, packed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, c long")
 
 
+def remaining_links(open_buckets: DataFrame, packed: DataFrame, every_test: DataFrame) -> DataFrame:
+    """(a, c): links between the components of open buckets, every pair of members tested or ruled out."""
+    ordered = Stored(ordered_parts(open_sets(open_buckets, packed).df), "ordered_parts").df
+    return rare_links(ordered, packed, every_test).unionByName(common_links(open_buckets, ordered, packed))
+
+
 def merged(groups: DataFrame, links: DataFrame) -> Stored:
     """Groups with the components joined that a link (a, c) connects."""
     # only components that a new link joins change
@@ -337,7 +391,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         groups = merged(groups.df, found.df)
         turn += 1
-    found = Stored(remaining_links(rest.df, packed.df), "links")
+    found = Stored(remaining_links(rest.df, packed.df, every_test), "links")
     if found.df.limit(1).count():
         groups = merged(groups.df, found.df)
     out = signs.df.select("doc_id", "n_shingles").join(groups.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
