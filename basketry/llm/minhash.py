@@ -356,9 +356,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = signs.df.where("n_shingles > 0")
     classes = Stored(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
     placed_rows = some.join(classes.df, ["h1", "h2"])
-    same = placed_rows.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
+    same = Stored(placed_rows.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct(), "same")
+    sizes = Stored(signs.df.select("doc_id", "n_shingles"), "sizes")
     one = placed_rows.where("doc_id = node").select("node", F.struct(F.col("n_shingles").alias("n"), "b1", "b2").alias("s"), F.explode("keys").alias("key")).distinct()
     buckets = Stored(one, "buckets")
+    # each table goes when its last reader is written: disk stays at a few of them
+    signs.drop()
+    classes.drop()
     shared = buckets.df.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "s")).alias("low")).where("c > 1").select("key", "low")
     members = Stored(buckets.df.join(shared, "key"), "members")
     buckets.drop()
@@ -368,9 +372,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tested = Stored(near.groupBy(F.col("node").alias("a")).agg(F.min("low.node").alias("c")), "pairs")
     every_test = tested.df
     links = confirmed(tested.df, packed.df).select(F.col("a").alias("u"), F.col("c").alias("v"))
-    groups = components(links.unionByName(same))
+    groups = components(links.unionByName(same.df))
     known = groups.df.unionByName(members.df.select("node").distinct().join(groups.df, "node", "left_anti").select("node", F.col("node").alias("component")))
-    groups = Stored(known, "groups")
+    linked, groups = groups, Stored(known, "groups")
+    linked.drop()
+    same.drop()
+    source = members
     inside = members.df.select("key", "node", "s")
     turn = 1
     while True:
@@ -379,6 +386,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         top = parts.groupBy("key").agg(F.max_by(F.struct("component", "pick"), F.struct("many", -F.col("component"))).alias("top"), F.count("*").alias("kinds"), F.max("many").alias("many"), F.sum("many").alias("every")).where("kinds > 1")
         rest = Stored(placed.join(top, "key"), "open_buckets")
         inside = rest.df.select("key", "node", "s")
+        source.drop()
+        source = rest
         outside = rest.df.where(F.col("component") != F.col("top.component"))
         second = outside.groupBy("key").agg(F.min_by(F.struct("component", "node", "s"), F.xxhash64("node", "key", F.lit(-turn))).alias("other"))
         to_top = outside.where(may_link("s", "top.pick.s")).select("node", F.col("top.pick.node").alias("c"))
@@ -389,12 +398,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = Stored(confirmed(tested.df, packed.df), "links")
         if not found.df.limit(1).count():
             break
-        groups = merged(groups.df, found.df)
+        before, groups = groups, merged(groups.df, found.df)
+        before.drop()
+        found.drop()
         turn += 1
     found = Stored(remaining_links(rest.df, packed.df, every_test), "links")
     if found.df.limit(1).count():
         groups = merged(groups.df, found.df)
-    out = signs.df.select("doc_id", "n_shingles").join(groups.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    source.drop()
+    packed.drop()
+    out = sizes.df.join(groups.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 

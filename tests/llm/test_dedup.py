@@ -108,6 +108,56 @@ def test_near_duplicates_in_a_template_family(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == root
 
 
+@pytest.mark.parametrize("blocks", [9, 12])
+def test_near_duplicates_made_of_common_passages(spark, monkeypatch, blocks):
+    """Sets that hold almost only shingles of many other sets: the common parts decide, by which passages they are made of."""
+    monkeypatch.setattr(minhash, "CHUNK", 16)
+    rnd = np.random.default_rng(blocks)
+    pool = [[f"b{b}w{w}" for w in range(25)] for b in range(14)]
+    docs = [sum((pool[b] for b in sorted(rnd.choice(14, blocks, replace=False))), []) + [f"d{k}"] for k in range(160)]
+    ids = [int(x) for x in rnd.permutation(160)]
+    sets = [{tuple(d[k : k + 5]) for k in range(len(d) - 4)} for d in docs]
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(160):
+        for b in range(a):
+            same, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if 100 * same >= 75 * union:
+                low, high = sorted((find(ids[a]), find(ids[b])))
+                root[high] = low
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in zip(ids, docs, strict=True)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == {i: find(i) for i in ids}
+
+
+def test_links_of_open_buckets(spark, monkeypatch):
+    """One bucket of many components: all links are found, by rare shingles or in tiles, without the rounds before."""
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    rnd = np.random.default_rng(3)
+    pool = [[f"b{b}w{w}" for w in range(25)] for b in range(13)]
+    docs = [sum((pool[b] for b in sorted(rnd.choice(13, 11, replace=False))), []) + [f"d{k}w{w}" for w in range(int(rnd.integers(0, 30)))] for k in range(60)]
+    docs += [[f"e{k // 2}w{w}" for w in range(100 + k % 2 * 8)] for k in range(20)]
+    sets = [{tuple(d[k : k + 5]) for k in range(len(d) - 4)} for d in docs]
+    want = {(a, b) for a in range(80) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    base = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    packed = minhash.pack(base)
+    bucket = packed.selectExpr("1L as key", "node", "node as component")
+    sets_held = minhash.Stored(minhash.open_sets(bucket, packed).df, "sets").df
+    ordered = minhash.Stored(minhash.ordered_parts(sets_held), "ordered").df
+    none = spark.createDataFrame([], "a long, c long")
+    rare = {tuple(r) for r in minhash.rare_links(ordered, packed, none).collect()}
+    assert rare <= want and {(k + 1, k) for k in range(60, 80, 2)} <= rare
+    parts = {r["node"]: r["k"] for r in ordered.collect()}
+    needs_rare = {(a, b) for a, b in want if min(parts[a], parts[b]) * 175 < (len(sets[a]) + len(sets[b])) * 75}
+    assert needs_rare <= rare
+    mates = minhash.ordered_parts(sets_held).where("k * 100 >= s.n * 75").count()
+    assert mates >= 30 and want - needs_rare
+
+
 def test_line_dedup_of_a_very_long_text(spark):
     """A text of 40,000 lines is split once, not once per line kept; only its copied block of lines goes."""
     own = [f"line {k} of the long text" for k in range(40_000)]
