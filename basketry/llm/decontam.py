@@ -17,7 +17,7 @@ changes of a byte), both lower-cased with white space folded to one blank.
 
 Recall: with edits spread evenly at the limit, a quarter has its share of them and one of 4 x 36 tables agrees with probability
 over 0.95; the tests measure it against brute force. Items under
-`SHORT` bytes are looked up verbatim instead.
+`SHORT` bytes are cut in one piece more than their edits instead, and compared wherever a piece stands unchanged.
 
 Defined results: a null, empty or blank text holds nothing; empty or null items match nothing; items of equal text each get a row; rows of one id
 are documents of one name: the id is reported once with the smallest distance; rows without an id are left out; empty tables give an empty result.
@@ -190,10 +190,22 @@ class Items:
             self.compare(kind, windows[c], docs, out)
         for d, text in enumerate(docs):
             for k in self.short:
-                if self.items[k][1] in text:
-                    out[d, k] = [(0, len(text))]
+                if near := self.around_pieces(self.items[k][1], text):
+                    out[d, k] = near
         return out
 
+    def around_pieces(self, item: bytes, text: bytes) -> list[tuple[int, int]]:
+        """Stretches where a short item may begin: cut in one piece more than edits are allowed, one piece stands there unchanged."""
+        most = edits_allowed(len(item), self.rate)
+        cuts = [len(item) * part // (most + 1) for part in range(most + 2)]
+        out = set()
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            at = text.find(item[low:high])
+            while at >= 0:
+                out.add((max(0, at - low - most), max(0, at - low) + most + 1))
+                at = text.find(item[low:high], at + 1)
+        return sorted(out)
+
     def compare(self, kind: dict, stretches: list, docs: list[bytes], out: dict) -> None:
         """Embed windows at every byte of the stretches and look their keys up."""
         at = 0
@@ -236,7 +248,7 @@ class Items:
         """Whether the passage keeps as many grams of this item as that many edits must leave."""
         item = self.items[k][1]
         if len(item) < SHORT:
-            return False
+            return True
         q = GRAM[len(item) >= LONG_ITEM]
         if k not in self.own:
             self.own[k] = np.unique(grams(item, q))

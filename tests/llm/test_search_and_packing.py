@@ -255,3 +255,23 @@ def test_classifiers_on_messy_rows(spark, messy, nothing, named, scored):
     assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in named) and all(0 <= r["score"] <= 1 for r in got)
     assert scored(nothing, labels, train, label).collect() == []
     assert len(scored(messy, labels.limit(0), train, label).collect()) == len(named)
+
+
+def test_short_items_within_their_edits():
+    """Items under the shortest walk are found with as many edits as their length allows, wherever they stand."""
+    items = [(1, b"capital of france?"), (2, b"ab cd"), (3, b"one two three four five")]
+    held = decontam.Items(items, 0.06)
+    docs = [b"the capitel of france? xx", b"capital of francs", b"so capital of frnce? it is", b"ab cd", b"ab ce", b"", b"capital of frnxe!", b"one two threee four five", b"capital of " * 500]
+    want = {}
+    for d, text in enumerate(docs):
+        for k, (_, item) in enumerate(items):
+            most = decontam.edits_allowed(len(item), 0.06)
+            row = [0] * (len(text) + 1)
+            for a, x in enumerate(item, 1):
+                before, row = row, [a]
+                for b, y in enumerate(text, 1):
+                    row.append(min(before[b] + 1, row[b - 1] + 1, before[b - 1] + (x != y)))
+            if min(row) <= most:
+                want[d, k] = min(row)
+    assert held.leaks(docs) == want
+    assert want[0, 0] == 1 and want[2, 0] == 1 and want[7, 2] == 1 and want[3, 1] == 0 and (4, 1) not in want
