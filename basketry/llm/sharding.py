@@ -1,9 +1,11 @@
 """Sharding by balanced label propagation.
 
 Linked documents move towards the shard most of their neighbours are in; a shard accepts newcomers only while it has room.
-Labels start from the smallest id of a neighbourhood. Each round is two joins over the links: votes of the neighbours (counted
-before the shuffle) and the accepted moves. Who may move is decided on a histogram of movers per shard, of 256 hash
-classes, so no task holds the movers of a shard.
+Every linked document starts in a shard of its own hash, so neighbours begin apart. Each round is two joins over the links: votes of
+the neighbours (counted before the shuffle) and the accepted moves. Who may move is decided on a histogram of movers per shard, of 256
+hash classes, so no task holds the movers of a shard; a class holds whole groups. Documents with a smaller neighbour move first, later a
+random half each round. The class that meets a shard's border comes in whole, and who may not leave stays: the last step cuts what
+is too much.
 
 The last step meets the law `rows` exactly: a shard keeps its linked documents up to its quota, in order of their group; what is
 over the quota and all documents without links fill the room left. So shard counts differ by one at most, and a group is
@@ -37,21 +39,23 @@ def propagate(links: DataFrame, total: DataFrame | int, shards: int = SHARDS, ro
     """(node, label, seed) for every linked node; `total` is the number of rows that share the capacity."""
     both = Stored(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     start = both.df.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("seed"))
-    labels = Stored(start.select(F.col("u").alias("node"), "seed", F.pmod(F.xxhash64("seed"), F.lit(shards)).cast("int").alias("label")), "labels")
+    labels = Stored(start.select(F.col("u").alias("node"), "seed", F.pmod(F.xxhash64("u"), F.lit(shards)).cast("int").alias("label")), "labels")
     capacity = -(-total // shards)
     for turn in range(rounds):
         votes = both.df.join(labels.df.select(F.col("node").alias("v"), "label"), "v").groupBy("u", "label").agg(F.count("*").alias("n"))
         best = votes.groupBy(F.col("u").alias("node")).agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("b"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("all"))
-        # half of the nodes may move in a round: two neighbours do not swap places
-        turns = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        # never all nodes of a group may move in a round: two neighbours do not swap places
+        turns = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0 if turn else F.col("node") != F.col("seed")
         wish = labels.df.join(best, "node", "left").select("node", "seed", "label", F.when(turns & (F.col("b.n") > F.coalesce(F.col("all")[F.col("label")], F.lit(0))), -F.col("b.l")).alias("to"))
         wish = wish.withColumn("class", F.pmod(F.xxhash64("seed", F.lit(turn)), F.lit(CLASSES)))
         wish = Stored(wish, "wishes")
-        load = wish.df.groupBy("label").agg(F.count("*").alias("load"))
+        # who wants to leave takes no room
+        load = wish.df.where("to is null").groupBy("label").agg(F.count("*").alias("load"))
         # shards x classes rows at most
         crowd = wish.df.where("to is not null").groupBy("to", "class").agg(F.count("*").alias("n"))
         room = crowd.join(load.withColumnRenamed("label", "to"), "to", "left").withColumn("upto", F.sum("n").over(Window.partitionBy("to").orderBy("class")))
-        accepted = room.where(F.col("upto") + F.coalesce("load", F.lit(0)) <= capacity).select("to", "class", F.lit(True).alias("ok"))
+        # the class that meets the border comes in whole
+        accepted = room.where(F.col("upto") - F.col("n") + F.coalesce("load", F.lit(0)) < capacity).select("to", "class", F.lit(True).alias("ok"))
         labels = Stored(wish.df.join(F.broadcast(accepted), ["to", "class"], "left").select("node", "seed", F.when(F.col("ok"), F.col("to")).otherwise(F.col("label")).cast("int").alias("label")), "labels")
     return labels.df
 

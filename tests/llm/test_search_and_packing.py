@@ -65,6 +65,20 @@ def test_sharding_keeps_groups_and_splits_a_hot_one(spark):
     assert len(set(hot)) >= 4 and max(hot.count(s) for s in set(hot)) <= 150
 
 
+def test_sharding_propagation_joins_what_the_start_parts(spark):
+    for copies, others in ((300, 400), (800, 0)):
+        rows = [(k, f"copy {k % (copies // 2)}") for k in range(copies)] + [(k, f"own {k}") for k in range(copies, copies + others)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        links = sharding.copies_links(docs.withColumnRenamed("text", "text_key")).localCheckpoint()
+        cut = []
+        for rounds in (0, 3):
+            label = {r["node"]: r["label"] for r in sharding.propagate(links, len(rows), 10, rounds).collect()}
+            cut.append(sum(label[r["u"]] != label[r["v"]] for r in links.collect()))
+        assert cut[0] > 0.8 * copies // 2 and cut[1] <= cut[0] * 0.1
+        placed = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=10).collect()}
+        assert sum(placed[r["u"]] != placed[r["v"]] for r in links.collect()) <= cut[1] + 10
+
+
 def pieces_ok(pieces, named, window):
     tokenizer = Tokenizer.from_file(tokenizer_path())
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
