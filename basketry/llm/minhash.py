@@ -358,7 +358,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed_rows = some.join(classes.df, ["h1", "h2"])
     same = Stored(placed_rows.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct(), "same")
     sizes = Stored(signs.df.select("doc_id", "n_shingles"), "sizes")
-    one = placed_rows.where("doc_id = node").select("node", F.struct(F.col("n_shingles").alias("n"), "b1", "b2").alias("s"), F.explode("keys").alias("key")).distinct()
+    # one row per set before its keys are spread: they stay together, which packs well, and need no shuffle
+    one = placed_rows.where("doc_id = node").dropDuplicates(["h1", "h2"]).select("node", F.struct(F.col("n_shingles").alias("n"), "b1", "b2").alias("s"), F.explode("keys").alias("key"))
     buckets = Stored(one, "buckets")
     # each table goes when its last reader is written: disk stays at a few of them
     signs.drop()
