@@ -14,8 +14,10 @@ out; the special token's string in a text is that special token; an empty table
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ WINDOW = 2048
 SHARD_TOKENS = 2_500_000
 QUERY_TERMS = 32
 NEAREST = 48
-CHUNKS_KEPT, PIECES_KEPT = 400_000, 200_000
+UNITS_KEPT, PIECES_KEPT = 400_000, 100_000
 END = 1
 K1, B = 1.2, 0.75
 # The split pattern of byte-level BPE vocabularies of this kind.
@@ -48,11 +50,16 @@ def byte_letters() -> dict[int, int]:
 class Encoder(dict):
     """Ids of a text, as bytes of unsigned 16- or 32-bit numbers.
 
-    A blank before a letter or sign always begins a piece of the split pattern, so a text without double blanks is the sum of its
-    blank-separated chunks, each with its blank. Chunks are remembered up to a bound, and so are the pieces they split into.
+    Some places always begin a piece of the split pattern: a blank before a letter or sign, a dot or comma after a letter or number, a single
+    line feed and what follows it. A text cut there is the sum of its units, and words, which repeat, stand apart from the signs beside
+    them. Texts in which those places depend on more (runs of white space or signs) are cut at blanks, or at nothing, instead. Units are
+    remembered up to a bound, and so are the pieces of those with several.
     """
 
     LETTERS = byte_letters()
+    BLANK = chr(LETTERS[32])
+    SIGN_AFTER_OTHERS = re.compile(r"[.,](?<![^\W_][.,])")
+    OTHER_SPACE = re.compile(r"[^\S \n]")
     held: dict[str, Encoder] = {}  # per process: later tasks of a worker go on with what it has learnt
 
     @classmethod
@@ -63,34 +70,50 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.split = regex.compile(PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.pieces: dict[str, bytes] = {}
 
+    def ids(self, piece: str) -> bytes:
+        if piece.isascii():  # of these a piece of letters holds no byte but the blank that has another letter
+            letters = piece.replace(" ", self.BLANK) if piece.removeprefix(" ").isalpha() else piece.translate(self.LETTERS)
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.LETTERS)
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+
     def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             if len(self.pieces) >= PIECES_KEPT:
                 self.pieces.clear()
-            letters = piece.encode().decode("latin-1").translate(self.LETTERS)
-            ids = self.pieces[piece] = array("H" if self.kind.itemsize == 2 else "I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            ids = self.pieces[piece] = self.ids(piece)
         return ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CHUNKS_KEPT:
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= UNITS_KEPT:
+            # frequent units are met early: the half learnt first stays
+            first = list(islice(self.items(), UNITS_KEPT // 2))
             self.clear()
-        ids = self[chunk] = b"".join(map(self.piece, self.split(" " + chunk)))
+            self.update(first)
+        # letters are one piece, with a blank before them or without
+        ids = self[unit] = self.ids(unit) if unit.removeprefix(" ").isalpha() else b"".join(map(self.piece, self.split(unit)))
         return ids
 
+    def units(self, text: str) -> list[str]:
+        if "  " in text or "\0" in text:
+            return self.split(text)
+        plain = " \n" not in text and "\n\n\n" not in text and "\n\n " not in text and text[-2:] != "\n\n"
+        if plain and not self.SIGN_AFTER_OTHERS.search(text) and not self.OTHER_SPACE.search(text):
+            text = text.replace("\n", "\0\n\0").replace(".", "\0.").replace(",", "\0,")
+        return text.replace(" ", "\0 ").split("\0")
+
     def encode(self, text: str) -> bytes:
         if any(name in text for name in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        if "  " in text:
-            return b"".join(map(self.piece, self.split(text)))
-        first, *chunks = text.split(" ")
-        return b"".join([*map(self.piece, self.split(first)), *map(self.__getitem__, chunks)])
+        return b"".join(map(self.__getitem__, self.units(text)))
 
 
 def kind_of(path: str) -> str:
@@ -105,9 +128,10 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         end = np.array([END], encoder.kind).tobytes()
+        mixed = mix(np.arange(encoder.tokenizer.get_vocab_size() + 1, dtype=np.uint64)) >> np.uint64(1)
         for batch in batches:
             ids = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
-            key = [int(mix(np.frombuffer(x, encoder.kind).astype(np.uint64)).min() >> np.uint64(1)) for x in ids]
+            key = [int(mixed[np.frombuffer(x, encoder.kind)].min()) for x in ids]
             yield record_batch({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "n": [len(x) // encoder.kind.itemsize for x in ids], "key": key, "ids": ids}, schema)
 
     return docs.mapInArrow(run, out)
@@ -121,10 +145,10 @@ def document_frequencies(coded: DataFrame, kind: str) -> DataFrame:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
-                seen = np.unique(np.frombuffer(ids, kind))
-                if seen[-1] >= len(total):
-                    total = np.append(total, np.zeros(int(seen[-1]) + 1 - len(total), np.int64))
-                total[seen] += 1
+                held = np.frombuffer(ids, kind)
+                if (most := int(held.max())) >= len(total):
+                    total = np.append(total, np.zeros(most + 1 - len(total), np.int64))
+                total[held] += 1  # numpy adds once for a number that repeats
         some = np.flatnonzero(total)
         yield record_batch({"token": some, "df": total[some]}, schema)
 

@@ -289,3 +289,22 @@ def test_short_items_within_their_edits():
                 want[d, k] = min(row)
     assert held.leaks(docs) == want
     assert want[0, 0] == 1 and want[2, 0] == 1 and want[7, 2] == 1 and want[3, 1] == 0 and (4, 1) not in want
+
+
+def test_words_are_remembered_without_the_signs_beside_them(monkeypatch):
+    encoder = packing.Encoder(tokenizer_path())
+    encoder.encode("alpha beta, alpha. beta\nalpha, beta.")
+    assert set(encoder) == {"alpha", " alpha", " beta", ",", ".", "\n"}
+    monkeypatch.setattr(packing, "UNITS_KEPT", 4)
+    encoder = packing.Encoder(tokenizer_path())
+    encoder.encode("a b c d e")
+    assert list(encoder) == ["a", " b", " e"]
+
+
+def test_units_give_the_ids_of_the_library():
+    encoder = packing.Encoder(tokenizer_path())
+    parts = ["a", "the", "é", "1", "²", "一", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\0", ".", ",", "...", "'", "'s", "_", "-", "ʰ", "😀"]
+    draw = random.Random(3)
+    for _ in range(5000):
+        text = "".join(draw.choices(parts, k=draw.randint(0, 9)))
+        assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
