@@ -1,6 +1,7 @@
 """The stages of the corpus pipeline on their own inputs, and what the driver reads from them."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,15 @@ def test_run_gives_the_last_stage(spark, outputs):
     ran = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, ran.drop("sequence_id").groupBy("doc_id").agg(F.sum("length")).collect())) == sorted(map(tuple, outputs[5].groupBy("doc_id").agg(F.sum("length")).collect()))
     assert queries.QUERIES["pipeline"] is corpus_pipeline.run
+
+
+def test_stages_hand_texts_over_in_small_batches(spark):
+    was = spark.conf.get(corpus_pipeline.BATCHES)
+    try:
+        spark.conf.set(corpus_pipeline.BATCHES, 0)
+        stage = corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long"))
+        rows = [r.n for r in stage(spark, spark.range(5000).coalesce(1), SF).collect()]
+    finally:
+        spark.conf.set(corpus_pipeline.BATCHES, was)
+    assert sum(rows) == 5000 and max(rows) <= corpus_pipeline.BATCH_ROWS
+    assert all(hasattr(f, "__wrapped__") for _, f in corpus_pipeline.STAGES)
