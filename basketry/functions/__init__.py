@@ -1,5 +1,6 @@
 from basketry.functions.scalars import (
     daypart,
+    key_text,
     local_time,
     month_of,
     parse_date,
@@ -23,6 +24,7 @@ __all__ = [
     "count_where",
     "daypart",
     "distinct_list",
+    "key_text",
     "local_time",
     "month_of",
     "parse_date",
