@@ -3,14 +3,17 @@ from basketry.functions.scalars import (
     key_text,
     local_time,
     month_of,
+    pack_key,
     parse_date,
     parse_event_time,
     plain_number,
     preferred_name,
     safe_divide,
+    short_key,
     sunday_week,
     surrogate_key,
     try_money,
+    unpack_key,
 )
 from basketry.functions.aggregates import (
     count_where,
@@ -27,6 +30,7 @@ __all__ = [
     "key_text",
     "local_time",
     "month_of",
+    "pack_key",
     "parse_date",
     "parse_event_time",
     "plain_number",
@@ -34,8 +38,10 @@ __all__ = [
     "quantile",
     "safe_divide",
     "sample_values",
+    "short_key",
     "sum_where",
     "sunday_week",
     "surrogate_key",
     "try_money",
+    "unpack_key",
 ]

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.config import Settings
+from basketry.functions import pack_key, unpack_key
 from basketry.operators import temporal
+from basketry.operators.ranking import measure_rollup
 from basketry.operators.timeline import as_of, busy_spots, hot_keys
-from basketry.plans import core
+from basketry.plans import core, reporting
 from basketry.plans.build import RAW, Warehouse
 from basketry.session import materialize
 from tests.helpers import at, plan, rows, timeline
@@ -102,3 +104,24 @@ def test_stored_order_items_hold_no_column_that_others_give(spark):
     scan = plan(got.select("*")).split("ReadSchema:")[1]
     for column in ("order_item_sk", "order_sk", "customer_sk", "item_key_sk", "item_scd_sk", "order_item_row"):
         assert column not in scan
+
+
+def test_packed_keys_are_short_and_come_back(spark):
+    hexed = "0123456789abcdef" * 2
+    texts = [hexed, hexed.upper(), hexed + "\n", hexed[:31], hexed[:16], hexed[:15], "", "\0" * 15, "\0" * 16, "\0" * 17, "ä" * 8, "_dbt_null_", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pack_key("t").alias("p"))
+    got = df.select("t", "p", unpack_key("p").alias("back")).collect()
+    assert [r["back"] for r in got] == texts and len({bytes(r["p"]) for r in got if r["p"] is not None}) == len(texts) - 1
+    assert len(got[0]["p"]) == 16
+
+
+def test_orders_and_customers_are_counted_by_packed_keys(spark):
+    w = Warehouse({n: getattr(fixtures, n)(spark, SF) for n in RAW})
+    kept = reporting.order_category_rows(w["fct_order_item"], w["fct_order"])
+    assert dict(kept.dtypes)["order_sk"] == dict(kept.dtypes)["customer_sk"] == "binary"
+    whole = reporting.order_categories(w["fct_order_item"], w["fct_order"])
+    assert w["int_order_categories"].schema == whole.schema and dict(whole.dtypes)["order_sk"] == "string"
+    assert whole.exceptAll(w["int_order_categories"]).count() == 0
+    want = w["fct_order_item"].select("order_sk", "customer_sk").distinct()
+    assert whole.select("order_sk", "customer_sk").distinct().exceptAll(want).count() == 0
+    assert "unhex" in plan(measure_rollup(w["fct_order_item"], ["item_category"], {}))
